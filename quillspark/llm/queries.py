@@ -5,7 +5,11 @@ from __future__ import annotations
 from importlib import import_module
 
 MODULES = {
+    "op1_packing": "packing",
     "op3_substring_dedup": "substring_dedup",
+    "op4_quality_rules": "quality_rules",
+    "op5_bpe_codec": "bpe_codec",
+    "op9_telephony": "telephony",
 }
 
 
