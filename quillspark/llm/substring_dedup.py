@@ -137,7 +137,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """`docs` with the kept words, joined by single spaces, in `text_col`, and two more columns:
     n_words (before) and n_removed. `block` defaults to the longest that `window` guarantees.
 
-    `batches` and `buckets` default to the session's shuffle partitions (twice that many batches),
+    `batches` and `buckets` default to twice and half the session's shuffle partitions,
     the setting with which a job's size is told to Spark; a batch is held in one task's memory.
     """
     block = block or (window + 1) // 2
@@ -146,7 +146,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     clash = {"n_words", "n_removed", "__batch"} & set(docs.columns)
     docs = docs.drop(*clash)
     width = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    batches, buckets = batches or 2 * width, buckets or width
+    batches, buckets = batches or 2 * width, buckets or max(1, width // 2)
     dealt = docs.withColumn("__batch", F.pmod(F.xxhash64(F.col(id_col), F.lit(7)), F.lit(batches)).cast("int")).repartition(width, "__batch")
     names = docs.columns
 
