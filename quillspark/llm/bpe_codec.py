@@ -16,6 +16,7 @@ import base64
 import hashlib
 from dataclasses import dataclass
 from heapq import heapify, heappop, heappush
+from itertools import chain
 from pathlib import Path
 
 import numpy as np
@@ -135,15 +136,16 @@ class Codec:
         self.size, self.at = size, np.cumsum(size) - size
         self.bytes = np.frombuffer(b"".join(tokens.get(r, b"") for r in range(len(size))), np.uint8)
 
-    def _encode(self, unseen: list[str]) -> list[list[int]]:
+    def _encode(self, unseen: list[str]) -> tuple[np.ndarray, np.ndarray]:
         parts = [split(u) for u in unseen]
         found = self.found
-        if len(found) > 300_000:
+        if len(found) > 500_000:
             found.clear()
         if new := [p for p in {p for part in parts for p in part} if p not in found]:
             pieces = [p.encode() for p in new]
             found.update((p, merge(x, self.ranks) if v is None else (v,)) for p, x, v in zip(new, pieces, self.perfect.find(pieces)))
-        return [found[p[0]] if len(p) == 1 else [i for q in p for i in found[q]] for p in parts]
+        ids = [found[p[0]] if len(p) == 1 else [i for q in p for i in found[q]] for p in parts]
+        return np.fromiter(chain.from_iterable(ids), np.uint32), np.fromiter(map(len, ids), np.int64, len(ids))
 
     def encode(self, column) -> tuple[np.ndarray, np.ndarray]:
         return self.memo(column)

@@ -20,6 +20,7 @@ equal ids are packed as separate documents; other columns are not read.
 from __future__ import annotations
 
 import zlib
+from itertools import chain
 from pathlib import Path
 
 import numpy as np
@@ -48,21 +49,24 @@ def _encoder(vocabulary: str):
     return _MEMOS[key]
 
 
-def _encode(t, unseen: list[str], together: int = 256) -> list:
-    """Ids of each unit. Units without inner white space are joined by line feeds, which no token
-    crosses, as calls for a few characters each take most of their time outside the merges."""
+def _encode(t, unseen: list[str], together: int = 256) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all units end to end, and how many each has. Units without inner white space are joined by
+    line feeds, which no token crosses, as a call for a few characters spends its time outside the merges."""
     (feed,) = t.encode("\n", add_special_tokens=False).ids
-    plain = [i for i, u in enumerate(unseen) if len(u) < 64 and not u[1:].isspace() and u.split() == [u.lstrip(" ")] and u[:2] != "  "]
-    out: list = [None] * len(unseen)
-    groups = [plain[a : a + together] for a in range(0, len(plain), together)]
-    for group, e in zip(groups, t.encode_batch_fast(["\n".join([unseen[i] for i in g]) for g in groups], add_special_tokens=False)):
-        ids = np.array(e.ids)
-        for i, part in zip(group, np.split(ids, np.flatnonzero(ids == feed))):
-            out[i] = part.tolist() if part[0] != feed else part[1:].tolist()
-    rest = [i for i, x in enumerate(out) if x is None]
-    for i, e in zip(rest, t.encode_batch_fast([unseen[i] for i in rest], add_special_tokens=False)):
-        out[i] = e.ids
-    return out
+    plain = np.fromiter((len(u) < 64 and u[:2] != "  " and u.split() == [u.lstrip(" ")] for u in unseen), bool, len(unseen))
+    some = [u for u, p in zip(unseen, plain) if p]
+    groups = ["\n".join(some[a : a + together]) + "\n" for a in range(0, len(some), together)]
+    joined = np.fromiter(chain.from_iterable(e.ids for e in t.encode_batch_fast(groups, add_special_tokens=False)), np.uint32)
+    feeds = np.flatnonzero(joined == feed)
+    sizes = np.zeros(len(unseen), np.int64)
+    sizes[plain] = np.diff(feeds, prepend=-1) - 1
+    rest = [e.ids for e in t.encode_batch_fast([u for u, p in zip(unseen, plain) if not p], add_special_tokens=False)]
+    sizes[~plain] = [len(x) for x in rest]
+    of_plain = np.repeat(plain, sizes)
+    ids = np.empty(len(of_plain), np.uint32)
+    ids[of_plain] = joined[joined != feed]
+    ids[~of_plain] = np.fromiter(chain.from_iterable(rest), np.uint32)
+    return ids, sizes
 
 
 class _Pool:

@@ -8,8 +8,7 @@ and hashed (64 bits) for a whole batch in numpy; only units not met before reach
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
-from itertools import chain
+from collections.abc import Callable
 
 import numpy as np
 import regex
@@ -51,10 +50,11 @@ class _Numbers(dict):
 
 
 class Memo:
-    """Token ids by unit. `encode` gets a batch's unseen units; the memo is emptied when it holds
-    more than `most` of them, so that memory does not grow with the input."""
+    """Token ids by unit. `encode` gets a batch's unseen units and returns their ids end to end and the
+    number of ids of each; the memo is emptied when it holds more than `most` units, so that memory
+    does not grow with the input."""
 
-    def __init__(self, encode: Callable[[list[str]], Iterable], most: int = 500_000):
+    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], most: int = 800_000):
         self.encode, self.most = encode, most
         self._clear()
 
@@ -81,11 +81,10 @@ class Memo:
         if len(fresh):
             where = index[fresh]
             body = data.tobytes()
-            got = list(self.encode([body[a:b].decode() for a, b in zip(begin[where].tolist(), end[where].tolist())]))
-            sizes = np.fromiter(map(len, got), np.int64, len(got))
-            n, m = self.known + len(got), self.filled + int(sizes.sum())
+            got, sizes = self.encode([body[a:b].decode() for a, b in zip(begin[where].tolist(), end[where].tolist())])
+            n, m = self.known + len(sizes), self.filled + len(got)
             self.ids, self.size, self.at = self._room(self.ids, m), self._room(self.size, n), self._room(self.at, n)
-            self.ids[self.filled : m] = np.fromiter(chain.from_iterable(got), np.uint32, m - self.filled)
+            self.ids[self.filled : m] = got
             self.size[self.known : n] = sizes
             self.at[self.known : n] = self.filled + np.cumsum(sizes) - sizes
             self.known, self.filled = n, m
