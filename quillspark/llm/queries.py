@@ -6,9 +6,11 @@ from importlib import import_module
 
 MODULES = {
     "op1_packing": "packing",
+    "op2_chat_format": "chat_format",
     "op3_substring_dedup": "substring_dedup",
     "op4_quality_rules": "quality_rules",
     "op5_bpe_codec": "bpe_codec",
+    "op6_license_scan": "license_scan",
     "op9_telephony": "telephony",
 }
 
