@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .pretokens import Memo, split
-from .words import U64, chunks, mix, span_hashes
+from .words import U64, chunks, mix, span_hashes, with_field
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -177,7 +177,7 @@ def _share(spark, path: str):
 def encode(docs: DataFrame, ranks_path: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
     """`docs` with the token ids of each text; a column of that name is replaced."""
     docs = docs.drop(ids_col)
-    shared, schema = _share(docs.sparkSession, ranks_path), docs.schema.add(ids_col, "array<int>")
+    shared, schema = _share(docs.sparkSession, ranks_path), with_field(docs.schema, (ids_col, "array<int>"))
 
     def run(batches):
         for batch in chunks(batches, text_col, 2 << 20):
@@ -190,7 +190,7 @@ def encode(docs: DataFrame, ranks_path: str, text_col: str = "text", ids_col: st
 def decode(encoded: DataFrame, ranks_path: str, ids_col: str = "ids", bytes_col: str = "decoded") -> DataFrame:
     """`encoded` with the bytes that the ids stand for; null ids give no bytes."""
     encoded = encoded.drop(bytes_col)
-    shared, schema = _share(encoded.sparkSession, ranks_path), encoded.schema.add(bytes_col, "binary")
+    shared, schema = _share(encoded.sparkSession, ranks_path), with_field(encoded.schema, (bytes_col, "binary"))
 
     def run(batches):
         for batch in batches:

@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .words import Words, chunks, covered, per_doc, span_hashes, mix, U64
+from .words import U64, Words, chunks, covered, mix, per_doc, span_hashes, with_field
 
 STATISTICS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 _SYMBOL = np.zeros(256, bool)
@@ -43,9 +43,7 @@ RULES: dict[str, tuple[str, tuple[float, ...]]] = {
 def statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """`docs` without the text and with the five statistics of it; columns of their names are replaced."""
     kept = [c for c in docs.columns if c not in STATISTICS]
-    schema = docs.select([c for c in kept if c != text_col]).schema
-    for name in STATISTICS:
-        schema = schema.add(name, "long")
+    schema = with_field(docs.select([c for c in kept if c != text_col]).schema, *[(name, "long") for name in STATISTICS])
 
     def run(batches):
         for batch in chunks(batches, text_col):
@@ -128,7 +126,7 @@ def cutoffs(stats: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_c
             pdf["safe"] = [b <= share * n and upper_bound(int(b), int(n), float(a)) <= share for b, n, a in zip(pdf["bad"], pdf["n"], level)]
             yield pdf
 
-    tested = counted.withColumn("strata", strata).mapInPandas(bounds, counted.schema.add("strata", "long").add("safe", "boolean"))
+    tested = counted.withColumn("strata", strata).mapInPandas(bounds, with_field(counted.schema, ("strata", "long"), ("safe", "boolean")))
     return tested.groupBy("stratum").agg(*[F.min(F.when(F.col("safe") & (F.col("rule") == r) & (F.col("over") > 0), F.col("cutoff"))).alias(f"cut_{r}") for r in names])
 
 

@@ -12,6 +12,7 @@ MODULES = {
     "op5_bpe_codec": "bpe_codec",
     "op6_license_scan": "license_scan",
     "op9_telephony": "telephony",
+    "op10_toxicity": "toxicity",
 }
 
 

@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .words import chunks
+from .words import chunks, with_field
 
 RATE, STORE_RATE = 8000, 16000
 #: WAVE format tags, and the ADPCM index and step rules of the IMA recommendation.
@@ -145,7 +145,7 @@ def resample(samples: np.ndarray, rate: int, to: int) -> np.ndarray:
 def expand(media: DataFrame, media_col: str = "media", out_col: str = "pcm", to: int = STORE_RATE) -> DataFrame:
     """`media` with each file decoded, resampled to `to` and stored as a 16-bit PCM file in `out_col`."""
     media = media.drop(out_col)
-    schema = media.schema.add(out_col, "binary")
+    schema = with_field(media.schema, (out_col, "binary"))
 
     def run(batches):
         for batch in batches:

@@ -56,6 +56,14 @@ def utf8(column) -> tuple[np.ndarray, np.ndarray]:
     return data, at - at[0]
 
 
+def with_field(schema, *fields: tuple[str, str]):
+    """A copy of a Spark schema with more fields, given as name and type."""
+    out = type(schema)(list(schema.fields))
+    for name, kind in fields:
+        out = out.add(name, kind)
+    return out
+
+
 def chunks(batches, text: str, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The rows in record batches of at most about `size` bytes of text, at least one row each."""
     for batch in batches:
@@ -90,10 +98,18 @@ def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
         return mix((high - low) * inverse + (end - start).astype(U64) * U64(0x9E3779B97F4A7C15))
 
 
+def hash_strings(strings) -> np.ndarray:
+    """The span hash of each string."""
+    raw = [x.encode() if isinstance(x, str) else x for x in strings]
+    size = np.fromiter(map(len, raw), np.int64, len(raw))
+    end = np.cumsum(size)
+    return span_hashes(np.frombuffer(b"".join(raw), np.uint8), end - size, end)
+
+
 class Words:
     """Words of a batch of texts: byte spans, hashes, and the word offsets of each text."""
 
-    def __init__(self, column, lower: bool = False):
+    def __init__(self, column, lower: bool = False, hashed: bool = True):
         self.raw, self.at = utf8(column)
         data = self.raw
         inside = _WORD[data]
@@ -110,7 +126,8 @@ class Words:
         self.first = np.searchsorted(self.start, self.at)
         self.count = np.diff(self.first)
         self.doc = np.repeat(np.arange(len(self.count)), self.count)
-        self.hash = span_hashes(_LOWER[data] if lower else data, self.start, self.end)
+        if hashed:
+            self.hash = span_hashes(_LOWER[data] if lower else data, self.start, self.end)
 
     def __len__(self) -> int:
         return len(self.start)
