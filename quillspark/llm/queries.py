@@ -11,6 +11,7 @@ MODULES = {
     "op4_quality_rules": "quality_rules",
     "op5_bpe_codec": "bpe_codec",
     "op6_license_scan": "license_scan",
+    "op7_pii": "pii",
     "op8_ngram_join": "ngram_join",
     "op9_telephony": "telephony",
     "op10_toxicity": "toxicity",
