@@ -143,7 +143,7 @@ def token_features(tokens: list[str], k: int, shapes: list[str]) -> list[str]:
 # -- the labelled table -----------------------------------------------------------------------
 
 
-def training_table(rows: int = 700, seed: int = 11) -> list[tuple[list[str], list[str]]]:
+def training_table(rows: int = 500, seed: int = 11) -> list[tuple[list[str], list[str]]]:
     """Tokens and labels of sentences made from formats of the four kinds and of numbers that are none of them."""
     r = random.Random(seed)
     digits = lambda n: "".join(r.choice("0123456789") for _ in range(n))
@@ -248,7 +248,7 @@ def _log_sum(a: np.ndarray, axis: int) -> np.ndarray:
     return (top + np.log(np.exp(a - top).sum(axis, keepdims=True))).squeeze(axis)
 
 
-def train(table: list[tuple[list[str], list[str]]], steps: int = 150, rate: float = 0.1, ridge: float = 0.002) -> Field:
+def train(table: list[tuple[list[str], list[str]]], steps: int = 100, rate: float = 0.1, ridge: float = 0.002) -> Field:
     """Maximises the penalised conditional log-likelihood with Adam; forward and backward sums run over all sequences at once."""
     features: dict[str, int] = {}
     rows, at, number = [], [], {label: k for k, label in enumerate(LABELS)}

@@ -12,6 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql.types import DataType
 
 U64 = np.uint64
 _BASE = 0xD6E8FEB86659FD93
@@ -60,7 +61,7 @@ def with_field(schema, *fields: tuple[str, str]):
     """A copy of a Spark schema with more fields, given as name and type."""
     out = type(schema)(list(schema.fields))
     for name, kind in fields:
-        out = out.add(name, kind)
+        out = out.add(name, DataType.fromDDL(kind))
     return out
 
 
