@@ -11,16 +11,18 @@ shared, the rare ones are all lacking; of consecutive frequent pairs a token tha
 lacks breaks two and one that only the partner has breaks one, fewer than the prefix holds. Texts
 of up to 20 shingles also index frequent tokens one by one, as rounding matters for them. So combinations grow
 linearly with the text. Any split into classes is correct; the frequent class holds the tokens
-counted at least max(64, N / 2**17) times by lossy counting over all texts (the error is one per
-few megabytes of text), so it has at most 2**17 members, is broadcast, and stays 1 MB at any size.
+counted most often by lossy counting over all texts (several texts of one chunk of 8 MB have
+them; the error is one per chunk), 2**20 at most, so its broadcast stays within 8 MB at any size.
 
 Texts of equal sets are one node, the set's 64-bit fingerprint. A map task sends each key once for
 each hash range with one node, marked if it has more; only keys of two nodes come back as
 postings. A posting list is compared with its least node, not pairwise: lists whose members are
-then not all in one component go on without the nodes compared, with 4, 16, ... such nodes each
+then not all in one component go on without the nodes compared, with 8, 64, ... such nodes each
 round, until every pair of a list was compared or is connected. So all links between different
-texts count, copies are never paired, and no list is gathered. Candidates are verified on whole
-texts. Links, components and fingerprints stay in tables.
+texts count, copies are never paired, and no list is gathered. Candidates pass an exact filter
+first: the sums over 512 hash cells of the lesser cell count bound the overlap from above. The
+rest are verified on whole texts, fetched past a bitmap of the ids asked for (2 MB at any size).
+Links, components and fingerprints stay in tables.
 
 Defined results: null and empty texts have no shingles and form their own component, as does each
 of several rows with equal ids unless linked; a null id keeps a null component; with fewer than
@@ -39,6 +41,7 @@ from .words import U64, Words, chunks, mix
 
 SHINGLE, NUM, DEN = 5, 80, 100
 SMALL = 20
+CELLS = 512
 
 
 class Sets:
@@ -64,6 +67,16 @@ class Sets:
             sums = np.concatenate([np.zeros(1, U64), np.cumsum(mix(self.h + U64(0x51ED270B)), dtype=U64)])
             self.print = mix((sums[self.at[1:]] - sums[self.at[:-1]]) + self.n.astype(U64)).view(np.int64)
 
+    def cells(self) -> list[bytes]:
+        """How many shingles fall into each cell of the hash range, up to 255."""
+        out, cell = [], (self.h >> U64(50)).astype(np.int64) % CELLS
+        for base in range(0, len(self.n), 512):
+            a, b = self.at[base], self.at[min(base + 512, len(self.n))]
+            rows = min(512, len(self.n) - base)
+            counts = np.bincount((self.doc[a:b] - base) * CELLS + cell[a:b], minlength=rows * CELLS).reshape(rows, CELLS)
+            out += [r.tobytes() for r in np.minimum(counts, 255).astype(np.uint8)]
+        return out
+
     def of(self, i: int) -> np.ndarray:
         return self.h[self.at[i] : self.at[i + 1]]
 
@@ -108,7 +121,7 @@ def keys(sets: Sets, frequent: np.ndarray, num: int = NUM, den: int = DEN) -> tu
     return made & ~U64(1), np.concatenate([doc[single], doc[a]])
 
 
-_FOUND = "kind int, h long, n long, doc_id {id}, size long, node long"
+_FOUND = "kind int, h long, n long, doc_id {id}, size long, node long, cells binary"
 
 
 def _survey(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -116,12 +129,12 @@ def _survey(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     different texts of one chunk have, with their number; kind 2: the chunk's number of tokens."""
 
     def run(batches):
-        for batch in chunks(batches, text_col):
+        for batch in chunks(batches, text_col, 8 << 20):
             sets = Sets(batch.column(text_col))
             m = len(sets.n)
             ids = batch.column(id_col)
             none = pa.nulls(m, pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(m, np.int32)), none, none, ids, pa.array(sets.n.astype(np.int64)), pa.array(sets.print)], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(m, np.int32)), none, none, ids, pa.array(sets.n.astype(np.int64)), pa.array(sets.print), pa.array(sets.cells(), pa.binary())], names=names)
             own = _distinct(sets)
             h, times = np.unique(own.h, return_counts=True)
             some = times > 1
@@ -129,17 +142,24 @@ def _survey(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             kind = np.ones(len(h), np.int32)
             kind[-1] = 2
             none = pa.nulls(len(h), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(h.view(np.int64)), pa.array(times.astype(np.int64)), pa.nulls(len(h), ids.type), none, none], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(h.view(np.int64)), pa.array(times.astype(np.int64)), pa.nulls(len(h), ids.type), none, none, pa.nulls(len(h), pa.binary())], names=names)
 
-    names = ["kind", "h", "n", "doc_id", "size", "node"]
+    names = ["kind", "h", "n", "doc_id", "size", "node", "cells"]
     return docs.select(id_col, text_col).mapInArrow(run, _FOUND.format(id=docs.schema[id_col].dataType.simpleString()))
 
 
-def _frequent(survey: DataFrame, most: int) -> np.ndarray:
-    """At most `most` tokens: each was counted more than total / most times."""
-    total = survey.where("kind = 2").agg(F.sum("n")).first()[0] or 0
-    rows = survey.where("kind = 1").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") > max(64, total // most)).select("h")
-    return np.sort(rows.toPandas()["h"].to_numpy(np.int64).view(U64))
+def _frequent(survey: DataFrame, scratch: Scratch, most: int) -> np.ndarray:
+    """At most `most` tokens, those counted at least as often as the least bound that allows it."""
+    counted = scratch.keep(survey.where("kind = 1").groupBy("h").agg(F.sum("n").alias("n")))
+    level = F.floor(4 * F.log2("n")).cast("int")  # a few hundred levels at most
+    bound, seen = None, 0
+    for row in counted.groupBy(level.alias("level")).agg(F.count("*").alias("c")).orderBy(F.desc("level")).collect():
+        if seen + row.c > most:
+            break
+        bound, seen = row.level, seen + row.c
+    if bound is None:
+        return np.zeros(0, U64)
+    return np.sort(counted.where(level >= bound).select("h").toPandas()["h"].to_numpy(np.int64).view(U64))
 
 
 def _postings(docs: DataFrame, id_col: str, text_col: str, frequent: np.ndarray) -> DataFrame:
@@ -194,12 +214,42 @@ def _postings(docs: DataFrame, id_col: str, text_col: str, frequent: np.ndarray)
     return sent.groupBy("bucket").applyInArrow(match, "key long, node long")
 
 
-def _verify(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, num: int, den: int) -> DataFrame:
-    """Those of the pairs of nodes (a, b) whose sets are similar."""
-    one = lambda side: nodes.select(F.col("node").alias(side), F.col("rep").alias(f"{side}_doc"), F.col("size").alias(f"{side}_size"))
-    text = lambda side: docs.select(F.col(id_col).alias(f"{side}_doc"), F.col(text_col).alias(f"{side}_text"))
-    sized = pairs.join(one("a"), "a").join(one("b"), "b").where(den * F.least("a_size", "b_size") >= num * F.greatest("a_size", "b_size"))
-    rows = sized.select("a", "b", "a_doc", "b_doc").join(text("b"), "b_doc").join(text("a"), "a_doc").select("a", "b", "a_text", "b_text")
+def _plausible(pairs: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
+    """Those of the pairs (a, b) that sizes and cell counts allow, with the ids of their texts."""
+    one = lambda side, *more: nodes.select(F.col("node").alias(side), *[F.col(c).alias(f"{side}_{c}") for c in more])
+    sized = pairs.join(one("a", "size"), "a").join(one("b", "size"), "b").where(den * F.least("a_size", "b_size") >= num * F.greatest("a_size", "b_size"))
+    rows = sized.join(one("a", "rep", "cells"), "a").join(one("b", "rep", "cells"), "b")
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2000):
+                part = batch.slice(at, 2000)
+                x, y = (np.frombuffer(b"".join(part.column(f"{c}_cells").to_pylist()), np.uint8).reshape(-1, CELLS) for c in "ab")
+                least = np.minimum(x, y)
+                sizes = part.column("a_size").to_numpy() + part.column("b_size").to_numpy()
+                most = least.sum(1, dtype=np.int64)
+                good = (least == 255).any(1) | (den * most >= num * (sizes - most))
+                yield pa.RecordBatch.from_arrays([part.column(c).filter(pa.array(good)) for c in names], names=names)
+
+    names = ["a", "b", "a_rep", "b_rep"]
+    kept = rows.select(*names, "a_size", "b_size", "a_cells", "b_cells")
+    return kept.mapInArrow(run, kept.select(names).schema)
+
+
+def _asked(docs: DataFrame, candidates: DataFrame, id_col: str, bits: int = 23) -> DataFrame:
+    """`docs` without most of those that no candidate asks for: a bitmap of id hashes, of 2**bits bits, is broadcast."""
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << bits))
+    ids = candidates.select(F.explode(F.array("a_rep", "b_rep")).alias("id")).select(place("id").alias("p"))
+    bitmap = ids.groupBy(F.floor(F.col("p") / 64).alias("__word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 64 as int))")).alias("__bits"))
+    near = docs.withColumn("__p", place(F.col(id_col))).withColumn("__word", F.floor(F.col("__p") / 64))
+    return near.join(F.broadcast(bitmap), "__word").where(F.expr("shiftrightunsigned(__bits, cast(__p % 64 as int)) & 1L = 1L")).drop("__p", "__word", "__bits")
+
+
+def _verify(candidates: DataFrame, docs: DataFrame, id_col: str, text_col: str, num: int, den: int) -> DataFrame:
+    """Those of the candidates (a, b, a_rep, b_rep) whose sets are similar."""
+    few = _asked(docs.select(id_col, text_col), candidates, id_col)
+    text = lambda side: few.select(F.col(id_col).alias(f"{side}_rep"), F.col(text_col).alias(f"{side}_text"))
+    rows = candidates.join(text("b"), "b_rep").join(text("a"), "a_rep").select("a", "b", "a_text", "b_text")
 
     def run(batches):
         for batch in batches:
@@ -221,28 +271,43 @@ def _verify(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, id_col: str, te
     return rows.mapInArrow(run, "a long, b long")
 
 
-def join_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", num: int = NUM, den: int = DEN, most_frequent: int = 1 << 17) -> DataFrame:
+def _joined_roots(roots: DataFrame | None, found: DataFrame, scratch: Scratch) -> DataFrame:
+    """(node, root) after new links: only the components that the links join are worked on."""
+    if roots is None:
+        return scratch.keep(components(found, scratch))
+    if found.isEmpty():
+        return roots
+    of = lambda side: roots.select(F.col("node").alias(side), F.col("root").alias(f"{side}_root"))
+    links = found.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("a_root", "a").alias("a"), F.coalesce("b_root", "b").alias("b")).where("a <> b")
+    moved = components(links, scratch).withColumnsRenamed({"node": "old", "root": "new"})
+    before = roots.join(moved, roots["root"] == moved["old"], "left").select("node", F.coalesce("new", "root").alias("root"))
+    return scratch.keep(before.unionByName(moved.select(F.col("old").alias("node"), F.col("new").alias("root"))).distinct())
+
+
+def join_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", num: int = NUM, den: int = DEN, most_frequent: int = 1 << 20) -> DataFrame:
     """A row per text: id, n_shingles, and component_id, the least id reachable by links (None for a null id)."""
     scratch = Scratch(docs.sparkSession)
     survey = scratch.keep(_survey(docs, id_col, text_col))
     members = survey.where("kind = 0").select("doc_id", "size", "node")
-    nodes = scratch.keep(members.where("size > 0 and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("size").alias("size")))
-    postings = scratch.keep(_postings(docs.where(F.col(id_col).isNotNull()), id_col, text_col, _frequent(survey, most_frequent)).distinct())
-    active, links, roots, hubs = postings.withColumn("root", F.col("node")), None, None, 1
+    known = survey.where("kind = 0 and size > 0 and doc_id is not null")
+    nodes = scratch.keep(known.groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("size").alias("size"), F.min("cells").alias("cells")))
+    frequent = _frequent(survey, scratch, most_frequent)
+    active = scratch.keep(_postings(docs.where(F.col(id_col).isNotNull()), id_col, text_col, frequent)).distinct().withColumn("root", F.col("node"))
+    roots, hubs = None, 1
     while True:
         part = F.pmod(F.xxhash64("node"), F.lit(hubs))
         picked = active.groupBy("key", part.alias("part")).agg(F.min(F.struct("node", "root")).alias("hub")).select("key", F.col("hub.node").alias("hub"), F.col("hub.root").alias("hub_root"))
         pairs = active.join(picked, "key").where("node <> hub and root <> hub_root").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
-        found = scratch.keep(_verify(pairs, docs, nodes, id_col, text_col, num, den))
-        links = found if links is None else scratch.keep(links.unionByName(found))
-        roots = components(links, scratch)
+        candidates = scratch.keep(_plausible(pairs, nodes, num, den))
+        found = scratch.keep(_verify(candidates, docs, id_col, text_col, num, den))
+        roots = _joined_roots(roots, found, scratch)
         rest = active.drop("root").join(picked.select("key", F.col("hub").alias("node")), ["key", "node"], "left_anti")
         rest = rest.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         mixed = rest.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
         active = scratch.keep(rest.join(mixed, "key", "left_semi"))
         if active.isEmpty():
             break
-        hubs *= 4
+        hubs *= 8
     homes = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = homes.groupBy("root").agg(F.min("rep").alias("component_id"))
     placed = homes.join(least, "root").select("node", "component_id")
