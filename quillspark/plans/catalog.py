@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from . import log_queries, text_queries, web_queries
+
+MODULES = (text_queries, log_queries, web_queries)
+
 
 def queries() -> dict:
-    return {}
+    return {name: f for module in MODULES for name, f in module.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for module in MODULES for name, sql in module.SQL.items()}
