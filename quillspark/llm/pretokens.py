@@ -41,14 +41,6 @@ def units(data: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.flatnonzero(begins)
 
 
-class _Numbers(dict):
-    """Numbers unseen keys in the order of their first use."""
-
-    def __missing__(self, key):
-        self[key] = n = len(self)
-        return n
-
-
 class Memo:
     """Token ids by unit. `encode` gets a batch's unseen units and returns their ids end to end and the
     number of ids of each; the memo is emptied when it holds more than `most` units, so that memory
@@ -59,7 +51,7 @@ class Memo:
         self._clear()
 
     def _clear(self) -> None:
-        self.numbers = _Numbers()
+        self.hashes, self.numbers = np.zeros(0, np.uint64), np.zeros(0, np.int64)  # ascending by hash
         self.ids, self.size = np.zeros(1 << 16, np.uint32), np.zeros(1 << 16, np.int64)
         self.at = np.zeros(1 << 16, np.int64)
         self.known = self.filled = 0
@@ -76,9 +68,15 @@ class Memo:
         begin = units(data, texts)
         end = np.append(begin[1:], len(data)) if len(begin) else begin
         own, index, inverse = np.unique(span_hashes(data, begin, end), return_index=True, return_inverse=True)
-        number = np.fromiter(map(self.numbers.__getitem__, own.tolist()), np.int64, len(own))
-        fresh = np.flatnonzero(number >= self.known)
+        spot = np.searchsorted(self.hashes, own)
+        number = np.full(len(own), -1)
+        near = np.flatnonzero(spot < self.known)
+        near = near[self.hashes[spot[near]] == own[near]]
+        number[near] = self.numbers[spot[near]]
+        fresh = np.flatnonzero(number < 0)
         if len(fresh):
+            number[fresh] = self.known + np.arange(len(fresh))
+            self.hashes, self.numbers = np.insert(self.hashes, spot[fresh], own[fresh]), np.insert(self.numbers, spot[fresh], number[fresh])
             where = index[fresh]
             body = data.tobytes()
             got, sizes = self.encode([body[a:b].decode() for a, b in zip(begin[where].tolist(), end[where].tolist())])

@@ -65,7 +65,7 @@ def with_field(schema, *fields: tuple[str, str]):
     return out
 
 
-def chunks(batches, text: str, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def chunks(batches, text: str, size: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """The rows in record batches of at most about `size` bytes of text, at least one row each."""
     for batch in batches:
         if not batch.num_rows:
