@@ -74,9 +74,15 @@ def stats_columns(text: str, rules: QualityRules = QualityRules()) -> dict[str,
     }
 
 
+def once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """`df` with the columns, worked out once a row: behind a generator the optimizer does not repeat
+    their expressions in later filters and lambdas."""
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(name) for name, c in columns.items()]))))
+
+
 def with_stats(df: DataFrame, text: str = "text", rules: QualityRules = QualityRules()) -> DataFrame:
     """net, lines, cjk, garble, dup, punct and blank of each text."""
-    df = df.withColumns(stats_columns(text, rules))
+    df = once(df, stats_columns(text, rules))
     empty = F.col("q_blank")
     per_char = lambda c: F.col(c) / F.col("q_net")
     return df.withColumns({

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from . import chars
-from .quality import trim
+from .quality import once, trim
 
 SPACES = "[ \\t\\r\\f\\x0b]+"
 TERMINAL = "[。！？!?….”\"』」]$"
@@ -162,9 +162,9 @@ def xor_text(body: Column, key: int) -> Column:
 
 
 def joined_pieces(body: Column) -> Column:
-    """The quoted pieces of a string concatenation, joined; null if there is none."""
+    """The quoted pieces of a string concatenation, joined; null if it is none."""
     found = F.regexp_extract_all(body, F.lit("[\"']([^\"']*)[\"']"), 1)
-    return F.when(F.size(found) > 0, F.array_join(found, ""))
+    return F.when(body.rlike("^\\s*(?:[\"'][^\"']*[\"']\\s*\\+\\s*)*+[\"'][^\"']*[\"']\\s*;?\\s*$"), F.array_join(found, ""))
 
 
 def script_calls(body: Column) -> Column:
@@ -173,11 +173,16 @@ def script_calls(body: Column) -> Column:
     return F.when(F.size(found) > 0, F.array_join(F.transform(found, base64_text), ""))
 
 
-def decode_body(body: Column) -> Column:
-    """struct(text, method) by the first decoder that applies."""
-    calls, plain, back, pieces = script_calls(body), base64_text(body), base64_text(F.reverse(body)), joined_pieces(body)
-    named = lambda c, name: F.when(c.isNotNull() & (c != ""), F.struct(c.alias("text"), F.lit(name).alias("method")))
-    return F.coalesce(named(calls, "calls"), named(plain, "base64"), named(back, "reversed"), named(pieces, "concat"), F.struct(body.alias("text"), F.lit("plain").alias("method")))
+def decode_bodies(df: DataFrame, body: str) -> DataFrame:
+    """`df` with `text` and `method`: what the first decoder that applies makes of column `body`."""
+    c = F.col(body)
+    df = once(df, {"__calls": script_calls(c), "__plain": base64_text(c), "__back": base64_text(F.reverse(c)), "__pieces": joined_pieces(c)})
+    tried = {"calls": "__calls", "base64": "__plain", "reversed": "__back", "concat": "__pieces"}
+    applies = lambda name: F.coalesce(F.col(name) != "", F.lit(False))
+    text, method = c, F.lit("plain")
+    for name, column in reversed(tried.items()):
+        text, method = F.when(applies(column), F.col(column)).otherwise(text), F.when(applies(column), name).otherwise(method)
+    return df.withColumn("method", method).withColumn("text", text).drop(*tried.values())
 
 
 # -- URLs -------------------------------------------------------------------------------------

@@ -169,8 +169,8 @@ def body_decoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     b64 = F.base64(t.cast("binary"))
     way = F.col("doc_id") % 4
     hidden = F.when(way == 0, b64).when(way == 1, F.concat(F.lit("w.d('"), b64, F.lit("')"))).when(way == 2, F.concat(F.lit("'"), F.regexp_replace(t, "['\"]", ""), F.lit("'+'!'"))).otherwise(F.concat(t, F.lit(" ~")))
-    found = table(spark, sf_dir, "documents").where(F.length("text") >= 10).select("doc_id", tx.decode_body(F.regexp_replace(hidden, "[\\r\\n]", "")).alias("d"))
-    return found.select("doc_id", "d.method", F.sha2("d.text", 256).alias("sha256"))
+    bodies = table(spark, sf_dir, "documents").where(F.length("text") >= 10).select("doc_id", F.regexp_replace(hidden, "[\\r\\n]", "").alias("body"))
+    return tx.decode_bodies(bodies, "body").select("doc_id", "method", F.sha2("text", 256).alias("sha256"))
 
 
 _SENT_SQL = f"list_filter(list_transform(regexp_split_to_array(coalesce(text, ''), '[。！？!?…\\n.]+'), lambda x: regexp_replace(x, '{TRIM}', '', 'g')), lambda x: x <> '')"
