@@ -44,12 +44,12 @@ def trimmed_lines(text: Column) -> Column:
 
 
 def count_class(text: Column, *classes) -> Column:
-    return F.regexp_count(text, F.lit(chars.java(*classes)))
+    return F.regexp_count(text, F.lit(chars.quick(*classes)))
 
 
 def garble_run_length(text: Column, least: int = 4) -> Column:
     """Characters in runs of `least` or more that are neither script, ASCII letters or digits, space nor punctuation."""
-    return F.length(text) - F.length(F.regexp_replace(text, f"{chars.java(*chars.ALLOWED, negate=True)}{{{least},}}", ""))
+    return F.length(text) - F.length(F.regexp_replace(text, f"{chars.quick(*chars.ALLOWED, negate=True)}{{{least},}}", ""))
 
 
 def half_up(x: Column, digits: int = 1) -> Column:

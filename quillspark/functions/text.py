@@ -169,7 +169,7 @@ def joined_pieces(body: Column) -> Column:
 
 def script_calls(body: Column) -> Column:
     """Decoded Base64 arguments of `object.function('...')` calls, joined; null if there is none."""
-    found = F.regexp_extract_all(body, F.lit("[A-Za-z_$][\\w$]*\\.[A-Za-z_$][\\w$]*\\(['\"]([A-Za-z0-9+/=]{8,})['\"]\\)"), 1)
+    found = F.regexp_extract_all(body, F.lit("(?<![\\w$])[A-Za-z_$][\\w$]*+\\.[A-Za-z_$][\\w$]*+\\(['\"]([A-Za-z0-9+/=]{8,})['\"]\\)"), 1)
     return F.when(F.size(found) > 0, F.array_join(F.transform(found, base64_text), ""))
 
 
