@@ -215,10 +215,9 @@ def _postings(docs: DataFrame, id_col: str, text_col: str, frequent: np.ndarray)
 
 
 def _plausible(pairs: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
-    """Those of the pairs (a, b) that sizes and cell counts allow, with the ids of their texts."""
+    """Those of the pairs (a, b) that the cell counts allow, with the ids of their texts."""
     one = lambda side, *more: nodes.select(F.col("node").alias(side), *[F.col(c).alias(f"{side}_{c}") for c in more])
-    sized = pairs.join(one("a", "size"), "a").join(one("b", "size"), "b").where(den * F.least("a_size", "b_size") >= num * F.greatest("a_size", "b_size"))
-    rows = sized.join(one("a", "rep", "cells"), "a").join(one("b", "rep", "cells"), "b")
+    rows = pairs.join(one("a", "rep", "size", "cells"), "a").join(one("b", "rep", "size", "cells"), "b")
 
     def run(batches):
         for batch in batches:
@@ -292,12 +291,14 @@ def join_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     known = survey.where("kind = 0 and size > 0 and doc_id is not null")
     nodes = scratch.keep(known.groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("size").alias("size"), F.min("cells").alias("cells")))
     frequent = _frequent(survey, scratch, most_frequent)
-    active = scratch.keep(_postings(docs.where(F.col(id_col).isNotNull()), id_col, text_col, frequent)).distinct().withColumn("root", F.col("node"))
+    found = _postings(docs.where(F.col(id_col).isNotNull()), id_col, text_col, frequent).distinct()
+    active = scratch.keep(found.join(nodes.select("node", "size"), "node").withColumn("root", F.col("node")))
     roots, hubs = None, 1
     while True:
         part = F.pmod(F.xxhash64("node"), F.lit(hubs))
-        picked = active.groupBy("key", part.alias("part")).agg(F.min(F.struct("node", "root")).alias("hub")).select("key", F.col("hub.node").alias("hub"), F.col("hub.root").alias("hub_root"))
-        pairs = active.join(picked, "key").where("node <> hub and root <> hub_root").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
+        picked = active.groupBy("key", part.alias("part")).agg(F.min(F.struct("node", "root", "size")).alias("hub")).select("key", F.col("hub.node").alias("hub"), F.col("hub.root").alias("hub_root"), F.col("hub.size").alias("hub_size"))
+        fits = f"node <> hub and root <> hub_root and {den} * least(size, hub_size) >= {num} * greatest(size, hub_size)"
+        pairs = active.join(picked, "key").where(fits).select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
         candidates = scratch.keep(_plausible(pairs, nodes, num, den))
         found = scratch.keep(_verify(candidates, docs, id_col, text_col, num, den))
         roots = _joined_roots(roots, found, scratch)

@@ -76,6 +76,8 @@ def chunks(batches, text: str, size: int = 2 << 20) -> Iterator[pa.RecordBatch]:
             end = max(begin + 1, int(np.searchsorted(at, at[begin] + size, "right")) - 1)
             yield batch.slice(begin, end - begin)
             begin = end
+        del batch
+        pa.default_memory_pool().release_unused()
 
 
 def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
