@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .pretokens import Memo, split
-from .words import U64, chunks, mix, span_hashes, with_field
+from .words import U64, chunks, mix, small_batches, span_hashes, with_field
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -170,6 +170,7 @@ def _codec(shared) -> Codec:
 
 
 def _share(spark, path: str):
+    small_batches(spark)
     ranks = read_ranks(path)
     return spark.sparkContext.broadcast((hashlib.sha256(Path(path).read_bytes()).hexdigest(), ranks, PerfectHash.build(ranks)))
 
@@ -180,7 +181,7 @@ def encode(docs: DataFrame, ranks_path: str, text_col: str = "text", ids_col: st
     shared, schema = _share(docs.sparkSession, ranks_path), with_field(docs.schema, (ids_col, "array<int>"))
 
     def run(batches):
-        for batch in chunks(batches, text_col, 2 << 20):
+        for batch in chunks(batches, text_col):
             ids, at = _codec(shared).encode(batch.column(text_col))
             yield batch.append_column(ids_col, pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids.astype(np.int32))))
 
@@ -208,7 +209,7 @@ def round_trip(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_co
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
-        for batch in chunks(batches, text_col, 2 << 20):
+        for batch in chunks(batches, text_col):
             codec = _codec(shared)
             ids, at = codec.encode(batch.column(text_col))
             body, bounds = codec.decode(ids, at)

@@ -11,7 +11,7 @@ shared, the rare ones are all lacking; of consecutive frequent pairs a token tha
 lacks breaks two and one that only the partner has breaks one, fewer than the prefix holds. Texts
 of up to 20 shingles also index frequent tokens one by one, as rounding matters for them. So combinations grow
 linearly with the text. Any split into classes is correct; the frequent class holds the tokens
-counted most often by lossy counting over all texts (several texts of one chunk of 3 MB have
+counted most often by lossy counting over all texts (several texts of one chunk of 2 MB have
 them; the error is one per chunk), 2**20 at most, so its broadcast stays within 8 MB at any size.
 
 Texts of equal sets are one node, the set's 64-bit fingerprint. A map task sends each key once for
@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .components import components
 from .scratch import Scratch
-from .words import U64, Words, chunks, mix
+from .words import U64, Words, chunks, mix, small_batches
 
 SHINGLE, NUM, DEN = 5, 80, 100
 SMALL = 20
@@ -129,7 +129,7 @@ def _survey(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     different texts of one chunk have, with their number; kind 2: the chunk's number of tokens."""
 
     def run(batches):
-        for batch in chunks(batches, text_col, 3 << 20):
+        for batch in chunks(batches, text_col, 2 << 20):
             sets = Sets(batch.column(text_col))
             m = len(sets.n)
             ids = batch.column(id_col)
@@ -168,7 +168,7 @@ def _postings(docs: DataFrame, id_col: str, text_col: str, frequent: np.ndarray)
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def index(batches):
-        for batch in chunks(batches, text_col, 3 << 20):
+        for batch in chunks(batches, text_col, 2 << 20):
             sets = _distinct(Sets(batch.column(text_col)))
             key, doc = keys(sets, shared.value)
             node = sets.print[doc]
@@ -285,6 +285,7 @@ def _joined_roots(roots: DataFrame | None, found: DataFrame, scratch: Scratch) -
 
 def join_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", num: int = NUM, den: int = DEN, most_frequent: int = 1 << 20) -> DataFrame:
     """A row per text: id, n_shingles, and component_id, the least id reachable by links (None for a null id)."""
+    small_batches(docs.sparkSession)
     scratch = Scratch(docs.sparkSession)
     survey = scratch.keep(_survey(docs, id_col, text_col))
     members = survey.where("kind = 0").select("doc_id", "size", "node")

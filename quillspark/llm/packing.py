@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from .pretokens import Memo
-from .words import chunks
+from .words import chunks, small_batches
 
 TIERS = (256, 512, 1024)
 STEP_TOKENS = 8192
@@ -177,6 +177,7 @@ def pack(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str
     """A row for each piece: its document, start and length there, its sequence and offset there, the
     sequence's tier and step group, and, if `with_ids`, the token ids. `vocabulary` is the path of a
     tokenizer file on the driver; its contents, of bounded size, are broadcast."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(Path(vocabulary).read_text())
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"`{id_col}` {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier int, step_id long"
@@ -202,7 +203,7 @@ def pack(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str
                 names.append("ids")
             return pa.RecordBatch.from_arrays(arrays, names)
 
-        for batch in chunks(batches, text_col, 2 << 20):
+        for batch in chunks(batches, text_col):
             id_type = batch.column(id_col).type
             ids, at = encode(batch.column(text_col))
             for doc, a, b in zip(batch.column(id_col).to_pylist(), at[:-1], at[1:]):

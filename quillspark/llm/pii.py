@@ -29,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .words import Words, chunks, utf8, with_field
+from .words import Words, chunks, small_batches, utf8, with_field
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("O", *(f"{p}-{k}" for k in KINDS for p in "BI"))
@@ -404,6 +404,7 @@ def default_field() -> Field:
 
 def find(docs: DataFrame, text_col: str = "text", field: Field | None = None, keep_text: bool = True, mask: bool = False) -> DataFrame:
     """`docs` with `spans`; with `mask`, each span in the text is replaced by its kind in angle brackets."""
+    small_batches(docs.sparkSession)
     finder = Finder(field or default_field())
     docs = docs.drop("spans")
     kept = [c for c in docs.columns if keep_text or c != text_col]

@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .words import U64, Words, chunks, covered, mix, per_doc, span_hashes, with_field
+from .words import U64, Words, chunks, covered, mix, per_doc, small_batches, span_hashes, with_field
 
 STATISTICS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 _SYMBOL = np.zeros(256, bool)
@@ -42,6 +42,7 @@ RULES: dict[str, tuple[str, tuple[float, ...]]] = {
 
 def statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """`docs` without the text and with the five statistics of it; columns of their names are replaced."""
+    small_batches(docs.sparkSession)
     kept = [c for c in docs.columns if c not in STATISTICS]
     schema = with_field(docs.select([c for c in kept if c != text_col]).schema, *[(name, "long") for name in STATISTICS])
 

@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .words import U64, Words, covered, per_doc
+from .words import U64, Words, covered, per_doc, small_batches
 
 _PIECES = "batch int, bucket int, body binary"
 _KEY = 30
@@ -145,6 +145,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         raise ValueError("window must be at least 2 * block - 1 words")
     clash = {"n_words", "n_removed", "__batch"} & set(docs.columns)
     docs = docs.drop(*clash)
+    small_batches(docs.sparkSession)
     width = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     batches, buckets = batches or 2 * width, buckets or max(1, width // 2)
     dealt = docs.withColumn("__batch", F.pmod(F.xxhash64(F.col(id_col), F.lit(7)), F.lit(batches)).cast("int")).repartition(width, "__batch")

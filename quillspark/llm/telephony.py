@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .words import chunks, with_field
+from .words import chunks, small_batches, with_field
 
 RATE, STORE_RATE = 8000, 16000
 #: WAVE format tags, and the ADPCM index and step rules of the IMA recommendation.
@@ -169,11 +169,12 @@ def _feature(tag: int, samples: np.ndarray, stored: np.ndarray) -> str:
 def store_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_media: bool = True) -> DataFrame:
     """Each text's UTF-8 bytes, filled up with spaces to a positive multiple of 192, as a telephony file whose
     format follows from the bytes (crc32 mod 3: mu-law, A-law, ADPCM); then what is read back from that file."""
+    small_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"`{id_col}` {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
     def run(batches):
-        for batch in chunks(batches, text_col, 1 << 20):
+        for batch in chunks(batches, text_col):
             raw = [(t or "").encode() for t in batch.column(text_col).to_pylist()]
             filled = [r + b" " * (-len(r) % BLOCK if r else BLOCK) for r in raw]
             media = [container((MULAW, ALAW, IMA)[zlib.crc32(p) % 3], p) for p in filled]

@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .words import Words, chunks, hash_strings, span_hashes, utf8, with_field
+from .words import Words, chunks, hash_strings, small_batches, span_hashes, utf8, with_field
 
 #: The lexicon and the second persons, in lower case; both are parameters.
 LEXICON = (
@@ -311,6 +311,7 @@ def _learn_lexicon(texts: DataFrame, text_col: str, size: int, least: int = 3, d
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", score_col: str = "score") -> DataFrame:
     """`docs` with the score of each text; a column of that name is replaced."""
+    small_batches(docs.sparkSession)
     docs = docs.drop(score_col)
 
     def run(batches):

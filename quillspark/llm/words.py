@@ -65,7 +65,15 @@ def with_field(schema, *fields: tuple[str, str]):
     return out
 
 
-def chunks(batches, text: str, size: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+def small_batches(spark, rows: int = 1000) -> None:
+    """Texts reach the workers in Arrow batches of `rows`, where the session still has Spark's default of 10,000:
+    a batch is held on both sides at once, and texts can be long."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, rows)
+
+
+def chunks(batches, text: str, size: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """The rows in record batches of at most about `size` bytes of text, at least one row each."""
     for batch in batches:
         if not batch.num_rows:
