@@ -54,7 +54,10 @@ def minima(strings: Column, bands: int) -> Column:
 
 
 def bands_for(templates: dict[str, str], recall: float) -> int:
-    least = min((n - SHINGLE + 1) / (2 * n - SHINGLE + 1) for n in (len("".join(c if c.isalnum() else " " for c in t).split()) for t in templates.values()))
+    lengths = {name: len("".join(c if c.isalnum() else " " for c in t).split()) for name, t in templates.items()}
+    if short := [name for name, n in lengths.items() if n < SHINGLE]:
+        raise ValueError(f"templates of fewer than {SHINGLE} words: {short}")
+    least = min((n - SHINGLE + 1) / (2 * n - SHINGLE + 1) for n in lengths.values())
     return math.ceil(math.log(1 - recall) / math.log(1 - least))
 
 
@@ -66,8 +69,6 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, id_col: str = "
     known = given.select("license", F.size("w").alias("n"), F.array_distinct(shingles(F.col("w"))).alias("t")).withColumn("mins", minima(F.col("t"), bands))
     known = known.withColumn("anchors", F.filter("t", lambda s: F.exists(F.sequence(F.lit(1), F.lit(bands)), lambda b: F.xxhash64(s, b) == F.get(F.col("mins"), b - 1))))
     rows = known.collect()  # as many rows as there are templates
-    if short := [r.license for r in rows if r.n < SHINGLE]:
-        raise ValueError(f"templates of fewer than {SHINGLE} words: {short}")
     anchors = sorted({a for r in rows for a in r.anchors})
     widest = max(r.n for r in rows)
     w = F.col("w")
