@@ -119,6 +119,30 @@ def version_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return log.groupBy("url").agg(F.max_by("hash", F.struct("ts", "event_id")).alias("hash"), F.max("ts").alias("version"))
 
 
+def replay_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Share of requests whose outcome agrees with what the one before predicts, per domain."""
+    log = crawl_log(spark, sf_dir)
+    before = F.lag("result").over(Window.partitionBy("domain").orderBy("ts", "event_id"))
+    return log.withColumn("said", F.coalesce(before, F.lit("ok"))).groupBy("domain").agg(F.round(F.avg(F.col("said").eqNullSafe(F.col("result")).cast("int")), 6).alias("agreement"))
+
+
+def probe_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last probe of each URL, summed up per domain, with a health percentage."""
+    last = crawl_log(spark, sf_dir).groupBy("domain", "url").agg(F.max_by("result", F.struct("ts", "event_id")).alias("last"))
+    return last.groupBy("domain").agg(F.count("*").alias("n"), F.count_if(F.col("last") == "ok").alias("ok"), F.count_if(F.col("last") == "failed").alias("failed"), F.round(100 * F.avg((F.col("last") == "ok").cast("int")), 4).alias("health"))
+
+
+def latest_suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The latest purchase of each domain as a suggestion; the ten most confident."""
+    log = crawl_log(spark, sf_dir).where("event_type = 'purchase'")
+    return h.keep_recent(log, "domain", [F.desc("ts"), F.desc("event_id")], 1).orderBy(F.desc("hash"), "domain").limit(10).select("domain", "event_id", "hash")
+
+
+def log_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log rows by source, level and key word."""
+    return crawl_log(spark, sf_dir).where(F.col("domain").isin("d1", "d2") & (F.col("result") == "failed") & F.col("url").contains("1")).select("event_id")
+
+
 def session_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crawl_log(spark, sf_dir).groupBy("domain", F.session_window("ts", "3 hours").alias("w")).agg(F.count("*").alias("n")).select("domain", F.col("w.start").alias("started"), "n")
 
@@ -157,7 +181,7 @@ def stream_breaker(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     change_detection, change_counts, history_filter, incremental_skip, failure_runs, recovery, recent_urls, retention_cap, engine_hits, site_statistics, daily_alerts, failure_ema, rate_surges, throttled,
-    adjacent_duplicates, task_history, verdicts, retry_queue, version_guard, session_windows, stream_alerts, stream_throttle, stream_tiers, stream_breaker,
+    adjacent_duplicates, task_history, verdicts, retry_queue, version_guard, replay_agreement, probe_summary, latest_suggestions, log_filter, session_windows, stream_alerts, stream_throttle, stream_tiers, stream_breaker,
 )}
 
 _CHANGE = f"""SELECT event_id, url, CASE WHEN result = 'failed' THEN 'failed' WHEN last IS NULL THEN 'new' WHEN last = hash THEN 'unchanged' ELSE 'updated' END AS change
@@ -188,6 +212,10 @@ SELECT event_id, ok_run, ok_run >= 8 AND (bad IS NULL OR epoch_us(ts) - epoch_us
 a AS (SELECT *, row_number() OVER (PARTITION BY url, island ORDER BY ts, event_id) AS attempt FROM i WHERE result = 'failed')
 SELECT event_id, attempt, least(coalesce(CASE WHEN hash % 2 = 0 THEN hash::DOUBLE END, pow(2.0::DOUBLE, attempt)), 300.0::DOUBLE) AS wait_s FROM a WHERE attempt <= 3""",
     "version_guard": f"SELECT url, last(hash ORDER BY ts, event_id) AS hash, max(ts) AS version FROM {CRAWL_LOG} GROUP BY url",
+    "replay_agreement": f"SELECT domain, round(avg(CASE WHEN said = result THEN 1 ELSE 0 END), 6) AS agreement FROM (SELECT *, coalesce(lag(result) OVER (PARTITION BY domain ORDER BY ts, event_id), 'ok') AS said FROM {CRAWL_LOG}) GROUP BY domain",
+    "probe_summary": f"SELECT domain, count(*) AS n, count(*) FILTER (last = 'ok') AS ok, count(*) FILTER (last = 'failed') AS failed, round(100 * avg(CASE WHEN last = 'ok' THEN 1 ELSE 0 END), 4) AS health FROM (SELECT domain, url, last(result ORDER BY ts, event_id) AS last FROM {CRAWL_LOG} GROUP BY ALL) GROUP BY domain",
+    "latest_suggestions": f"SELECT domain, event_id, hash FROM (SELECT * FROM {CRAWL_LOG} WHERE event_type = 'purchase' QUALIFY row_number() OVER (PARTITION BY domain ORDER BY ts DESC, event_id DESC) = 1) ORDER BY hash DESC, domain LIMIT 10",
+    "log_filter": f"SELECT event_id FROM {CRAWL_LOG} WHERE domain IN ('d1', 'd2') AND result = 'failed' AND contains(url, '1')",
     "session_windows": f"""WITH g AS (SELECT domain, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY domain ORDER BY ts, event_id) < INTERVAL 3 HOUR THEN 0 ELSE 1 END AS n, event_id FROM {CRAWL_LOG}),
 s AS (SELECT domain, ts, sum(n) OVER (PARTITION BY domain ORDER BY ts, event_id) AS k FROM g) SELECT domain, min(ts) AS started, count(*) AS n FROM s GROUP BY domain, k""",
     "stream_alerts": _DAILY,

@@ -127,6 +127,24 @@ def test_text_functions(spark):
     assert one(tx.html_text, "<p>a&amp;b</p><script>x</script><br>c") == "a&b\nc"
 
 
+def test_sites_and_charsets(spark):
+    from quillspark.functions.charset import decode_bytes
+    from quillspark.functions.sites import Registry
+
+    known = Registry()
+    known.stage("title")(lambda g: F.upper(g["t"]))
+    known.stage("title", "a.com")(lambda g: F.when(g["t"] != "x", F.concat(F.lit("A "), g["t"])))
+    known.alias["name"] = "title"
+    df = spark.createDataFrame([("m.a.com", "q"), ("a.com", "x"), ("b.com", "q")], "host string, t string")
+    got = df.select(known.column("name", F.col("host"), {"t": F.col("t")}).alias("c"), known.column("other", F.col("host"), {}).alias("o")).collect()
+    assert [r.c for r in got] == ["A q", "X", "Q"] and all(r.o is None for r in got)
+    texts = ["中文正文内容", "plain", "繁體中文內容"]
+    raw = [(texts[0].encode("gb18030"),), (texts[1].encode(),), (texts[2].encode("utf-8"),), (b"\xff\xff\xff",), (None,)]
+    out = [r.d for r in spark.createDataFrame(raw, "b binary").select(decode_bytes(F.col("b")).alias("d")).collect()]
+    assert [o.text for o in out[:3]] == texts and [o.charset for o in out[:3]] == ["gb18030", "utf-8", "utf-8"]
+    assert out[3].text == "\ufffd" * 3 and out[4].text is None
+
+
 def test_empty_tables(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert books.duplicate_pairs(empty).count() == 0
