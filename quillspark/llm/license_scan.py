@@ -66,7 +66,9 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, id_col: str = "
     matching window, and the number of matching windows."""
     spark, bands = docs.sparkSession, bands_for(templates, recall)
     given = spark.createDataFrame(sorted(templates.items()), "license string, notice string").withColumn("w", words(F.col("notice")))
-    known = given.select("license", F.size("w").alias("n"), F.array_distinct(shingles(F.col("w"))).alias("t")).withColumn("mins", minima(F.col("t"), bands))
+    # A generator between two steps keeps the optimizer from repeating a step's work inside the next one's lambdas.
+    once = lambda column: F.explode(F.array(column))
+    known = given.select("license", F.size("w").alias("n"), once(F.array_distinct(shingles(F.col("w")))).alias("t")).withColumn("mins", once(minima(F.col("t"), bands)))
     known = known.withColumn("anchors", F.filter("t", lambda s: F.exists(F.sequence(F.lit(1), F.lit(bands)), lambda b: F.xxhash64(s, b) == F.get(F.col("mins"), b - 1))))
     rows = known.collect()  # as many rows as there are templates
     anchors = sorted({a for r in rows for a in r.anchors})
@@ -77,8 +79,6 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, id_col: str = "
     near = F.transform(at, lambda p: F.struct(p.alias("p"), F.greatest(p - 2 * widest, F.lit(0)).alias("base"), F.transform(F.sequence(F.greatest(p - 2 * widest, F.lit(0)), F.least(p + 2 * widest, F.size(w) - 1)), lambda i: F.get(w, i)).alias("around")))
     hits = docs.select(id_col, words(F.col(text_col)).alias("w")).where(F.size("w") >= SHINGLE).select(id_col, F.explode(near).alias("h")).select(id_col, "h.*")
     by_anchor = known.select(F.explode("anchors").alias("anchor"), "license", "n", "t", "mins")
-    # A generator between two steps keeps the optimizer from repeating a step's work inside the next one's lambdas.
-    once = lambda column: F.explode(F.array(column))
     stride = F.floor(F.col("p") / F.col("n")).cast("int") * F.col("n")
     windows = (
         hits.withColumn("anchor", _shingle(F.col("around"), F.col("p") - F.col("base")))
