@@ -1,14 +1,23 @@
 """Quality rules whose cutoffs are chosen under a bound on false rejection.
 
-Statistics of every text are computed in one vectorised pass. For each stratum and rule, labelled
-texts form a holdout; for each cutoff of a fixed grid the rejected good texts among all good ones
-give an exact upper bound (Clopper and Pearson) of the false-rejection rate. Of the cutoffs whose
-bound meets the rule's share of the limit the one that rejects most is taken; none, where no
-cutoff meets it. Every bound holds at level delta / (cutoffs tested in all: strata x rules x grid),
-Bonferroni's correction, and the rules' shares add up to the limit; so with probability
-1 - delta at least, no stratum loses more than `limit` of its good texts to all rules together.
-
-Counts go by one aggregation to (stratum, rule, cutoff): the holdout is never gathered. The cutoff
+Statistics of every text are computed in one vectorised pass. For each stratum, labelled texts
+form a holdout. Its bad texts alone lay down a path: from no cutoff at all, one step after another
+tightens one rule to its next cutoff that rejects bad texts still kept; the rule that gains most a
+step of its grid goes first. Its good texts test the path: a step holds if the exact upper bound (Clopper and
+Pearson) of the share that ALL cutoffs chosen so far reject together is `limit` at most. The
+rejected sets of a path are nested, so its steps share one level (fixed sequence). A step that
+fails freezes its rule, and the others go on at level delta / strata / 2**(f + 1) / C(steps, f)
+after f failures, as so many places of the failures are possible; these levels add up to delta at
+most. So with probability 1 - delta at least, no stratum loses more than `limit` of its good texts.
+No cutoff is chosen without a labelled bad text that speaks for it.
+
+Strata with fewer good texts than the first step needs without any rejection (251 for four strata)
+are tested together, as one pooled stratum: they get the same cutoffs, and the limit holds for
+their good texts taken together, in the holdout's proportions, not for each of them. If the pool is
+too small as well it has no cutoffs, and a stratum without labelled texts has none.
+
+Counts go by one aggregation to (stratum, good, cutoffs passed of each rule), 21,168 rows a stratum
+at most for the given rules: the holdout is never gathered. The cutoff
 table has a row per stratum and reaches the texts by a join whose strategy Spark picks by size.
 
 Defined results: a null or empty text has no words and fails the base rule; a null stratum is a
@@ -24,6 +33,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .scratch import Scratch
 from .words import U64, Words, chunks, covered, mix, per_doc, small_batches, span_hashes, with_field
 
 STATISTICS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -106,29 +116,67 @@ def upper_bound(bad: int, n: int, level: float) -> float:
     return high
 
 
+def chosen(levels: np.ndarray, n: np.ndarray, good: np.ndarray, grid: list[int], strata: int, limit: float, delta: float) -> list[int]:
+    """Of each rule the index of its cutoff, or the grid's length for none, from the counts n of texts that exceed
+    the first `levels` of a rule's ascending cutoffs."""
+    bad, bad_n = levels[~good], n[~good]
+    now, path = list(grid), []
+    while True:
+        left = (bad <= np.array(now)).all(1) if len(bad) else np.zeros(0, bool)
+        best = None
+        for r in range(len(grid)):
+            own, times = bad[left, r], bad_n[left]
+            steps = [i for i in range(now[r]) if (own == i + 1).any()]
+            if steps:
+                gain = max(times[own > i].sum() / (now[r] - i) for i in steps)
+                if best is None or gain > best[0]:
+                    best = gain, r, steps[-1]
+        if best is None:
+            break
+        now[best[1]] = best[2]
+        path.append(best[1:])
+    good_levels, good_n = levels[good], n[good]
+    total = int(good_n.sum())
+    now, frozen = list(grid), set()
+    for r, i in path:
+        if r in frozen:
+            continue
+        tried = [i if q == r else c for q, c in enumerate(now)]
+        lost = int(good_n[(good_levels > np.array(tried)).any(1)].sum())
+        level = delta / strata / 2 ** (len(frozen) + 1) / math.comb(len(path), len(frozen))
+        if lost <= limit * total and upper_bound(lost, total, level) <= limit:
+            now = tried
+        else:
+            frozen.add(r)
+    return now
+
+
 def cutoffs(stats: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality", stratum: str = "lang", rules=RULES, limit: float = 0.02, delta: float = 0.05) -> DataFrame:
     """A row per stratum: the cutoff of each rule, null where none is safe. Texts that the base rule fails are not tested."""
     names = list(rules)
-    tried = [F.struct(F.lit(r).alias("rule"), F.lit(float(c)).alias("cutoff"), (F.expr(rules[r][0]) > c).cast("long").alias("over")) for r in names for c in rules[r][1]]
+    grids = [sorted(float(c) for c in rules[r][1]) for r in names]
+    passed = [sum((F.expr(rules[r][0]) > c).cast("int") for c in grid).alias(f"level_{r}") for r, grid in zip(names, grids)]
+    levels = [f"level_{r}" for r in names]
     good = labels.where(F.col(label_col).isNotNull()).groupBy(id_col).agg(F.min(label_col).alias("__good"))
-    counted = (
-        stats.where(~base_failed())
-        .join(good, id_col)
-        .select(F.col(stratum).alias("stratum"), (F.col("__good") == 1).alias("good"), F.explode(F.array(*tried)).alias("t"))
-        .groupBy("stratum", "t.rule", "t.cutoff")
-        .agg(F.count_if("good").alias("n"), F.sum(F.when(F.col("good"), F.col("t.over")).otherwise(0)).alias("bad"), F.sum("t.over").alias("over"))
-    )
-    strata = counted.agg(F.count_distinct(F.coalesce(F.col("stratum").cast("string"), F.lit("\0"))).alias("strata")).scalar()
-    share, tests = limit / len(names), len(tried)
-
-    def bounds(batches):
-        for pdf in batches:
-            level = delta / (tests * pdf["strata"].clip(lower=1))
-            pdf["safe"] = [b <= share * n and upper_bound(int(b), int(n), float(a)) <= share for b, n, a in zip(pdf["bad"], pdf["n"], level)]
-            yield pdf
-
-    tested = counted.withColumn("strata", strata).mapInPandas(bounds, with_field(counted.schema, ("strata", "long"), ("safe", "boolean")))
-    return tested.groupBy("stratum").agg(*[F.min(F.when(F.col("safe") & (F.col("rule") == r) & (F.col("over") > 0), F.col("cutoff"))).alias(f"cut_{r}") for r in names])
+    counted = stats.where(~base_failed()).join(good, id_col).select(F.col(stratum).alias("stratum"), (F.col("__good") == 1).alias("good"), *passed).groupBy("stratum", "good", *levels).agg(F.count("*").alias("n"))
+    counted = Scratch(stats.sparkSession).keep(counted)
+    sizes = counted.groupBy("stratum").agg(F.sum(F.when(F.col("good"), F.col("n")).otherwise(0)).alias("size"))
+    strata = sizes.agg(F.count("*").alias("strata"))
+    least = F.log(F.lit(delta / 2) / F.col("strata")) / math.log1p(-limit)
+    pooled = sizes.crossJoin(F.broadcast(strata)).select("stratum", "strata", (F.col("size") < least).alias("pooled"))  # one row of strata
+    units = pooled.withColumn("unit", F.when(~F.col("pooled"), F.col("stratum")))
+    grouped = counted.join(units.withColumnRenamed("stratum", "__stratum"), F.col("stratum").eqNullSafe(F.col("__stratum"))).groupBy("pooled", "unit", "strata", "good", *levels).agg(F.sum("n").alias("n"))
+    out = with_field(grouped.select("pooled", "unit").schema, *[(f"cut_{r}", "double") for r in names])
+
+    def choose(key: tuple, table: pa.Table) -> pa.Table:
+        columns = np.stack([table.column(c).to_numpy() for c in levels], 1)
+        cuts = chosen(columns, table.column("n").to_numpy(), table.column("good").to_numpy(zero_copy_only=False), [len(g) for g in grids], table.column("strata")[0].as_py(), limit, delta)
+        row = {c: pa.array([k.as_py()], table.schema.field(c).type) for c, k in zip(("pooled", "unit"), key)}
+        return pa.table(row | {f"cut_{r}": pa.array([g[i] if i < len(g) else None], pa.float64()) for r, g, i in zip(names, grids, cuts)})
+
+    found = grouped.groupBy("pooled", "unit").applyInArrow(choose, out).withColumnsRenamed({"pooled": "__pooled", "unit": "__unit"})
+    same = (F.col("pooled") == F.col("__pooled")) & F.col("unit").eqNullSafe(F.col("__unit"))
+    return units.join(found, same).select("stratum", *[f"cut_{r}" for r in names])
 
 
 def judge(stats: DataFrame, cuts: DataFrame, stratum: str = "lang", rules=RULES) -> DataFrame:

@@ -202,6 +202,33 @@ def test_rules_keep_good_texts(spark):
     assert none == 0
 
 
+def test_junk_goes_with_few_labels(spark):
+    words = lambda k: " ".join(f"{c}{k}{j}" for j in range(60) for c in "ab")
+    sizes = {"a": 400, "b": 400, "c": 400, None: 400}  # a quarter of them junk
+    strata = [s for s, m in sizes.items() for _ in range(m)]
+    rows = [(k, words(k) + (" ###" * 60 if k % 4 == 0 else ""), s, int(k % 4 != 0)) for k, s in enumerate(strata)]
+    stats = quality_rules.statistics(spark.createDataFrame([r[:3] for r in rows], "doc_id long, text string, lang string"))
+    labels = spark.createDataFrame([(r[0], r[3]) for r in rows], "doc_id long, quality int")
+    got = {r.doc_id: r.kept for r in quality_rules.judge(stats, quality_rules.cutoffs(stats, labels)).collect()}
+    assert all(got[k] == (k % 4 != 0) for k in range(1600))
+    small = labels.where("doc_id % 400 < 120")  # no stratum has enough labels alone, together they have
+    pooled = quality_rules.cutoffs(stats, small).collect()
+    assert len(pooled) == 4 and all(r.cut_symbols_per_word is not None for r in pooled)
+    few = quality_rules.cutoffs(stats, labels.where("doc_id % 400 < 20")).collect()
+    assert all(c is None for r in few for c in r[1:])
+
+
+def test_chosen_cutoffs_share_the_limit():
+    pick = lambda rows, **k: quality_rules.chosen(np.array([r[:2] for r in rows]), np.array([r[2] for r in rows]), np.array([r[3] for r in rows]), [2, 3], 1, 0.02, 0.05)
+    clean = [(0, 0, 1000, True)]
+    assert pick(clean) == [2, 3]
+    assert pick([*clean, (2, 0, 50, False), (0, 3, 40, False)]) == [1, 2]
+    assert pick([*clean, (2, 0, 15, True), (2, 0, 50, False), (0, 3, 40, False)]) == [2, 2]  # the first rule fails, the other goes on
+    both = [*clean, (2, 0, 9, True), (0, 3, 9, True), (2, 0, 50, False), (0, 3, 40, False)]
+    assert pick(both) == [1, 3]  # each alone is safe, the union is not
+    assert pick([*clean, (1, 0, 15, True), (2, 0, 5, False), (1, 0, 50, False)]) == [1, 3]  # the stricter cutoff fails
+
+
 # -- 6: licenses ------------------------------------------------------------------------------
 
 
