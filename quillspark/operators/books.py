@@ -7,14 +7,23 @@ from pyspark.sql import DataFrame, Window, functions as F
 from ..functions.text import sentences
 
 
+def gaps(chapters: DataFrame, book: str = "book", no: str = "no") -> DataFrame:
+    """(book, low, high): the ranges of missing numbers between a book's first and last."""
+    after = F.lead(no).over(Window.partitionBy(book).orderBy(no))
+    return chapters.where(F.col(no).isNotNull()).select(book, no).distinct().withColumn("__next", after).where(F.col("__next") > F.col(no) + 1).select(book, (F.col(no) + 1).alias("low"), (F.col("__next") - 1).alias("high"))
+
+
 def consistency(chapters: DataFrame, book: str = "book", no: str = "no") -> DataFrame:
-    """Per book: chapters, missing numbers (as an ordered array), repeated numbers, and whether it starts late."""
-    numbers = chapters.groupBy(book).agg(F.count("*").alias("chapters"), F.min(no).alias("first_no"), F.max(no).alias("last_no"), F.array_sort(F.collect_set(no)).alias("seen"))
-    return numbers.select(
+    """Per book: chapters, missing numbers (as text, from its gaps: no array of a book's numbers is built), repeated
+    numbers, and whether it starts late."""
+    numbers = chapters.groupBy(book, no).agg(F.count("*").alias("times")).groupBy(book).agg(F.sum("times").alias("chapters"), F.min(no).alias("first_no"), F.count(no).alias("distinct"))
+    part = F.array_join(F.transform(F.sequence("low", "high"), lambda x: x.cast("string")), ",")
+    missing = gaps(chapters, book, no).select(F.col(book).alias("__book"), "low", part.alias("part")).groupBy("__book").agg(F.expr("listagg(part, ',') within group (order by low)").alias("missing"))
+    return numbers.join(missing, F.col(book).eqNullSafe(F.col("__book")), "left").select(
         book,
         "chapters",
-        F.array_except(F.sequence("first_no", "last_no"), "seen").alias("missing"),
-        (F.col("chapters") - F.size("seen")).cast("long").alias("repeated"),
+        F.when(F.col("first_no").isNotNull(), F.coalesce("missing", F.lit(""))).alias("missing"),
+        (F.col("chapters") - F.col("distinct")).alias("repeated"),
         (F.col("first_no") > 1).alias("starts_late"),
     )
 
