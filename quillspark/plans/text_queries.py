@@ -105,7 +105,7 @@ def replacement_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def first_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.substring("text", 1, 200).alias("a"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("a"))
     b = F.when(F.col("doc_id") % 3 == 0, F.col("a")).when(F.col("doc_id") % 3 == 1, F.concat("a", F.lit("!"))).otherwise(F.concat(F.substring("a", 1, 7), F.lit("#"), F.expr("substring(a, 9)")))
     return docs.withColumn("b", b).select("doc_id", cp.first_difference(F.col("a"), F.col("b")).alias("at"))
 

@@ -1,8 +1,14 @@
 """Queries whose results must hold every book, every character and every row that the survey asks for."""
 
+import random
+
+from pyspark.sql import functions as F
+
+from quillspark.functions import codepoint
 from quillspark.operators import books
 from quillspark.plans import catalog
 from quillspark.plans.views import chapters
+from quillspark.sources.tables import table
 
 SF = "/root/testdata/sf0.001"
 
@@ -26,3 +32,19 @@ def test_gaps(spark):
     assert {r.book: tuple(r)[1:] for r in books.consistency(df).collect()} == brute(rows)
     far = spark.createDataFrame([("a", 1), ("a", 3), ("a", 10**12)], "book string, no long")
     assert sorted(map(tuple, books.gaps(far).collect())) == [("a", 2, 2), ("a", 4, 10**12 - 1)]
+
+
+def test_first_differences_of_whole_texts(spark):
+    r = random.Random(3)
+    texts = [None, "", "a", "x" * 7, "é#😀#" * 3, *["".join(r.choice("ab é😀#") for _ in range(n)) for n in (8, 199, 200, 201, 1023, 5000, 120000)]]
+    rows = []
+    for t in texts:
+        for at in {0, 7, len(t or "") // 2, len(t or "") - 1} if t else {0}:
+            rows += [(t, t), (t, t and t + "!"), (t, t and t[:at] + "%" + t[at + 1 :]), (t, t and t[:at])]
+    want = lambda a, b: None if a == b else next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+    df = spark.createDataFrame([(k, *p) for k, p in enumerate(rows)], "k long, a string, b string")
+    got = {row.k: row.at for row in df.select("k", codepoint.first_difference(F.col("a"), F.col("b")).alias("at")).collect()}
+    assert got == {k: want(*p) for k, p in enumerate(rows)}
+    docs = {d.doc_id: d.text for d in table(spark, SF, "documents").collect() if d.doc_id % 3 == 1}
+    assert any(len(t) > 200 for t in docs.values())
+    assert {d.doc_id: d.at for d in catalog.queries()["first_differences"](spark, SF).where("doc_id % 3 = 1").collect()} == {k: len(t) for k, t in docs.items()}
