@@ -45,7 +45,7 @@ def recovery(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def recent_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return h.keep_recent(crawl_log(spark, sf_dir), "domain", [F.desc("ts"), F.desc("event_id")], 50).select("domain", "event_id")
+    return h.keep_recent(crawl_log(spark, sf_dir), "domain", [F.desc("ts"), F.desc("event_id")], 5000).select("domain", "event_id")
 
 
 def retention_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -133,9 +133,9 @@ def probe_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def latest_suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The latest purchase of each domain as a suggestion; the ten most confident."""
+    """The latest purchase of each domain as a suggestion; the 50 most confident."""
     log = crawl_log(spark, sf_dir).where("event_type = 'purchase'")
-    return h.keep_recent(log, "domain", [F.desc("ts"), F.desc("event_id")], 1).orderBy(F.desc("hash"), "domain").limit(10).select("domain", "event_id", "hash")
+    return h.keep_recent(log, "domain", [F.desc("ts"), F.desc("event_id")], 1).orderBy(F.desc("hash"), "domain").limit(50).select("domain", "event_id", "hash")
 
 
 def log_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

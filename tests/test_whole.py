@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from quillspark.functions import codepoint
 from quillspark.operators import books
 from quillspark.plans import catalog
-from quillspark.plans.views import chapters
+from quillspark.plans.views import chapters, crawl_log
 from quillspark.sources.tables import table
 
 SF = "/root/testdata/sf0.001"
@@ -48,3 +48,16 @@ def test_first_differences_of_whole_texts(spark):
     docs = {d.doc_id: d.text for d in table(spark, SF, "documents").collect() if d.doc_id % 3 == 1}
     assert any(len(t) > 200 for t in docs.values())
     assert {d.doc_id: d.at for d in catalog.queries()["first_differences"](spark, SF).where("doc_id % 3 = 1").collect()} == {k: len(t) for k, t in docs.items()}
+
+
+def test_recent_urls_and_suggestions(spark):
+    log = crawl_log(spark, SF).collect()
+    by = {}
+    for row in sorted(log, key=lambda x: (x.ts, x.event_id), reverse=True):
+        by.setdefault(row.domain, []).append(row)
+    got = {tuple(x) for x in catalog.queries()["recent_urls"](spark, SF).collect()}
+    assert got == {(d, x.event_id) for d, rows in by.items() for x in rows[:5000]}
+    latest = {d: bought[0] for d, rows in by.items() if (bought := [x for x in rows if x.event_type == "purchase"])}
+    assert len(latest) > 10
+    want = sorted(((-x.hash, d, x.event_id) for d, x in latest.items()))[:50]
+    assert {tuple(x) for x in catalog.queries()["latest_suggestions"](spark, SF).collect()} == {(d, e, -h) for h, d, e in want}
