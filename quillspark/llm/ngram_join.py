@@ -162,9 +162,9 @@ def _frequent(survey: DataFrame, scratch: Scratch, most: int) -> np.ndarray:
     return np.sort(counted.where(level >= bound).select("h").toPandas()["h"].to_numpy(np.int64).view(U64))
 
 
-def _postings(docs: DataFrame, id_col: str, text_col: str, frequent: np.ndarray) -> DataFrame:
-    """(key, node) for all keys that two nodes have."""
-    width = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def _sent(docs: DataFrame, id_col: str, text_col: str, frequent: np.ndarray, width: int) -> DataFrame:
+    """(bucket, keys, nodes): each chunk's keys by hash range; the further nodes of its shared keys are complete
+    postings and get a bucket of their own beyond `width`, so they never meet those of other chunks."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def index(batches):
@@ -191,8 +191,17 @@ def _postings(docs: DataFrame, id_col: str, text_col: str, frequent: np.ndarray)
             at = np.searchsorted(bucket[order], np.arange(width + 1))
             rows = [(b, key[o], node[o]) for b in range(width) if len(o := order[at[b] : at[b + 1]])]
             if len(rest_key):
-                rows.append((width + int(rest_key[0] >> U64(20)) % width, rest_key, rest_node))
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1].tobytes() for r in rows], pa.binary()), pa.array([r[2].tobytes() for r in rows], pa.binary())], names=["bucket", "keys", "nodes"])
+                with np.errstate(over="ignore"):
+                    own = int(mix(rest_key + mix(rest_node.view(U64))).sum(dtype=U64)) >> 2
+                rows.append((width + own, rest_key, rest_node))
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1].tobytes() for r in rows], pa.binary()), pa.array([r[2].tobytes() for r in rows], pa.binary())], names=["bucket", "keys", "nodes"])
+
+    return docs.select(id_col, text_col).mapInArrow(index, "bucket long, keys binary, nodes binary")
+
+
+def _postings(docs: DataFrame, id_col: str, text_col: str, frequent: np.ndarray) -> DataFrame:
+    """(key, node) for all keys that two nodes have."""
+    width = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def match(table: pa.Table) -> pa.Table:
         key = np.concatenate([np.frombuffer(b, U64) for b in table.column("keys").to_pylist()])
@@ -210,8 +219,7 @@ def _postings(docs: DataFrame, id_col: str, text_col: str, frequent: np.ndarray)
             plain, node = plain[keep], node[keep]
         return pa.table({"key": pa.array(plain.view(np.int64)), "node": pa.array(node)})
 
-    sent = docs.select(id_col, text_col).mapInArrow(index, "bucket int, keys binary, nodes binary")
-    return sent.groupBy("bucket").applyInArrow(match, "key long, node long")
+    return _sent(docs, id_col, text_col, frequent, width).groupBy("bucket").applyInArrow(match, "key long, node long")
 
 
 def _plausible(pairs: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:

@@ -314,6 +314,15 @@ def test_join(spark, most):
     assert {k.doc_id: (k.n_shingles, k.component_id) for k in rows} == joined(texts)
 
 
+def test_postings_of_a_family_do_not_meet(spark):
+    family = " ".join(f"f{j}" for j in range(60))  # every chunk holds several near copies of it
+    df = frame(spark, [f"{family} end{k}" for k in range(400)]).repartition(8, "doc_id")
+    sent = ngram_join._sent(df, "doc_id", "text", np.zeros(0, np.uint64), 4).where("bucket >= 4")
+    counts = [r["count"] for r in sent.groupBy("bucket").count().collect()]
+    assert len(counts) >= 8 and max(counts) == 1
+    assert {r.component_id for r in ngram_join.join_components(df).collect()} == {0}
+
+
 def test_join_of_nothing(spark):
     odd = spark.createDataFrame([(None, "a b c d e f"), (4, "a b c d e f"), (4, "a b c d e f")], "doc_id long, text string")
     assert sorted((r.doc_id or -1, r.component_id or -1) for r in ngram_join.join_components(odd).collect()) == [(-1, -1), (4, 4), (4, 4)]
