@@ -1,12 +1,14 @@
 """Vectorised word, line and shingle hashing over Arrow text columns.
 
 Texts are handled as UTF-8 bytes in numpy; words are maximal runs of bytes outside
-{0x20, 0x09..0x0D}. A word's hash is a 64-bit polynomial of its bytes, so one pass
-serves a whole batch and no Python object is made per word. A null text reads as empty.
+{0x20, 0x09..0x0D}. A span's hash takes its bytes eight at a time, each step scrambled with a
+key of its place, for all spans of a batch at once, so no Python object is made per word; spans
+beyond `_LONG` bytes are hashed by keyed BLAKE2b. A null text reads as empty.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,25 +17,15 @@ import pyarrow.compute as pc
 from pyspark.sql.types import DataType
 
 U64 = np.uint64
-_BASE = 0xD6E8FEB86659FD93
-_BASE_INV = pow(_BASE, -1, 1 << 64)
-_BLOCK = 1 << 19
+_KEY = 0xD6E8FEB86659FD93
+_LONG = 1024
+_LOW = np.array([(1 << 8 * k) - 1 for k in range(9)], U64)  # masks of the lowest k bytes
 _WORD = np.ones(256, bool)
 _WORD[[0x20, *range(0x09, 0x0E)]] = False
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
-def _powers(base: int) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        p = np.full(_BLOCK, base, U64)
-        p[0] = 1
-        return np.cumprod(p, dtype=U64)
-
-
-_POW, _INV = _powers(_BASE), _powers(_BASE_INV)
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective scrambling of 64-bit values."""
     x = x ^ (x >> U64(32))
@@ -88,25 +80,46 @@ def chunks(batches, text: str, size: int = 1 << 20) -> Iterator[pa.RecordBatch]:
         pa.default_memory_pool().release_unused()
 
 
+def eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on as one number; zeros follow the last."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    return np.ndarray((len(data) + 1,), "<u8", padded, 0, (1,))
+
+
 def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A hash of each byte span [start, end); spans ascend and do not overlap."""
-    low, high = np.zeros(len(start), U64), np.zeros(len(start), U64)
-    inverse = np.ones(len(start), U64)
-    total = U64(0)
+    """A hash of each byte span [start, end)."""
+    size, at = end - start, eights(data)
     with np.errstate(over="ignore"):
-        for base in range(0, len(data), _BLOCK):
-            part = data[base : base + _BLOCK]
-            m = len(part)
-            sums = np.zeros(m + 1, U64)
-            np.cumsum((part.astype(U64) + U64(1)) * (_POW[:m] * U64(pow(_BASE, base, 1 << 64))), out=sums[1:])
-            sums += total
-            a, b = np.searchsorted(start, (base, base + m))
-            low[a:b] = sums[start[a:b] - base]
-            inverse[a:b] = _INV[start[a:b] - base] * U64(pow(_BASE_INV, base, 1 << 64))
-            a, b = np.searchsorted(end, (base, base + m), "right")
-            high[a:b] = sums[end[a:b] - base]
-            total = sums[-1]
-        return mix((high - low) * inverse + (end - start).astype(U64) * U64(0x9E3779B97F4A7C15))
+        h = mix(size.astype(U64) + U64(_KEY)) ^ (at[start] & _LOW[np.minimum(size, 8)])
+        h = mix(h * U64(0x9E3779B97F4A7C15))
+        more, k = np.flatnonzero((size > 8) & (size <= _LONG)), 8
+        while len(more):
+            own, key = h[more], U64(_KEY * (2 * k + 1) & 0xFFFFFFFFFFFFFFFF)
+            own ^= at[start[more] + k] & _LOW[np.minimum(size[more] - k, 8)]
+            h[more] = mix(own * U64(0x9E3779B97F4A7C15) + key)
+            k += 8
+            more = more[size[more] > k]
+    long = np.flatnonzero(size > _LONG)
+    if len(long):
+        view = memoryview(np.ascontiguousarray(data))
+        h[long] = [int.from_bytes(hashlib.blake2b(view[a:b], digest_size=8, key=b"spans").digest(), "little") for a, b in zip(start[long].tolist(), end[long].tolist())]
+    return h
+
+
+def same_spans(data: np.ndarray, start: np.ndarray, other: np.ndarray, other_start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether spans of one length, in two arrays of bytes, hold the same bytes."""
+    a, b = eights(data), eights(other)
+    out = ((a[start] ^ b[other_start]) & _LOW[np.minimum(size, 8)]) == 0
+    more, k = np.flatnonzero((size > 8) & out), 8
+    while len(more) > 64:
+        good = ((a[start[more] + k] ^ b[other_start[more] + k]) & _LOW[np.minimum(size[more] - k, 8)]) == 0
+        out[more[~good]] = False
+        k += 8
+        more = more[good & (size[more] > k)]
+    for i in more.tolist():  # a few long ones: whole arrays at once
+        x, y, n = int(start[i]), int(other_start[i]), int(size[i])
+        out[i] = bool((data[x : x + n] == other[y : y + n]).all())
+    return out
 
 
 def hash_strings(strings) -> np.ndarray:
@@ -123,6 +136,7 @@ class Words:
     def __init__(self, column, lower: bool = False, hashed: bool = True):
         self.raw, self.at = utf8(column)
         data = self.raw
+        self.plain = _LOWER[data] if lower else data
         inside = _WORD[data]
         edge = np.zeros(len(data) + 1, bool)
         edge[self.at] = True
@@ -138,7 +152,7 @@ class Words:
         self.count = np.diff(self.first)
         self.doc = np.repeat(np.arange(len(self.count)), self.count)
         if hashed:
-            self.hash = span_hashes(_LOWER[data] if lower else data, self.start, self.end)
+            self.hash = span_hashes(self.plain, self.start, self.end)
 
     def __len__(self) -> int:
         return len(self.start)
