@@ -11,17 +11,24 @@ shared, the rare ones are all lacking; of consecutive frequent pairs a token tha
 lacks breaks two and one that only the partner has breaks one, fewer than the prefix holds. Texts
 of up to 20 shingles also index frequent tokens one by one, as rounding matters for them. So combinations grow
 linearly with the text. Any split into classes is correct; the frequent class holds the tokens
-counted most often by lossy counting over all texts (several texts of one chunk of 2 MB have
-them; the error is one per chunk), 2**20 at most, so its broadcast stays within 8 MB at any size.
+counted `least` times or more by lossy counting over all texts (those that several texts of one
+chunk of 2 MB have; the error is one per chunk), 2**20 at most, so its broadcast stays within 8 MB
+at any size.
 
 Texts of equal sets are one node, the set's 64-bit fingerprint. A map task sends each key once for
 each hash range with one node, marked if it has more; only keys of two nodes come back as
-postings. A posting list is compared with its least node, not pairwise: lists whose members are
-then not all in one component go on without the nodes compared, with 8, 64, ... such nodes each
-round, until every pair of a list was compared or is connected. So all links between different
-texts count, copies are never paired, and no list is gathered. Candidates pass an exact filter
-first: the sums over 512 hash cells of the lesser cell count bound the overlap from above. The
-rest are verified on whole texts, fetched past a bitmap of the ids asked for (2 MB at any size).
+postings. With a posting go the set's size and its room, the number of tokens that it can share
+with a partner of this list: all of them under a single token, the frequent ones under a pair, as
+a text with pairs has indexed all its rare tokens and a partner that shares one meets it there.
+Two members are worth comparing only if the lesser room reaches the overlap that their sizes
+demand, and a member that no other room in its list can satisfy leaves the list. A list is
+compared with one hub, the member with fewest tokens of its own, not pairwise: lists whose
+members are then not all in one component go on without the nodes compared, with 8, 64, ... hubs
+each round, until every pair of a list was compared, ruled out or is connected; of lists with the
+same members one goes on. So all links between different texts count, copies are never paired,
+and no list is gathered. Candidates pass an exact filter first: the sums over 512 hash cells of
+the lesser cell count bound the overlap from above. The rest are verified on whole texts, fetched
+past a bitmap of the ids asked for (2 MB at any size); shingles are compared by their bytes there.
 Links, components and fingerprints stay in tables.
 
 Defined results: null and empty texts have no shingles and form their own component, as does each
@@ -37,7 +44,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .components import components
 from .scratch import Scratch
-from .words import U64, Words, chunks, mix, small_batches
+from .words import U64, Words, chunks, mix, same_spans, small_batches
 
 SHINGLE, NUM, DEN = 5, 80, 100
 SMALL = 20
@@ -48,7 +55,7 @@ class Sets:
     """The distinct shingles of each text of a column, ascending by hash within a text."""
 
     def __init__(self, column, k: int = SHINGLE):
-        w = Words(column, lower=True)
+        w = self.words = Words(column, lower=True)
         parts = [w.windows(k)]
         for short in range(1, k):
             starts, h = w.windows(short)
@@ -57,10 +64,10 @@ class Sets:
         starts, h = (np.concatenate(p) for p in zip(*parts))
         doc = w.doc[starts]
         order = np.lexsort((h, doc))
-        h, doc = h[order], doc[order]
+        h, doc, starts = h[order], doc[order], starts[order]
         first = np.ones(len(h), bool)
         first[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
-        self.h, self.doc = h[first], doc[first]
+        self.h, self.doc, self.start = h[first], doc[first], starts[first]
         self.at = np.searchsorted(self.doc, np.arange(len(w.count) + 1))
         self.n = np.diff(self.at)
         with np.errstate(over="ignore"):
@@ -85,7 +92,7 @@ class Sets:
         out = object.__new__(Sets)
         keep = docs[self.doc]
         number = np.cumsum(docs) - 1
-        out.h, out.doc = self.h[keep], number[self.doc[keep]]
+        out.words, out.h, out.doc, out.start = self.words, self.h[keep], number[self.doc[keep]], self.start[keep]
         out.n, out.print = self.n[docs], self.print[docs]
         out.at = np.concatenate([[0], np.cumsum(out.n)])
         return out
@@ -98,8 +105,8 @@ def _distinct(sets: Sets) -> Sets:
     return sets.only(first & (sets.n > 0))
 
 
-def keys(sets: Sets, frequent: np.ndarray, num: int = NUM, den: int = DEN) -> tuple[np.ndarray, np.ndarray]:
-    """Index keys (their lowest bit clear) and the texts' numbers."""
+def keys(sets: Sets, frequent: np.ndarray, num: int = NUM, den: int = DEN) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Index keys (their lowest bit clear), the texts' numbers, and the rooms."""
     n, at, doc, h = sets.n, sets.at, sets.doc, sets.h
     spare = n - (num * n + den - 1) // den
     place = np.minimum(np.searchsorted(frequent, h), max(len(frequent) - 1, 0))
@@ -118,7 +125,10 @@ def keys(sets: Sets, frequent: np.ndarray, num: int = NUM, den: int = DEN) -> tu
     with np.errstate(over="ignore"):
         double = mix(h[a] * U64(0x9E3779B97F4A7C15) + mix(h[b]) + U64(2))
         made = np.concatenate([mix(h[single] + U64(1)), double])
-    return made & ~U64(1), np.concatenate([doc[single], doc[a]])
+    of = np.concatenate([doc[single], doc[a]])
+    room = n[of]
+    room[int(single.sum()) :] -= rare[doc[a]]
+    return made & ~U64(1), of, room
 
 
 _FOUND = "kind int, h long, n long, doc_id {id}, size long, node long, cells binary"
@@ -148,9 +158,9 @@ def _survey(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(id_col, text_col).mapInArrow(run, _FOUND.format(id=docs.schema[id_col].dataType.simpleString()))
 
 
-def _frequent(survey: DataFrame, scratch: Scratch, most: int) -> np.ndarray:
-    """At most `most` tokens, those counted at least as often as the least bound that allows it."""
-    counted = scratch.keep(survey.where("kind = 1").groupBy("h").agg(F.sum("n").alias("n")))
+def _frequent(survey: DataFrame, scratch: Scratch, most: int, least: int) -> np.ndarray:
+    """At most `most` tokens, those counted `least` times or as often as the least bound that allows it."""
+    counted = scratch.keep(survey.where("kind = 1").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= least))
     level = F.floor(4 * F.log2("n")).cast("int")  # a few hundred levels at most
     bound, seen = None, 0
     for row in counted.groupBy(level.alias("level")).agg(F.count("*").alias("c")).orderBy(F.desc("level")).collect():
@@ -162,21 +172,25 @@ def _frequent(survey: DataFrame, scratch: Scratch, most: int) -> np.ndarray:
     return np.sort(counted.where(level >= bound).select("h").toPandas()["h"].to_numpy(np.int64).view(U64))
 
 
+_ROWS = ("keys", "nodes", "sizes", "rooms")
+_KINDS = (U64, np.int64, np.int32, np.int32)
+
+
 def _sent(docs: DataFrame, id_col: str, text_col: str, frequent: np.ndarray, width: int) -> DataFrame:
-    """(bucket, keys, nodes): each chunk's keys by hash range; the further nodes of its shared keys are complete
-    postings and get a bucket of their own beyond `width`, so they never meet those of other chunks."""
+    """(bucket, keys, nodes, sizes, rooms): each chunk's keys by hash range; the further nodes of its shared keys are
+    complete postings and get a bucket of their own beyond `width`, so they never meet those of other chunks."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def index(batches):
         for batch in chunks(batches, text_col, 2 << 20):
             sets = _distinct(Sets(batch.column(text_col)))
-            key, doc = keys(sets, shared.value)
+            key, doc, room = keys(sets, shared.value)
             node = sets.print[doc]
             order = np.lexsort((node, key))
             key, node = key[order], node[order]
             new = np.ones(len(key), bool)
             new[1:] = (key[1:] != key[:-1]) | (node[1:] != node[:-1])
-            key, node = key[new], node[new]
+            order, key, node = order[new], key[new], node[new]
             first = np.ones(len(key), bool)
             first[1:] = key[1:] != key[:-1]
             several = ~first
@@ -184,42 +198,39 @@ def _sent(docs: DataFrame, id_col: str, text_col: str, frequent: np.ndarray, wid
             shared_key[:-1] &= several[1:]
             shared_key[-1:] = False
             key = key | shared_key.astype(U64)  # the mark of a key with more nodes in this chunk
-            rest_key, rest_node = key[several], node[several]
-            key, node = key[first], node[first]
-            bucket = ((key >> U64(20)) % U64(width)).astype(np.int64)
+            columns = (key, node, sets.n[doc][order].astype(np.int32), room[order].astype(np.int32))
+            bucket = np.where(first, ((key >> U64(20)) % U64(width)).astype(np.int64), width)
             order = np.argsort(bucket, kind="stable")
-            at = np.searchsorted(bucket[order], np.arange(width + 1))
-            rows = [(b, key[o], node[o]) for b in range(width) if len(o := order[at[b] : at[b + 1]])]
-            if len(rest_key):
+            at = np.searchsorted(bucket[order], np.arange(width + 2))
+            rows = [(b, *(c[o].tobytes() for c in columns)) for b in range(width + 1) if len(o := order[at[b] : at[b + 1]])]
+            if rows and rows[-1][0] == width:
                 with np.errstate(over="ignore"):
-                    own = int(mix(rest_key + mix(rest_node.view(U64))).sum(dtype=U64)) >> 2
-                rows.append((width + own, rest_key, rest_node))
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1].tobytes() for r in rows], pa.binary()), pa.array([r[2].tobytes() for r in rows], pa.binary())], names=["bucket", "keys", "nodes"])
+                    own = int(mix(key[several] + mix(node[several].view(U64))).sum(dtype=U64)) >> 2
+                rows[-1] = (width + own, *rows[-1][1:])
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), *(pa.array([r[k] for r in rows], pa.binary()) for k in range(1, 5))], names=["bucket", *_ROWS])
 
-    return docs.select(id_col, text_col).mapInArrow(index, "bucket long, keys binary, nodes binary")
+    return docs.select(id_col, text_col).mapInArrow(index, "bucket long, " + ", ".join(f"{c} binary" for c in _ROWS))
 
 
-def _postings(docs: DataFrame, id_col: str, text_col: str, frequent: np.ndarray) -> DataFrame:
-    """(key, node) for all keys that two nodes have."""
-    width = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def _postings(docs: DataFrame, id_col: str, text_col: str, frequent: np.ndarray, width: int) -> DataFrame:
+    """(key, node, size, room) for all keys that two nodes have. A key's lowest bit is clear."""
 
     def match(table: pa.Table) -> pa.Table:
-        key = np.concatenate([np.frombuffer(b, U64) for b in table.column("keys").to_pylist()])
-        node = np.concatenate([np.frombuffer(b, np.int64) for b in table.column("nodes").to_pylist()])
+        key, node, size, room = (np.concatenate([np.frombuffer(b, kind) for b in table.column(c).to_pylist()]) for c, kind in zip(_ROWS, _KINDS))
         plain = key & ~U64(1)
         if table.column("bucket")[0].as_py() < width:
             order = np.lexsort((node, plain))
-            key, node, plain = key[order], node[order], plain[order]
+            key, node, plain, size, room = key[order], node[order], plain[order], size[order], room[order]
             new = np.ones(len(key), bool)
             new[1:] = (plain[1:] != plain[:-1]) | (node[1:] != node[:-1])
             group = np.cumsum(np.concatenate([[True], plain[1:] != plain[:-1]])) - 1
             many = np.bincount(group, new) > 1
             many |= np.bincount(group, (key & U64(1)).astype(np.int64)) > 0
             keep = new & many[group]
-            plain, node = plain[keep], node[keep]
-        return pa.table({"key": pa.array(plain.view(np.int64)), "node": pa.array(node)})
+            plain, node, size, room = plain[keep], node[keep], size[keep], room[keep]
+        return pa.table({"key": pa.array(plain.view(np.int64)), "node": pa.array(node), "size": pa.array(size), "room": pa.array(room)})
 
-    return _sent(docs, id_col, text_col, frequent, width).groupBy("bucket").applyInArrow(match, "key long, node long")
+    return _sent(docs, id_col, text_col, frequent, width).groupBy("bucket").applyInArrow(match, "key long, node long, size int, room int")
 
 
 def _plausible(pairs: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
@@ -252,6 +263,30 @@ def _asked(docs: DataFrame, candidates: DataFrame, id_col: str, bits: int = 23)
     return near.join(F.broadcast(bitmap), "__word").where(F.expr("shiftrightunsigned(__bits, cast(__p % 64 as int)) & 1L = 1L")).drop("__p", "__word", "__bits")
 
 
+def _overlaps(sa: Sets, ia: np.ndarray, sb: Sets, ib: np.ndarray, k: int = SHINGLE) -> np.ndarray:
+    """How many shingles each pair of texts (ia[p], ib[p]) shares: found by hash, counted if their bytes are the same."""
+    at, bt, pair = [], [], []
+    for p, (i, j) in enumerate(zip(ia.tolist(), ib.tolist())):
+        _, x, y = np.intersect1d(sa.of(i), sb.of(j), assume_unique=True, return_indices=True)
+        at.append(sa.start[sa.at[i] + x])
+        bt.append(sb.start[sb.at[j] + y])
+        pair.append(np.full(len(x), p))
+    if not at:
+        return np.zeros(0, np.int64)
+    at, bt, pair = np.concatenate(at), np.concatenate(bt), np.concatenate(pair)
+    wa, wb = sa.words, sb.words
+    na, nb = (np.minimum(w.count[w.doc[t]], k) for w, t in ((wa, at), (wb, bt)))
+    same = na == nb
+    for c in range(k):  # word by word; a text of fewer words has one shingle of them all
+        live = np.flatnonzero(same & (c < na))
+        x, y = at[live] + c, bt[live] + c
+        size = wa.end[x] - wa.start[x]
+        good = size == wb.end[y] - wb.start[y]
+        good[good] = same_spans(wa.plain, wa.start[x[good]], wb.plain, wb.start[y[good]], size[good])
+        same[live] = good
+    return np.bincount(pair[same], minlength=len(ia))
+
+
 def _verify(candidates: DataFrame, docs: DataFrame, id_col: str, text_col: str, num: int, den: int) -> DataFrame:
     """Those of the candidates (a, b, a_rep, b_rep) whose sets are similar."""
     few = _asked(docs.select(id_col, text_col), candidates, id_col)
@@ -268,11 +303,9 @@ def _verify(candidates: DataFrame, docs: DataFrame, id_col: str, text_col: str,
                     _, index, inverse = np.unique(node, return_index=True, return_inverse=True)
                     sides.append((node, Sets(part.column(f"{side}_text").take(pa.array(index))), inverse))
                 (a, sa, ia), (b, sb, ib) = sides
-                good = np.zeros(len(a), bool)
-                for k, (i, j) in enumerate(zip(ia, ib)):
-                    if sa.print[i] == a[k] and sb.print[j] == b[k]:
-                        both = len(np.intersect1d(sa.of(i), sb.of(j), assume_unique=True))
-                        good[k] = den * both >= num * (sa.n[i] + sb.n[j] - both)
+                known = (sa.print[ia] == a) & (sb.print[ib] == b)
+                both = _overlaps(sa, ia, sb, ib)
+                good = known & (den * both >= num * (sa.n[ia] + sb.n[ib] - both))
                 yield pa.RecordBatch.from_arrays([pa.array(a[good]), pa.array(b[good])], names=["a", "b"])
 
     return rows.mapInArrow(run, "a long, b long")
@@ -291,33 +324,51 @@ def _joined_roots(roots: DataFrame | None, found: DataFrame, scratch: Scratch) -
     return scratch.keep(before.unionByName(moved.select(F.col("old").alias("node"), F.col("new").alias("root"))).distinct())
 
 
-def join_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", num: int = NUM, den: int = DEN, most_frequent: int = 1 << 20) -> DataFrame:
-    """A row per text: id, n_shingles, and component_id, the least id reachable by links (None for a null id)."""
+def _buckets(survey: DataFrame, each: int = 1 << 21) -> int:
+    """As many hash ranges as keep one within a task's memory (some 50 MB), 8 at least."""
+    total = survey.where("kind = 0").agg(F.sum("size")).first()[0] or 0
+    return max(8, -(-total // each))
+
+
+def _open(lists: DataFrame, scratch: Scratch, num: int, den: int) -> DataFrame:
+    """The postings (key, node, size, room, root) that still call for comparisons: of members that some room in the list
+    can satisfy, in lists of several components, one list of those with the same members."""
+    room, size = F.col("room"), F.col("size")
+    want = lambda n: f"{num} * {n}"
+    spare = (num + den) * room - num * size  # a partner's size must not exceed spare / num
+    bounds = lists.groupBy("key").agg(F.max(spare).alias("most"), F.min("size").alias("small"))
+    fit = lists.join(bounds, "key").where(f"most >= {want('size')} and {num + den} * room >= {num} * (size + small)").drop("most", "small")
+    per = fit.groupBy("key").agg(F.count("*").alias("n"), F.sum(F.xxhash64("node", "room").cast("decimal(20,0)")).alias("s"), F.bit_xor(F.xxhash64("room", "node")).alias("x"), F.min("root").alias("low"), F.max("root").alias("high"))
+    one = per.where("low < high").groupBy("n", "s", "x").agg(F.min("key").alias("key")).select("key")
+    return scratch.keep(fit.join(one, "key", "left_semi"))
+
+
+def join_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", num: int = NUM, den: int = DEN, most_frequent: int = 1 << 20, least_count: int = 16, buckets: int | None = None) -> DataFrame:
+    """A row per text: id, n_shingles, and component_id, the least id reachable by links (None for a null id).
+    `buckets`, the hash ranges of the index, follow the number of shingles by default: 2**21 in each."""
     small_batches(docs.sparkSession)
     scratch = Scratch(docs.sparkSession)
     survey = scratch.keep(_survey(docs, id_col, text_col))
     members = survey.where("kind = 0").select("doc_id", "size", "node")
     known = survey.where("kind = 0 and size > 0 and doc_id is not null")
     nodes = scratch.keep(known.groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("size").alias("size"), F.min("cells").alias("cells")))
-    frequent = _frequent(survey, scratch, most_frequent)
-    found = _postings(docs.where(F.col(id_col).isNotNull()), id_col, text_col, frequent).distinct()
-    active = scratch.keep(found.join(nodes.select("node", "size"), "node").withColumn("root", F.col("node")))
-    roots, hubs = None, 1
-    while True:
+    frequent = _frequent(survey, scratch, most_frequent, least_count)
+    width = buckets or _buckets(survey)
+    found = _postings(docs.where(F.col(id_col).isNotNull()), id_col, text_col, frequent, width).distinct().withColumn("root", F.col("node"))
+    active, roots, hubs = _open(found, scratch, num, den), None, 1
+    while not active.isEmpty():
         part = F.pmod(F.xxhash64("node"), F.lit(hubs))
-        picked = active.groupBy("key", part.alias("part")).agg(F.min(F.struct("node", "root", "size")).alias("hub")).select("key", F.col("hub.node").alias("hub"), F.col("hub.root").alias("hub_root"), F.col("hub.size").alias("hub_size"))
-        fits = f"node <> hub and root <> hub_root and {den} * least(size, hub_size) >= {num} * greatest(size, hub_size)"
+        centre = F.min(F.struct((F.col("size") - F.col("room")).alias("own"), "size", "node", "root", "room"))  # the fewest tokens of its own
+        picked = active.groupBy("key", part.alias("part")).agg(centre.alias("hub")).select("key", *[F.col(f"hub.{c}").alias("hub" if c == "node" else f"hub_{c}") for c in ("node", "root", "size", "room")])
+        fits = f"node <> hub and root <> hub_root and {num + den} * least(room, hub_room) >= {num} * (size + hub_size)"
         pairs = active.join(picked, "key").where(fits).select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
         candidates = scratch.keep(_plausible(pairs, nodes, num, den))
         found = scratch.keep(_verify(candidates, docs, id_col, text_col, num, den))
         roots = _joined_roots(roots, found, scratch)
         rest = active.drop("root").join(picked.select("key", F.col("hub").alias("node")), ["key", "node"], "left_anti")
-        rest = rest.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        mixed = rest.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
-        active = scratch.keep(rest.join(mixed, "key", "left_semi"))
-        if active.isEmpty():
-            break
+        active = _open(rest.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), scratch, num, den)
         hubs *= 8
+    roots = roots or scratch.keep(nodes.select("node", F.col("node").alias("root")).limit(0))
     homes = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = homes.groupBy("root").agg(F.min("rep").alias("component_id"))
     placed = homes.join(least, "root").select("node", "component_id")
