@@ -24,8 +24,9 @@ def components(links: DataFrame, scratch: Scratch, most: int = 50) -> DataFrame:
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         moved = large.join(least, "a")
         small = moved.where("b > m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
-        edges = scratch.keep(small.distinct())
-        now = edges.agg(F.count("*").alias("n"), F.sum(F.pmod(F.xxhash64("a", "b"), F.lit(1 << 31))).alias("s")).first()
+        old, edges = edges, scratch.keep(small.distinct())
+        scratch.drop(old)
+        now = edges.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("s"), F.bit_xor(F.xxhash64("b", "a")).alias("t")).first()
         if now == before:
             break
         before = now

@@ -1,16 +1,18 @@
 """License notices by MinHash bands over overlapping text windows, by DataFrame functions only.
 
 A template of L words is sought in windows of 2 L words that begin every L words, so a notice lies
-wholly in one window wherever it stands. A window is a candidate if its minimum under one of
-`bands` hash functions equals the template's; a contained notice has Jaccard similarity
-s = |T| / |W| at least with its window, so `bands` is set to make 1 - (1 - s) ** bands reach
-`recall` for the template with the least s. Candidates are verified by exact containment of the
-template's shingles (five words, compared as strings).
+wholly in one window wherever it stands. A window is a candidate if its minimum under one of the
+template's hash functions equals the template's. A window that holds the share c of the template's
+shingles has Jaccard similarity s = c |T| / (|W| + (1 - c) |T|) with it at least, so each template
+has as many hash functions ("bands") as make 1 - (1 - s) ** bands reach `recall` at c =
+`containment`: what verification would accept is a candidate with that probability. Candidates are
+verified by exact containment of the template's shingles (five words, compared as strings).
 
 A window can agree with a template in a band only if it holds the template's minimal shingle of
 that band. So the minima are worked out just for windows around such shingles, with the same
 outcome as for all windows; every text is scanned whole for them. All of it is a narrow pass;
-only the matches are grouped, by text and template.
+only the matches are grouped, by text and template. Templates are a dictionary or a table (license,
+notice) of up to `MOST` rows, notices or whole license texts: they are broadcast.
 
 Defined results: null and empty texts match nothing; a template shorter than a shingle raises; a
 row without an id keeps a null id; rows of one id are reported together; other columns are not read.
@@ -22,8 +24,8 @@ import math
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-SHINGLE = 5
-#: Short notices of public licenses.
+SHINGLE, MOST = 5, 5000
+#: Notices of public licenses, and the whole texts of short ones.
 TEMPLATES = {
     "apache-2.0": "Licensed under the Apache License, Version 2.0",
     "bsd-3-clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
@@ -33,6 +35,23 @@ TEMPLATES = {
     "mit": "Released under the MIT License",
     "mit-grant": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files",
     "mpl-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0",
+    "mit-text": """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to
+permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies
+or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF
+MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER
+IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""",
+    "isc-text": """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice
+and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES
+OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE,
+DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.""",
+    "bsd-2-clause-text": """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1.
+Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above
+copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE
+COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR
+PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING,
+BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN
+CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.""",
 }
 
 
@@ -48,28 +67,36 @@ def shingles(w: Column) -> Column:
     return F.when(F.size(w) < SHINGLE, F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(0), F.size(w) - SHINGLE), lambda i: _shingle(w, i)))
 
 
-def minima(strings: Column, bands: int) -> Column:
+def minima(strings: Column, bands: Column) -> Column:
     """The least value of each band's hash function over the shingles."""
-    return F.transform(F.sequence(F.lit(1), F.lit(bands)), lambda band: F.array_min(F.transform(strings, lambda s: F.xxhash64(s, band))))
+    return F.transform(F.sequence(F.lit(1), bands), lambda band: F.array_min(F.transform(strings, lambda s: F.xxhash64(s, band))))
 
 
-def bands_for(templates: dict[str, str], recall: float) -> int:
-    lengths = {name: len("".join(c if c.isalnum() else " " for c in t).split()) for name, t in templates.items()}
-    if short := [name for name, n in lengths.items() if n < SHINGLE]:
-        raise ValueError(f"templates of fewer than {SHINGLE} words: {short}")
-    least = min((n - SHINGLE + 1) / (2 * n - SHINGLE + 1) for n in lengths.values())
+def bands_for(n: int, recall: float, containment: float) -> int:
+    """Hash functions for a template of n words."""
+    t, w = n - SHINGLE + 1, 2 * n - SHINGLE + 1
+    least = containment * t / (w + (1 - containment) * t)
     return math.ceil(math.log(1 - recall) / math.log(1 - least))
 
 
-def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, id_col: str = "doc_id", text_col: str = "text", recall: float = 0.9999, containment: float = 0.8) -> DataFrame:
+def scan(docs: DataFrame, templates: dict[str, str] | DataFrame = TEMPLATES, id_col: str = "doc_id", text_col: str = "text", recall: float = 0.9999, containment: float = 0.8) -> DataFrame:
     """A row per text and template found there: the best containment, the first word of the first
     matching window, and the number of matching windows."""
-    spark, bands = docs.sparkSession, bands_for(templates, recall)
-    given = spark.createDataFrame(sorted(templates.items()), "license string, notice string").withColumn("w", words(F.col("notice")))
+    spark = docs.sparkSession
+    if isinstance(templates, DataFrame):
+        templates = {r.license: r.notice for r in templates.select("license", "notice").limit(MOST + 1).collect()}
+    if len(templates) > MOST:
+        raise ValueError(f"more than {MOST} templates")
+    lengths = {name: len("".join(c if c.isalnum() else " " for c in t).split()) for name, t in templates.items()}
+    if short := [name for name, n in lengths.items() if n < SHINGLE]:
+        raise ValueError(f"templates of fewer than {SHINGLE} words: {short}")
+    rows = [(name, t, bands_for(lengths[name], recall, containment)) for name, t in sorted(templates.items())]
+    given = spark.createDataFrame(rows, "license string, notice string, bands int").withColumn("w", words(F.col("notice")))
+    bands = F.col("bands")
     # A generator between two steps keeps the optimizer from repeating a step's work inside the next one's lambdas.
     once = lambda column: F.explode(F.array(column))
-    known = given.select("license", F.size("w").alias("n"), once(F.array_distinct(shingles(F.col("w")))).alias("t")).withColumn("mins", once(minima(F.col("t"), bands)))
-    known = known.withColumn("anchors", F.filter("t", lambda s: F.exists(F.sequence(F.lit(1), F.lit(bands)), lambda b: F.xxhash64(s, b) == F.get(F.col("mins"), b - 1))))
+    known = given.select("license", "bands", F.size("w").alias("n"), once(F.array_distinct(shingles(F.col("w")))).alias("t")).withColumn("mins", once(minima(F.col("t"), bands)))
+    known = known.withColumn("anchors", F.filter("t", lambda s: F.exists(F.sequence(F.lit(1), bands), lambda b: F.xxhash64(s, b) == F.get(F.col("mins"), b - 1))))
     rows = known.collect()  # as many rows as there are templates
     anchors = sorted({a for r in rows for a in r.anchors})
     widest = max(r.n for r in rows)
@@ -78,7 +105,7 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, id_col: str = "
     at = F.filter(F.sequence(F.lit(0), F.size(w) - SHINGLE), lambda i: F.get(w, i).isin(first_words) & _shingle(w, i).isin(anchors))
     near = F.transform(at, lambda p: F.struct(p.alias("p"), F.greatest(p - 2 * widest, F.lit(0)).alias("base"), F.transform(F.sequence(F.greatest(p - 2 * widest, F.lit(0)), F.least(p + 2 * widest, F.size(w) - 1)), lambda i: F.get(w, i)).alias("around")))
     hits = docs.select(id_col, words(F.col(text_col)).alias("w")).where(F.size("w") >= SHINGLE).select(id_col, F.explode(near).alias("h")).select(id_col, "h.*")
-    by_anchor = known.select(F.explode("anchors").alias("anchor"), "license", "n", "t", "mins")
+    by_anchor = known.select(F.explode("anchors").alias("anchor"), "license", "bands", "n", "t", "mins")
     stride = F.floor(F.col("p") / F.col("n")).cast("int") * F.col("n")
     windows = (
         hits.withColumn("anchor", _shingle(F.col("around"), F.col("p") - F.col("base")))
@@ -88,7 +115,7 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, id_col: str = "
         .withColumn("inside", once(F.expr("slice(around, start - base + 1, 2 * n)")))
         .withColumn("s", once(shingles(F.col("inside"))))
     )
-    agrees = F.exists(F.sequence(F.lit(1), F.lit(bands)), lambda b: F.array_min(F.transform("s", lambda s: F.xxhash64(s, b))) == F.get(F.col("mins"), b - 1))
+    agrees = F.exists(F.sequence(F.lit(1), bands), lambda b: F.array_min(F.transform("s", lambda s: F.xxhash64(s, b))) == F.get(F.col("mins"), b - 1))
     share = F.size(F.array_intersect("s", "t")) / F.size("t")
     return (
         windows.where(agrees)

@@ -366,7 +366,8 @@ def join_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         found = scratch.keep(_verify(candidates, docs, id_col, text_col, num, den))
         roots = _joined_roots(roots, found, scratch)
         rest = active.drop("root").join(picked.select("key", F.col("hub").alias("node")), ["key", "node"], "left_anti")
-        active = _open(rest.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), scratch, num, den)
+        old, active = active, _open(rest.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), scratch, num, den)
+        scratch.drop(old, candidates, found)
         hubs *= 8
     roots = roots or scratch.keep(nodes.select("node", F.col("node").alias("root")).limit(0))
     homes = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))

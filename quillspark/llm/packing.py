@@ -13,7 +13,8 @@ It is one narrow pass: no shuffle, a task holds the pieces of a few megabytes of
 of sequences are made of the partition's number and a counter, so a retried task repeats them.
 Rows must come in a fixed order within a partition for that (a scan, or a written table).
 
-Defined results: a null or empty text is the end token alone; a null id stays null; rows with
+A special token of the vocabulary that stands in a text is that token, as the library's own call
+has it. Defined results: a null or empty text is the end token alone; a null id stays null; rows with
 equal ids are packed as separate documents; other columns are not read.
 """
 
@@ -44,16 +45,16 @@ def _encoder(vocabulary: str):
         from tokenizers import Tokenizer
 
         t = Tokenizer.from_str(vocabulary)
-        t.encode_special_tokens = True
         _MEMOS[key] = Memo(lambda unseen: _encode(t, unseen))
     return _MEMOS[key]
 
 
 def _encode(t, unseen: list[str], together: int = 256) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of all units end to end, and how many each has. Units without inner white space are joined by
-    line feeds, which no token crosses, as a call for a few characters spends its time outside the merges."""
+    """Ids of all units end to end, and how many each has. Units without inner white space and special tokens are
+    joined by line feeds, which no token crosses, as a call for a few characters spends its time outside the merges."""
     (feed,) = t.encode("\n", add_special_tokens=False).ids
-    plain = np.fromiter((len(u) < 64 and u[:2] != "  " and u.split() == [u.lstrip(" ")] for u in unseen), bool, len(unseen))
+    special = [a.content for a in t.get_added_tokens_decoder().values()]
+    plain = np.fromiter((len(u) < 64 and u[:2] != "  " and u.split() == [u.lstrip(" ")] and not any(s in u for s in special) for u in unseen), bool, len(unseen))
     some = [u for u, p in zip(unseen, plain) if p]
     groups = ["\n".join(some[a : a + together]) + "\n" for a in range(0, len(some), together)]
     joined = np.fromiter(chain.from_iterable(e.ids for e in t.encode_batch_fast(groups, add_special_tokens=False)), np.uint32)

@@ -50,15 +50,16 @@ RULES: dict[str, tuple[str, tuple[float, ...]]] = {
 }
 
 
-def statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """`docs` without the text and with the five statistics of it; columns of their names are replaced."""
+def statistics(docs: DataFrame, text_col: str = "text", keep_text: bool = False) -> DataFrame:
+    """`docs`, without the text unless `keep_text`, and with the five statistics of it; columns of their names are replaced."""
     small_batches(docs.sparkSession)
     kept = [c for c in docs.columns if c not in STATISTICS]
-    schema = with_field(docs.select([c for c in kept if c != text_col]).schema, *[(name, "long") for name in STATISTICS])
+    out = [c for c in kept if keep_text or c != text_col]
+    schema = with_field(docs.select(out).schema, *[(name, "long") for name in STATISTICS])
 
     def run(batches):
         for batch in chunks(batches, text_col):
-            arrays = [batch.column(c) for c in kept if c != text_col]
+            arrays = [batch.column(c) for c in out]
             yield pa.RecordBatch.from_arrays([*arrays, *(pa.array(a.astype(np.int64)) for a in _measure(batch.column(text_col)))], names=schema.names)
 
     return docs.select(kept).mapInArrow(run, schema)
@@ -191,5 +192,5 @@ def judge(stats: DataFrame, cuts: DataFrame, stratum: str = "lang", rules=RULES)
 def op4_quality_rules(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    stats = statistics(docs).repartition("doc_id")
+    stats = Scratch(spark).keep(statistics(docs))  # numbers only: texts are read and measured once
     return judge(stats, cutoffs(stats, labels)).select("doc_id", *STATISTICS, "base_failed", "kept")

@@ -9,21 +9,39 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; only where it is unset, as in tests, a temporary folder."""
-    return spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
+    """spark.checkpoint.dir of the session. Only a session without executors of its own may do without: it gets a temporary folder."""
+    if found := spark.conf.get("spark.checkpoint.dir", None):
+        return found
+    if not spark.conf.get("spark.master", "local").startswith("local[") and spark.conf.get("spark.master", "local") != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return tempfile.mkdtemp(prefix="spark-")
 
 
 class Scratch:
-    """Writes tables below one new folder and removes those that are no longer needed."""
+    """Writes tables below one new folder; `drop` removes those that nothing reads any more."""
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.root = f"{folder(spark).rstrip('/')}/{uuid.uuid4().hex}"
         self.count = 0
+        self.paths: list[tuple[DataFrame, str]] = []
 
     def keep(self, df: DataFrame) -> DataFrame:
         """`df` written once and read again: its lineage is cut, and later readers agree on its rows."""
         self.count += 1
         path = f"{self.root}/{self.count}"
         df.write.parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.paths.append((out, path))
+        return out
+
+    def drop(self, *tables: DataFrame | None) -> None:
+        """Removes the files of tables that `keep` returned; tables made from them must have been written before."""
+        jvm, kept = self.spark._jvm, []
+        for df, path in self.paths:
+            if any(df is t for t in tables):
+                p = jvm.org.apache.hadoop.fs.Path(path)
+                p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+            else:
+                kept.append((df, path))
+        self.paths = kept

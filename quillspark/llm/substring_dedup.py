@@ -13,20 +13,30 @@ a hash common to a third of all texts is therefore one entry per batch, never a
 A bucket answers each batch with one bit per entry. The windows around anchors take the same
 way with the smallest id of the batch. Nothing is collected and no pair of texts is formed.
 
+Ids are integers, as "smaller" means it; others raise. Batches hold some 5 MB of text, more where
+the table is so large that pieces (batches times buckets) would be smaller than 4 kB, and buckets
+three times a batch's entries and up, so what a task holds follows the bytes of the input.
+
 Defined results: a null or empty text has no words; a row with a null id is neither compared
 nor changed; rows with equal ids never remove each other's words; other columns pass through.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import IntegralType
 
 from .words import U64, Words, covered, per_doc, small_batches
 
 _PIECES = "batch int, bucket int, body binary"
 _KEY = 30
+#: Bytes of text in a batch: as a rule, and at most.
+BATCH, MOST = 5 << 20, 256 << 20
 
 
 def _pieces(batch: int, buckets: np.ndarray, body: np.ndarray) -> pa.Table:
@@ -44,11 +54,10 @@ class _Batch:
     """The hashes of one batch of texts; rebuilt alike in each of the three reads."""
 
     def __init__(self, table: pa.Table, id_col: str, text_col: str, buckets: int):
-        self.ids = table.column(id_col).to_numpy(zero_copy_only=False)
-        known = ~np.asarray(table.column(id_col).is_null())
+        ids = table.column(id_col).cast(pa.int64())
         self.words = Words(table.column(text_col))
-        self.known = known[self.words.doc]
-        self.word_id = np.where(known, np.nan_to_num(self.ids, nan=0) if self.ids.dtype.kind == "f" else self.ids, 0).astype(np.int64)[self.words.doc]
+        self.known = ~np.asarray(ids.is_null())[self.words.doc]
+        self.word_id = pc.fill_null(ids, 0).to_numpy()[self.words.doc]
         self.buckets = buckets
 
     def bucket(self, h: np.ndarray) -> np.ndarray:
@@ -133,22 +142,26 @@ def _earlier_windows(bodies: list[bytes]) -> dict:
     return {"hit": least[place] < own, "sizes": [len(h) for h in hashes]}
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 13, block: int | None = None, batches: int | None = None, buckets: int | None = None) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 13, block: int | None = None, batches: int | None = None, buckets: int | None = None, tidy: bool = True) -> DataFrame:
     """`docs` with the kept words, joined by single spaces, in `text_col`, and two more columns:
-    n_words (before) and n_removed. `block` defaults to the longest that `window` guarantees.
+    n_words (before) and n_removed. Without `tidy`, a text that loses nothing stays as it is. `block` defaults to the longest that `window` guarantees.
 
-    `batches` and `buckets` default to twice and half the session's shuffle partitions,
-    the setting with which a job's size is told to Spark; a batch is held in one task's memory.
+    `batches` and `buckets` follow the bytes of the texts by default; a batch is held in one task's memory.
     """
+    if not isinstance(docs.schema[id_col].dataType, IntegralType):
+        raise TypeError(f"{id_col} must be an integer column")
     block = block or (window + 1) // 2
     if window < 2 * block - 1:
         raise ValueError("window must be at least 2 * block - 1 words")
     clash = {"n_words", "n_removed", "__batch"} & set(docs.columns)
     docs = docs.drop(*clash)
     small_batches(docs.sparkSession)
-    width = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    batches, buckets = batches or 2 * width, buckets or max(1, width // 2)
-    dealt = docs.withColumn("__batch", F.pmod(F.xxhash64(F.col(id_col), F.lit(7)), F.lit(batches)).cast("int")).repartition(width, "__batch")
+    if batches is None or buckets is None:
+        size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+        each = min(max(BATCH, math.isqrt(4096 * size)), MOST)
+        batches, buckets = batches or size // each + 1, buckets or size // (4 * each) + 1
+    salt = F.when(F.col(id_col).isNull(), F.xxhash64(F.col(text_col), F.spark_partition_id()))  # rows without an id have no partners
+    dealt = docs.withColumn("__batch", F.pmod(F.xxhash64(F.col(id_col), salt, F.lit(7)), F.lit(batches)).cast("int")).repartition(batches, "__batch")
     names = docs.columns
 
     def probe(table: pa.Table) -> pa.Table:
@@ -176,11 +189,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         gone = begin[elsewhere[place] | (b.word_id[begin] > least[place])]
         words = b.words
         removed = covered(gone, window, len(words))
-        texts = _joined(words, ~removed)
+        lost = per_doc(removed, words.first).astype(np.int64)
+        texts = pa.array(_joined(words, ~removed), pa.string())
         out = {c: left.column(c) for c in names}
-        out[text_col] = pa.array(texts, pa.string())
+        out[text_col] = texts if tidy else pc.if_else(pa.array(lost > 0), texts, left.column(text_col))
         out["n_words"] = pa.array(words.count.astype(np.int64))
-        out["n_removed"] = pa.array(per_doc(removed, words.first).astype(np.int64))
+        out["n_removed"] = pa.array(lost)
         return pa.table(out)
 
     asked = dealt.groupBy("__batch").applyInArrow(probe, _PIECES)
@@ -188,7 +202,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     again = dealt.groupBy("__batch").cogroup(hits.groupBy("batch")).applyInArrow(extend, _PIECES)
     earlier = again.groupBy("bucket").applyInArrow(lambda t: _answer(t, _earlier_windows), _PIECES)
     told = hits.withColumn("stage", F.lit(1)).unionByName(earlier.withColumn("stage", F.lit(2)))
-    schema = docs.withColumn(text_col, F.lit("")).withColumn("n_words", F.lit(0).cast("long")).withColumn("n_removed", F.lit(0).cast("long")).schema
+    schema = docs.withColumn(text_col, F.lit(None).cast("string")).withColumn("n_words", F.lit(0).cast("long")).withColumn("n_removed", F.lit(0).cast("long")).schema
     return dealt.groupBy("__batch").cogroup(told.groupBy("batch")).applyInArrow(cut, schema)
 
 

@@ -9,7 +9,7 @@ One narrow pass; a row's result depends on its own bytes alone, so equal inputs
 values and retried tasks repeat themselves. A task holds the samples of a few megabytes.
 
 Defined results: a null payload reads as empty, stores an empty data chunk and has zero
-features; an unknown or damaged container gives null samples; other columns pass through.
+features; an unknown or damaged container, or one of several channels, gives null samples; other columns pass through.
 """
 
 from __future__ import annotations
@@ -63,8 +63,9 @@ def container(tag: int, data: bytes, rate: int = RATE) -> bytes:
     return b"RIFF" + struct.pack("<I", len(body)) + body
 
 
-def read_container(media: bytes | None) -> tuple[int, int, memoryview] | None:
-    """Format tag, rate and data chunk; None if it is not a WAVE file with both."""
+def read_container(media: bytes | None) -> tuple[int, int, memoryview, int, int] | None:
+    """Format tag, rate, data chunk, bytes a block and bits a sample; None if it is not a one-channel WAVE file of a
+    known format with both chunks."""
     if not media or len(media) < 12 or media[:4] != b"RIFF" or media[8:12] != b"WAVE":
         return None
     view, at, form = memoryview(media), 12, None
@@ -73,9 +74,13 @@ def read_container(media: bytes | None) -> tuple[int, int, memoryview] | None:
         if at + 8 + size > len(media):
             return None
         if name == b"fmt " and size >= 16:
-            form = struct.unpack_from("<HHI", media, at + 8)
+            form = struct.unpack_from("<HHIIHH", media, at + 8)
         if name == b"data":
-            return (form[0], form[2], view[at + 8 : at + 8 + size]) if form and form[1] == 1 and form[0] in (PCM, *TABLES, IMA) else None
+            if not form or form[1] != 1:
+                return None
+            tag, rate, align, bits = form[0], form[2], form[4], form[5]
+            known = (tag == PCM and bits in (8, 16, 24, 32)) or (tag in TABLES and bits == 8) or (tag == IMA and bits == 4 and align > 4)
+            return (tag, rate, view[at + 8 : at + 8 + size], align, bits) if known else None
         at += 8 + size + size % 2
     return None
 
@@ -104,29 +109,47 @@ def decode_adpcm(blocks: np.ndarray) -> np.ndarray:
 
 
 def decode(media: list[bytes | None]) -> list[np.ndarray | None]:
-    """Linear 16-bit samples of each file; ADPCM blocks of all files are decoded together."""
+    """Linear 16-bit samples of each file; ADPCM blocks of one size are decoded together for all files. A last block
+    that is cut short counts as far as it goes; with less than its 4-byte header it has no samples."""
     read = [read_container(m) for m in media]
     out: list[np.ndarray | None] = [None] * len(read)
-    ima, sizes = [], []
+    by_size: dict[int, list[tuple[int, np.ndarray]]] = {}
     for i, r in enumerate(read):
         if r is None:
             continue
-        tag, _, data = r
+        tag, _, data, align, bits = r
         if tag == PCM:
-            out[i] = np.frombuffer(data[: len(data) // 2 * 2], "<i2")
+            out[i] = linear(data, bits)
         elif tag == IMA:
-            whole = len(data) // BLOCK
-            ima.append((i, np.frombuffer(data[: whole * BLOCK], np.uint8).reshape(-1, BLOCK)))
-            sizes.append(whole)
+            out[i] = np.zeros(0, np.int16)
+            whole, rest = divmod(len(data), align)
+            for size, blocks in ((align, data[: whole * align]), (rest, data[whole * align :])):
+                if size >= 4 and len(blocks):
+                    by_size.setdefault(size, []).append((i, np.frombuffer(blocks, np.uint8).reshape(-1, size)))
         else:
             out[i] = TABLES[tag][np.frombuffer(data, np.uint8)]
-    if ima:
+    ends: dict[int, np.ndarray] = {}
+    for size, ima in by_size.items():
         samples = decode_adpcm(np.concatenate([b for _, b in ima]))
-        for (i, _), part in zip(ima, np.split(samples, np.cumsum(sizes)[:-1])):
-            out[i] = part.reshape(-1)
+        for (i, _), part in zip(ima, np.split(samples, np.cumsum([len(b) for _, b in ima])[:-1])):
+            if size == read[i][3]:
+                out[i] = part.reshape(-1)
+            else:
+                ends[i] = part.reshape(-1)
+    for i, end in ends.items():
+        out[i] = np.concatenate([out[i], end])
     return out
 
 
+def linear(data, bits: int) -> np.ndarray:
+    """PCM of 8 (unsigned), 16, 24 or 32 bits as 16-bit samples: the upper bits stay; a last sample cut short goes."""
+    if bits == 8:
+        return ((np.frombuffer(data, np.uint8).astype(np.int16) - 128) << 8).astype("<i2")
+    step = bits // 8
+    upper = np.frombuffer(data[: len(data) // step * step], np.uint8).reshape(-1, step)[:, -2:]
+    return np.ascontiguousarray(upper).view("<i2")[:, 0]
+
+
 def resample(samples: np.ndarray, rate: int, to: int) -> np.ndarray:
     """Linear interpolation; rounds to the nearest sample value."""
     if rate == to or not len(samples):
@@ -180,7 +203,7 @@ def store_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             media = [container((MULAW, ALAW, IMA)[zlib.crc32(p) % 3], p) for p in filled]
             back = [read_container(m) for m in media]
             cols: list[list] = [[] for _ in range(7)]
-            for r, m, (tag, rate, data), samples in zip(raw, media, back, decode(media)):
+            for r, m, (tag, rate, data, *_), samples in zip(raw, media, back, decode(media)):
                 row = (len(r), len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-16:]), len(m), hashlib.sha256(m).hexdigest(), _feature(tag, samples, resample(samples, rate, STORE_RATE)))
                 for c, v in zip(cols, row):
                     c.append(v)

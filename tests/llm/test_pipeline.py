@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from quillspark.llm import pii
@@ -62,3 +63,14 @@ def test_run_and_empty(spark, folder, tmp_path):
     for name in ("documents", "labels"):
         spark.read.parquet(f"{folder}/{name}.parquet").limit(0).write.parquet(str(tmp_path / f"{name}.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_clashing_columns_come_back(spark, folder):
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    for k, c in enumerate(("spans", "n_words", "kept", "base_failed", "n_symbols", "cut_repeat_share", "n_removed", "stratum", "component_id")):
+        docs = docs.withColumn(c, F.concat(F.lit(f"{k}:"), F.col("doc_id").cast("string")))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, folder)
+        assert out.columns == docs.columns, name
+        rows = out.collect()
+        assert rows and all(r.spans == f"0:{r.doc_id}" and r.n_words == f"1:{r.doc_id}" and r.component_id == f"8:{r.doc_id}" for r in rows), name
