@@ -21,9 +21,10 @@ postings. With a posting go the set's size and its room, the number of tokens th
 with a partner of this list: all of them under a single token, the frequent ones under a pair, as
 a text with pairs has indexed all its rare tokens and a partner that shares one meets it there.
 Two members are worth comparing only if the lesser room reaches the overlap that their sizes
-demand, and a member that no other room in its list can satisfy leaves the list. A list is
+demand, and so does a bound from bitmaps of the 256 hash cells that hold one, two or three of a
+text's shingles; a member that no other room in its list can satisfy leaves the list. A list is
 compared with one hub, the member with fewest tokens of its own, not pairwise: lists whose
-members are then not all in one component go on without the nodes compared, with 8, 64, ... hubs
+members are then not all in one component go on without the nodes compared, with 32, 1024, ... hubs
 each round, until every pair of a list was compared, ruled out or is connected; of lists with the
 same members one goes on. So all links between different texts count, copies are never paired,
 and no list is gathered. Candidates pass an exact filter first: the sums over 512 hash cells of
@@ -48,7 +49,8 @@ from .words import U64, Words, chunks, mix, same_spans, small_batches
 
 SHINGLE, NUM, DEN = 5, 80, 100
 SMALL = 20
-CELLS = 512
+CELLS, COARSE, LEVELS = 512, 256, 3
+BITS = [f"b{k}" for k in range(LEVELS * COARSE // 64)] + ["beyond"]
 
 
 class Sets:
@@ -84,6 +86,19 @@ class Sets:
             out += [r.tobytes() for r in np.minimum(counts, 255).astype(np.uint8)]
         return out
 
+    def levels(self) -> np.ndarray:
+        """Rows of BITS: bitmaps of the coarse cells with at least one, two, three shingles, then the shingles beyond those."""
+        out = np.zeros((len(self.n), len(BITS)), np.int64)
+        cell = (self.h >> U64(50)).astype(np.int64) % COARSE
+        for base in range(0, len(self.n), 512):
+            a, b = self.at[base], self.at[min(base + 512, len(self.n))]
+            rows = min(512, len(self.n) - base)
+            counts = np.bincount((self.doc[a:b] - base) * COARSE + cell[a:b], minlength=rows * COARSE).reshape(rows, COARSE)
+            for t in range(LEVELS):
+                out[base : base + rows, t * COARSE // 64 : (t + 1) * COARSE // 64] = np.packbits(counts > t, axis=1).view(np.int64)
+            out[base : base + rows, -1] = np.maximum(counts - LEVELS, 0).sum(1)
+        return out
+
     def of(self, i: int) -> np.ndarray:
         return self.h[self.at[i] : self.at[i + 1]]
 
@@ -131,7 +146,7 @@ def keys(sets: Sets, frequent: np.ndarray, num: int = NUM, den: int = DEN) -> tu
     return made & ~U64(1), of, room
 
 
-_FOUND = "kind int, h long, n long, doc_id {id}, size long, node long, cells binary"
+_FOUND = "kind int, h long, n long, doc_id {id}, size long, node long, cells binary, " + ", ".join(f"{c} long" for c in BITS)
 
 
 def _survey(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -144,7 +159,7 @@ def _survey(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             m = len(sets.n)
             ids = batch.column(id_col)
             none = pa.nulls(m, pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(m, np.int32)), none, none, ids, pa.array(sets.n.astype(np.int64)), pa.array(sets.print), pa.array(sets.cells(), pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(m, np.int32)), none, none, ids, pa.array(sets.n.astype(np.int64)), pa.array(sets.print), pa.array(sets.cells(), pa.binary()), *map(pa.array, np.ascontiguousarray(sets.levels().T))], names=names)
             own = _distinct(sets)
             h, times = np.unique(own.h, return_counts=True)
             some = times > 1
@@ -152,9 +167,9 @@ def _survey(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             kind = np.ones(len(h), np.int32)
             kind[-1] = 2
             none = pa.nulls(len(h), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(h.view(np.int64)), pa.array(times.astype(np.int64)), pa.nulls(len(h), ids.type), none, none, pa.nulls(len(h), pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(h.view(np.int64)), pa.array(times.astype(np.int64)), pa.nulls(len(h), ids.type), none, none, pa.nulls(len(h), pa.binary()), *[none] * len(BITS)], names=names)
 
-    names = ["kind", "h", "n", "doc_id", "size", "node", "cells"]
+    names = ["kind", "h", "n", "doc_id", "size", "node", "cells", *BITS]
     return docs.select(id_col, text_col).mapInArrow(run, _FOUND.format(id=docs.schema[id_col].dataType.simpleString()))
 
 
@@ -295,8 +310,7 @@ def _verify(candidates: DataFrame, docs: DataFrame, id_col: str, text_col: str,
 
     def run(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
+            for part in chunks([batch], "b_text", 1 << 20, "a_text"):
                 sides = []
                 for side in ("a", "b"):
                     node = part.column(side).to_numpy()
@@ -351,16 +365,19 @@ def join_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     survey = scratch.keep(_survey(docs, id_col, text_col))
     members = survey.where("kind = 0").select("doc_id", "size", "node")
     known = survey.where("kind = 0 and size > 0 and doc_id is not null")
-    nodes = scratch.keep(known.groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("size").alias("size"), F.min("cells").alias("cells")))
+    nodes = scratch.keep(known.groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("size").alias("size"), F.min("cells").alias("cells"), *[F.min(c).alias(c) for c in BITS]))
     frequent = _frequent(survey, scratch, most_frequent, least_count)
     width = buckets or _buckets(survey)
     found = _postings(docs.where(F.col(id_col).isNotNull()), id_col, text_col, frequent, width).distinct().withColumn("root", F.col("node"))
-    active, roots, hubs = _open(found, scratch, num, den), None, 1
+    lists = _open(found, scratch, num, den)
+    active, roots, hubs = scratch.keep(lists.join(nodes.select("node", *BITS), "node")), None, 1
+    scratch.drop(lists)
+    most = " + ".join([f"bit_count({c} & hub_{c})" for c in BITS[:-1]] + ["least(beyond, hub_beyond)"])  # an overlap's upper bound
+    fits = f"node <> hub and root <> hub_root and {num + den} * least(room, hub_room, {most}) >= {num} * (size + hub_size)"
     while not active.isEmpty():
         part = F.pmod(F.xxhash64("node"), F.lit(hubs))
-        centre = F.min(F.struct((F.col("size") - F.col("room")).alias("own"), "size", "node", "root", "room"))  # the fewest tokens of its own
-        picked = active.groupBy("key", part.alias("part")).agg(centre.alias("hub")).select("key", *[F.col(f"hub.{c}").alias("hub" if c == "node" else f"hub_{c}") for c in ("node", "root", "size", "room")])
-        fits = f"node <> hub and root <> hub_root and {num + den} * least(room, hub_room) >= {num} * (size + hub_size)"
+        centre = F.min(F.struct((F.col("size") - F.col("room")).alias("own"), "size", "node", "root", "room", *BITS))  # the fewest tokens of its own
+        picked = active.groupBy("key", part.alias("part")).agg(centre.alias("hub")).select("key", *[F.col(f"hub.{c}").alias("hub" if c == "node" else f"hub_{c}") for c in ("node", "root", "size", "room", *BITS)])
         pairs = active.join(picked, "key").where(fits).select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
         candidates = scratch.keep(_plausible(pairs, nodes, num, den))
         found = scratch.keep(_verify(candidates, docs, id_col, text_col, num, den))
@@ -368,7 +385,7 @@ def join_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         rest = active.drop("root").join(picked.select("key", F.col("hub").alias("node")), ["key", "node"], "left_anti")
         old, active = active, _open(rest.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), scratch, num, den)
         scratch.drop(old, candidates, found)
-        hubs *= 8
+        hubs *= 32
     roots = roots or scratch.keep(nodes.select("node", F.col("node").alias("root")).limit(0))
     homes = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = homes.groupBy("root").agg(F.min("rep").alias("component_id"))

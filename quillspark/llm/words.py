@@ -65,12 +65,14 @@ def small_batches(spark, rows: int = 1000) -> None:
         spark.conf.set(name, rows)
 
 
-def chunks(batches, text: str, size: int = 1 << 20) -> Iterator[pa.RecordBatch]:
-    """The rows in record batches of at most about `size` bytes of text, at least one row each."""
+def chunks(batches, text: str, size: int = 1 << 20, other: str | None = None) -> Iterator[pa.RecordBatch]:
+    """The rows in record batches of at most about `size` bytes of text (and of a second text column), at least one row each."""
     for batch in batches:
         if not batch.num_rows:
             continue
         _, at = utf8(batch.column(text))
+        if other:
+            at = at + utf8(batch.column(other))[1]
         begin = 0
         while begin < batch.num_rows:
             end = max(begin + 1, int(np.searchsorted(at, at[begin] + size, "right")) - 1)
