@@ -35,3 +35,5 @@ re2 = java
 
 ALLOWED = (CJK, ASCII_ALNUM, SPACE, ranges(PUNCTUATION))
 TRIM = f"^{java(SPACE)}+|{java(SPACE)}+$"
+#: The same for Java, in linear time: a run of spaces is tried at its beginning only.
+TRIM_JAVA = f"^{quick(SPACE)}++|(?<!{quick(SPACE)}){quick(SPACE)}++\\z"

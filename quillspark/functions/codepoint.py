@@ -10,6 +10,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from .quality import once
+
 TOKEN = r"(?s)x[0-9a-fA-F]{4}|[0-9a-fA-F]{4}|."
 WRAPPED = r"(?s)[a-zA-Z_]\w*\s*\(\s*(\{.*\})\s*\)\s*$"
 DATA_FILE = r"\.(xs|book|data|txt|json)$"
@@ -60,11 +62,37 @@ def emit(toks: Column, mapping: Column) -> Column:
     return F.array_join(F.transform(toks, one), "")
 
 
+#: Runs of tokens that are decoded in one step: `x` tokens, code points behind one marker, plain characters.
+RUN = r"(?s)(?:x[0-9a-fA-F]{4})+|([\x01-\x03])[0-9a-fA-F]{4}(?:\1[0-9a-fA-F]{4})*|[^x;\x00-\x1f]+|."
+#: A code point that is half of a surrogate pair names no character: such texts go token by token.
+SURROGATE = r"[x\x01-\x03][dD][89a-fA-F][0-9a-fA-F]{2}"
+
+
+def emit_runs(runs: Column, mapping: Column) -> Column:
+    """The text of an array of runs, none of which has a surrogate."""
+    chars = lambda r: F.decode(F.unhex(F.translate(r, "x\x01\x02\x03", "")), "UTF-16BE")
+
+    def one(r):
+        first = F.left(r, F.lit(1))
+        mapped = F.element_at(mapping, first)
+        return (
+            F.when(first >= " ", F.when((first == "x") & (F.length(r) > 1), chars(r)).when(r == ";", "").otherwise(r))
+            .when(mapped.isNotNull(), F.replace(r, first, mapped))
+            .when(F.length(r) > 1, chars(r))
+            .when(r == "\x04", "\n")
+            .otherwise("")
+        )
+
+    return F.array_join(F.transform(runs, one), "")
+
+
 def decode(df, content: str, replace: str | None = None, out: str = "decoded"):
     """`df` with the decoded text of column `content`; null content gives null."""
     mapping = replacement_map(F.col(replace)) if replace else F.create_map().cast("map<string,string>")
-    df = df.withColumns({"__toks": tokens(F.col(content)), "__map": mapping})
-    return df.withColumn(out, emit(F.col("__toks"), F.col("__map"))).drop("__toks", "__map")
+    c = F.col(content)
+    odd = c.rlike(SURROGATE)
+    df = once(df, {"__toks": F.when(odd, tokens(c)), "__runs": F.when(~odd, F.regexp_extract_all(c, F.lit(RUN), 0)), "__map": mapping})
+    return df.withColumn(out, F.coalesce(emit_runs(F.col("__runs"), F.col("__map")), emit(F.col("__toks"), F.col("__map")))).drop("__toks", "__runs", "__map")
 
 
 def unwrap(raw: Column) -> Column:

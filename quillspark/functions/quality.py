@@ -36,7 +36,7 @@ class QualityRules:
 
 def trim(text: Column) -> Column:
     """Without Unicode white space at both ends."""
-    return F.regexp_replace(text, chars.TRIM, "")
+    return F.regexp_replace(text, chars.TRIM_JAVA, "")
 
 
 def trimmed_lines(text: Column) -> Column:
@@ -44,12 +44,13 @@ def trimmed_lines(text: Column) -> Column:
 
 
 def count_class(text: Column, *classes) -> Column:
-    return F.regexp_count(text, F.lit(chars.quick(*classes)))
+    """Characters of the classes: what is left when the runs of others go, as runs are fewer than characters."""
+    return F.length(F.regexp_replace(text, f"{chars.quick(*classes, negate=True)}++", ""))
 
 
 def garble_run_length(text: Column, least: int = 4) -> Column:
     """Characters in runs of `least` or more that are neither script, ASCII letters or digits, space nor punctuation."""
-    return F.length(text) - F.length(F.regexp_replace(text, f"{chars.quick(*chars.ALLOWED, negate=True)}{{{least},}}", ""))
+    return F.length(text) - F.length(F.regexp_replace(text, f"{chars.quick(*chars.ALLOWED, negate=True)}{{{least},}}+", ""))
 
 
 def half_up(x: Column, digits: int = 1) -> Column:

@@ -44,17 +44,18 @@ def indent_paragraphs(text: Column, indent: str = "\u3000\u3000") -> Column:
 
 
 def merge_short_lines(text: Column, least: int = 35) -> Column:
-    """A line shorter than `least` that is no dialogue is appended to a line without a terminal mark."""
+    """A line shorter than `least` that is no dialogue is appended to a line without a terminal mark. What a line is
+    appended to ends as the line before it does, so each decision needs these two lines only."""
     lines = F.split(text, "\n", -1)
-    joins = lambda a, x: (F.size(a) > 0) & (F.length(x) < least) & (x != "") & ~x.rlike("^[“\"「『]") & (F.element_at(a, -1) != "") & ~F.element_at(a, -1).rlike(TERMINAL)
-    step = lambda a, x: F.when(joins(a, x), F.concat(F.slice(a, 1, F.size(a) - 1), F.array(F.concat(F.element_at(a, -1), x)))).otherwise(F.concat(a, F.array(x)))
-    return F.array_join(F.aggregate(lines, F.array().cast("array<string>"), step), "\n")
+    before = lambda i: F.get(lines, i - 1)
+    joins = lambda x, i: (F.length(x) < least) & (x != "") & ~x.rlike("^[“\"「『]") & (before(i) != "") & ~before(i).rlike(TERMINAL)
+    return F.array_join(F.transform(lines, lambda x, i: F.when((i == 0) | joins(x, i), x).otherwise(F.concat(F.lit("\n"), x))), "")
 
 
 def unique_lines(text: Column) -> Column:
-    """Keeps the first of equal lines; blank lines are not counted as equal."""
-    lines = F.split(text, "\n", -1)
-    return F.array_join(F.filter(lines, lambda x, i: (trim(x) == "") | (F.array_position(lines, x) == i + 1)), "\n")
+    """Keeps the first of equal lines; blank lines are not counted as equal: their places make them different."""
+    marked = F.transform(F.split(text, "\n", -1), lambda x, i: F.when(trim(x) == "", F.concat(F.lit("\x00"), i.cast("string"), F.lit("\x00"), x)).otherwise(F.concat(F.lit("\x01"), x)))
+    return F.array_join(F.transform(F.array_distinct(marked), lambda x: F.regexp_replace(x, "^(?:\\x01|\\x00[0-9]+\\x00)", "")), "\n")
 
 
 def drop_ad_lines(text: Column, keywords: list[str], patterns: list[str] = ()) -> Column:
@@ -157,7 +158,7 @@ def base64_custom(body: Column, alphabet: str) -> Column:
 
 def xor_text(body: Column, key: int) -> Column:
     """Bytes given as hex, each combined with the key by exclusive or."""
-    pairs = F.transform(F.sequence(F.lit(0), (F.length(body) / 2).cast("int") - 1), lambda i: F.conv(F.substring(body, i * 2 + 1, F.lit(2)), 16, 10).cast("int").bitwiseXOR(F.lit(key)))
+    pairs = F.transform(F.regexp_extract_all(body, F.lit(".."), 0), lambda b: F.conv(b, 16, 10).cast("int").bitwiseXOR(F.lit(key)))
     return F.when(body.rlike("^([0-9a-fA-F]{2})+$"), F.unhex(F.array_join(F.transform(pairs, lambda b: F.lpad(F.hex(b), 2, "0")), "")).cast("string"))
 
 

@@ -56,17 +56,21 @@ def duplicate_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Sentences are compared by hash after one shuffle. Texts with the same set of sentences are one
     class: pairs are formed between classes, and the members of a class hang on its least id, so a
-    group of copies gives a row per member. A sentence shared by many different texts still gives
-    a pair for every two of them, as the shared counts of all of them are asked for.
+    group of copies gives a row per member. A text is not indexed by its `least` - 1 most frequent
+    sentences: who shares `least` with it shares another one, so a sentence that many texts have
+    brings none of them together by itself. Candidates are counted on their whole sets.
     """
     each = sentence_sets(docs, id_col, text_col).select(id_col, F.xxhash64("sentence").alias("h"))
     classes = each.groupBy(id_col).agg(F.count("*").alias("n"), F.sum(F.xxhash64("h").cast("decimal(20,0)")).alias("s"), F.bit_xor("h").alias("x"))
     rep = classes.groupBy("n", "s", "x").agg(F.min(id_col).alias("rep"))
     member = classes.join(rep, ["n", "s", "x"]).select(id_col, "rep", "n")
     reps = each.join(member.where(F.col(id_col) == F.col("rep")), id_col).select(F.col("rep").alias("id"), "h", "n")
-    left = reps.select(F.col("id").alias("a"), "h", F.col("n").alias("na"))
-    right = reps.select(F.col("id").alias("b"), "h", F.col("n").alias("nb"))
-    pairs = left.join(right, "h").where("a < b").groupBy("a", "b", "na", "nb").agg(F.count("*").alias("shared"))
+    times = reps.groupBy("h").agg(F.count("*").alias("times"))
+    place = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("times"), "h"))
+    index = reps.join(times, "h").withColumn("place", place).where((F.col("place") >= least) & (F.col("times") > 1))
+    side = lambda df, name, n: df.select(F.col("id").alias(name), "h", F.col("n").alias(n))
+    found = side(index, "a", "na").drop("na").join(side(index, "b", "nb").drop("nb"), "h").where("a < b").select("a", "b").distinct()
+    pairs = found.join(side(reps, "a", "na"), "a").join(side(reps, "b", "nb"), ["b", "h"]).groupBy("a", "b", "na", "nb").agg(F.count("*").alias("shared"))
     copies = member.where((F.col(id_col) != F.col("rep")) & (F.col("n") >= least)).select(F.col("rep").alias("a"), F.col(id_col).alias("b"), F.col("n").alias("na"), F.col("n").alias("nb"), F.col("n").alias("shared"))
     return pairs.where(F.col("shared") >= least).unionByName(copies).select("a", "b", "shared", (F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared"))).alias("jaccard"), (F.col("shared") / F.least("na", "nb")).alias("containment"))
 

@@ -60,10 +60,12 @@ def capped_hits(df: DataFrame, key: str, engine: str, most: int = 100, other: st
 
 
 def ema(df: DataFrame, key: str, order: list[str], value: Column, alpha: float = 0.3) -> DataFrame:
-    """The exponential moving average of a key's values in order, and the number of values."""
-    folded = df.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*order, value.cast("double").alias("v")))).alias("a"))
-    step = lambda acc, x: F.when(acc.isNull(), x["v"]).otherwise(alpha * x["v"] + (1 - alpha) * acc)
-    return folded.select(key, F.size("a").cast("long").alias("n"), F.aggregate("a", F.lit(None).cast("double"), step).alias("ema"))
+    """The exponential moving average of a key's values in order, and the number of values: a weighted sum, the weight
+    following from a value's place from the end, so no history is gathered in one row."""
+    w = Window.partitionBy(key)
+    placed = df.select(key, value.cast("double").alias("__v"), (F.row_number().over(w.orderBy(*[F.desc(c) for c in order])) - 1).alias("__k"), F.row_number().over(w.orderBy(*order)).alias("__i"))
+    weight = F.pow(F.lit(1 - alpha), F.col("__k")) * F.when(F.col("__i") == 1, 1.0).otherwise(alpha)
+    return placed.groupBy(key).agg(F.count("*").alias("n"), F.sum(weight * F.col("__v")).alias("ema"))
 
 
 def throttled(log: DataFrame, key: str, most: int, span: str = "1 minute") -> DataFrame:

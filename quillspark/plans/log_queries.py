@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..operators import history as h
-from ..sources.tables import table
+from ..sources.tables import shared_folder, table
 from ..streaming import monitors
 from .views import CRAWL_LOG, crawl_log
 
@@ -155,11 +155,7 @@ def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _run(spark: SparkSession, stream: DataFrame, mode: str) -> DataFrame:
-    import tempfile
-
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
-    name = f"q{uuid.uuid4().hex}"
-    out = monitors.run_once(stream, name, f"{root}/{name}", mode)
+    out = monitors.run_once(stream, f"{shared_folder(spark)}/q{uuid.uuid4().hex}", mode)
     return out.select(*[F.col(c).cast("timestamp_ntz").alias(c) if t == "timestamp" else F.col(c) for c, t in out.dtypes])
 
 
@@ -197,7 +193,7 @@ SQL = {
     "recovery": f"""WITH i AS (SELECT *, sum(CASE WHEN result = 'failed' THEN 1 ELSE 0 END) OVER w AS island, max(CASE WHEN result = 'failed' THEN ts END) OVER w AS bad FROM {CRAWL_LOG} WINDOW w AS (PARTITION BY domain ORDER BY ts, event_id)),
 r AS (SELECT *, (row_number() OVER (PARTITION BY domain, island ORDER BY ts, event_id) - CASE WHEN island > 0 THEN 1 ELSE 0 END)::BIGINT AS ok_run FROM i)
 SELECT event_id, ok_run, ok_run >= 8 AND (bad IS NULL OR epoch_us(ts) - epoch_us(bad) >= 3600000000) AS may_recover FROM r""",
-    "recent_urls": f"SELECT domain, event_id FROM {CRAWL_LOG} QUALIFY row_number() OVER (PARTITION BY domain ORDER BY ts DESC, event_id DESC) <= 50",
+    "recent_urls": f"SELECT domain, event_id FROM {CRAWL_LOG} QUALIFY row_number() OVER (PARTITION BY domain ORDER BY ts DESC, event_id DESC) <= 5000",
     "retention_cap": f"SELECT domain, result, count(*) AS n, min(event_id) AS oldest FROM (SELECT * FROM {CRAWL_LOG} QUALIFY row_number() OVER (PARTITION BY domain ORDER BY CASE WHEN result = 'failed' THEN 0 ELSE 1 END, ts DESC, event_id DESC) <= 120) GROUP BY ALL",
     "engine_hits": f"WITH p AS (SELECT url, event_type, count(*) AS hits FROM {CRAWL_LOG} GROUP BY ALL), b AS (SELECT url FROM p GROUP BY url ORDER BY sum(hits) DESC, url LIMIT 100) SELECT CASE WHEN url IN (SELECT url FROM b) THEN url ELSE 'other' END AS url, event_type, sum(hits)::BIGINT AS hits FROM p GROUP BY 1, 2",
     "site_statistics": f"SELECT domain, count(*) AS tasks, min(ts) AS first_ts, max(ts) AS last_ts, count(DISTINCT url) AS urls, round(avg(CASE WHEN result = 'ok' THEN 1 ELSE 0 END), 6) AS ok_rate, string_agg(DISTINCT event_type, ',' ORDER BY event_type) AS kinds FROM {CRAWL_LOG} GROUP BY domain",
@@ -214,7 +210,7 @@ SELECT event_id, attempt, least(coalesce(CASE WHEN hash % 2 = 0 THEN hash::DOUBL
     "version_guard": f"SELECT url, last(hash ORDER BY ts, event_id) AS hash, max(ts) AS version FROM {CRAWL_LOG} GROUP BY url",
     "replay_agreement": f"SELECT domain, round(avg(CASE WHEN said = result THEN 1 ELSE 0 END), 6) AS agreement FROM (SELECT *, coalesce(lag(result) OVER (PARTITION BY domain ORDER BY ts, event_id), 'ok') AS said FROM {CRAWL_LOG}) GROUP BY domain",
     "probe_summary": f"SELECT domain, count(*) AS n, count(*) FILTER (last = 'ok') AS ok, count(*) FILTER (last = 'failed') AS failed, round(100 * avg(CASE WHEN last = 'ok' THEN 1 ELSE 0 END), 4) AS health FROM (SELECT domain, url, last(result ORDER BY ts, event_id) AS last FROM {CRAWL_LOG} GROUP BY ALL) GROUP BY domain",
-    "latest_suggestions": f"SELECT domain, event_id, hash FROM (SELECT * FROM {CRAWL_LOG} WHERE event_type = 'purchase' QUALIFY row_number() OVER (PARTITION BY domain ORDER BY ts DESC, event_id DESC) = 1) ORDER BY hash DESC, domain LIMIT 10",
+    "latest_suggestions": f"SELECT domain, event_id, hash FROM (SELECT * FROM {CRAWL_LOG} WHERE event_type = 'purchase' QUALIFY row_number() OVER (PARTITION BY domain ORDER BY ts DESC, event_id DESC) = 1) ORDER BY hash DESC, domain LIMIT 50",
     "log_filter": f"SELECT event_id FROM {CRAWL_LOG} WHERE domain IN ('d1', 'd2') AND result = 'failed' AND contains(url, '1')",
     "session_windows": f"""WITH g AS (SELECT domain, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY domain ORDER BY ts, event_id) < INTERVAL 3 HOUR THEN 0 ELSE 1 END AS n, event_id FROM {CRAWL_LOG}),
 s AS (SELECT domain, ts, sum(n) OVER (PARTITION BY domain ORDER BY ts, event_id) AS k FROM g) SELECT domain, min(ts) AS started, count(*) AS n FROM s GROUP BY domain, k""",

@@ -86,11 +86,13 @@ def valid_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def codepoint_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text written as a wrapped code-point payload in one of three ways, then unwrapped and decoded."""
-    four = lambda c: F.lpad(F.lower(F.hex(F.encode(c, "UTF-16BE"))), 4, "0")
-    plain = lambda c: F.when(c == "\n", "\x04").when(c.isin(";", "x"), F.concat(F.lit("x"), four(c))).otherwise(c)
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    points = F.lower(F.hex(F.encode("text", "UTF-16BE")))
+    plain = F.col("text")
+    for a, b in (("x", "x0078"), (";", "x003b"), ("\n", "\x04")):
+        plain = F.replace(plain, F.lit(a), F.lit(b))
     mode = F.col("doc_id") % 3
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("chars", F.split("text", ""))
-    stream = F.array_join(F.transform(F.filter("chars", lambda c: c != ""), lambda c: F.when(mode == 0, F.concat(F.lit("\x01"), four(c))).when(mode == 1, F.concat(F.lit("x"), four(c))).otherwise(plain(c))), "")
+    stream = F.when(mode == 0, F.regexp_replace(points, "(.{4})", "\x01$1")).when(mode == 1, F.regexp_replace(points, "(.{4})", "x$1")).otherwise(plain)
     raw = docs.select("doc_id", F.concat(F.lit("cb("), F.to_json(F.struct(stream.alias("content"), F.create_map(F.lit("4e2d"), F.lit("\x05")).alias("replace"))), F.lit(")")).alias("raw"))
     parsed = raw.withColumn("p", cp.payload(F.col("raw"))).select("doc_id", "p.content", "p.replace")
     return cp.decode(parsed, "content", "replace").select("doc_id", F.col("decoded").alias("text"))
@@ -169,7 +171,7 @@ def body_decoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     b64 = F.base64(t.cast("binary"))
     way = F.col("doc_id") % 4
     hidden = F.when(way == 0, b64).when(way == 1, F.concat(F.lit("w.d('"), b64, F.lit("')"))).when(way == 2, F.concat(F.lit("'"), F.regexp_replace(t, "['\"]", ""), F.lit("'+'!'"))).otherwise(F.concat(t, F.lit(" ~")))
-    bodies = table(spark, sf_dir, "documents").where(F.length("text") >= 10).select("doc_id", F.regexp_replace(hidden, "[\\r\\n]", "").alias("body"))
+    bodies = table(spark, sf_dir, "documents").select("doc_id", F.regexp_replace(hidden, "[\\r\\n]", "").alias("body"))
     return tx.decode_bodies(bodies, "body").select("doc_id", "method", F.sha2("text", 256).alias("sha256"))
 
 
@@ -198,7 +200,7 @@ SQL = {
     "valid_texts": f"SELECT doc_id, net FROM ({_report_sql(CJK_DOCUMENTS)}) WHERE valid",
     "codepoint_round_trip": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
     "replacement_maps": "SELECT doc_id, 2::BIGINT AS entries, chr(CAST(19968 + doc_id AS INT)) AS five, chr(CAST(19968 + doc_id AS INT)) AS six FROM documents",
-    "first_differences": "SELECT doc_id, (CASE WHEN doc_id % 3 = 0 THEN NULL WHEN doc_id % 3 = 1 THEN length(a) WHEN length(a) < 8 THEN length(a) WHEN substring(a, 8, 1) = '#' THEN NULL ELSE 7 END)::BIGINT AS at FROM (SELECT doc_id, substring(text, 1, 200) AS a FROM documents)",
+    "first_differences": "SELECT doc_id, (CASE WHEN doc_id % 3 = 0 THEN NULL WHEN doc_id % 3 = 1 THEN length(a) WHEN length(a) < 8 THEN length(a) WHEN substring(a, 8, 1) = '#' THEN NULL ELSE 7 END)::BIGINT AS at FROM (SELECT doc_id, text AS a FROM documents)",
     "clean_text": f"SELECT doc_id, sha256(t) AS sha256, length(t)::BIGINT AS chars FROM (SELECT doc_id, array_to_string(list_filter(list_transform(regexp_split_to_array(regexp_replace(regexp_replace(text, '[\\x{{0}}-\\x{{9}}\\x{{b}}-\\x{{1f}}\\x{{7f}}-\\x{{9f}}\\x{{e000}}-\\x{{f8ff}}]', '', 'g'), '[ \\t\\r\\f\\v]+', ' ', 'g'), '\\n[ \\t]*\\n+'), lambda x: regexp_replace(x, '{TRIM}', '', 'g')), lambda x: x <> ''), chr(10) || chr(10)) AS t FROM documents)",
     "unique_lines": f"SELECT doc_id, sha256(array_to_string(list_filter(l, lambda x, i: regexp_replace(x, '{TRIM}', '', 'g') = '' OR list_position(l, x) = i), chr(10))) AS sha256 FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)",
     "ad_lines": "SELECT doc_id, sha256(array_to_string(k, chr(10))) AS sha256, (len(l) - greatest(len(k), 1))::BIGINT AS dropped FROM (SELECT doc_id, l, list_filter(l, lambda x: NOT (contains(x, 'License') OR contains(x, 'token =') OR regexp_matches(x, '^\\|') OR regexp_matches(x, '#{3,}'))) AS k FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents))",
@@ -211,5 +213,7 @@ SQL = {
     "duplicate_verdicts": f"""WITH p AS ({_PAIR_SQL}), z AS (SELECT doc_id, length(regexp_replace(text, '[^\\p{{L}}\\p{{N}}]', '', 'g')) AS c FROM documents),
 v AS (SELECT a, b, za.c AS ca, zb.c AS cb, CASE WHEN least(za.c, zb.c) >= 500 AND jaccard >= 0.8 THEN 'same' WHEN least(za.c, zb.c) >= 500 AND containment >= 0.95 THEN 'subset' WHEN jaccard >= 0.3 OR containment >= 0.95 THEN 'review' ELSE 'none' END AS verdict FROM p JOIN z za ON za.doc_id = a JOIN z zb ON zb.doc_id = b)
 SELECT a, b, verdict, CASE WHEN verdict IN ('same', 'subset') THEN CASE WHEN cb > ca THEN b ELSE a END END AS keep FROM v""",
-    "body_decoding": "SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'base64' WHEN 1 THEN 'calls' WHEN 2 THEN 'concat' ELSE 'plain' END AS method, sha256(CASE doc_id % 4 WHEN 2 THEN replace(regexp_replace(text, '[''\"]', '', 'g'), chr(10), '') || '!' WHEN 3 THEN replace(text, chr(10), '') || ' ~' ELSE text END) AS sha256 FROM documents WHERE length(text) >= 10",
+    "body_decoding": """SELECT doc_id, CASE WHEN doc_id % 4 = 0 AND text <> '' THEN 'base64' WHEN doc_id % 4 = 1 AND strlen(text) >= 4 THEN 'calls' WHEN doc_id % 4 = 2 AND text IS NOT NULL THEN 'concat' ELSE 'plain' END AS method,
+sha256(CASE doc_id % 4 WHEN 1 THEN CASE WHEN strlen(text) >= 4 THEN text ELSE 'w.d(' || chr(39) || base64(encode(text)) || chr(39) || ')' END WHEN 2 THEN replace(regexp_replace(text, '[' || chr(39) || '"]', '', 'g'), chr(10), '') || '!' WHEN 3 THEN replace(text, chr(10), '') || ' ~' ELSE text END) AS sha256 FROM documents""",
+    "short_lines": f"SELECT doc_id, sha256(array_to_string(list_transform(l, lambda x, i: CASE WHEN i = 1 OR (length(x) < 35 AND x <> '' AND NOT regexp_matches(x, '^[“\"「『]') AND l[i - 1] <> '' AND NOT regexp_matches(l[i - 1], '{tx.TERMINAL}')) THEN x ELSE chr(10) || x END), '')) AS sha256 FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)",
 }

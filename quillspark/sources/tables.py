@@ -1,7 +1,9 @@
-"""Readers and writers for the files that the reference's users keep."""
+"""Readers and writers for the files that users of crawled text keep."""
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import codepoint
@@ -11,6 +13,15 @@ LEDGER = "url string, site string, book string"
 RISK_EVENT = "origin string, domain string, ts timestamp, kind string, detail string"
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir of the session; only a session without executors of its own may do without."""
+    if found := spark.conf.get("spark.checkpoint.dir", None):
+        return found.rstrip("/")
+    if not spark.conf.get("spark.master", "local").startswith(("local[", "local")) or spark.conf.get("spark.master", "local").startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return tempfile.mkdtemp(prefix="spark-")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
