@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import log_queries, text_queries, web_queries
+from . import extra_queries, log_queries, text_queries, web_queries
 
-MODULES = (text_queries, log_queries, web_queries)
+MODULES = (text_queries, log_queries, web_queries, extra_queries)
 
 
 def queries() -> dict:
