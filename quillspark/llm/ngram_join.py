@@ -27,7 +27,9 @@ compared with one hub, the member with fewest tokens of its own, not pairwise: l
 members are then not all in one component go on without the nodes compared, with 32, 1024, ... hubs
 each round, until every pair of a list was compared, ruled out or is connected; of lists with the
 same members one goes on. So all links between different texts count, copies are never paired,
-and no list is gathered. Candidates pass an exact filter first: the sums over 512 hash cells of
+and no list is gathered. Before all that each member is compared in one list only, its longest, with
+the hub among those that chose the same: this connects most groups of copies with a row a member,
+where the lists would bring the same two together under every key they share. Candidates pass an exact filter first: the sums over 512 hash cells of
 the lesser cell count bound the overlap from above. The rest are verified on whole texts, fetched
 past a bitmap of the ids asked for (2 MB at any size); shingles are compared by their bytes there.
 Links, components and fingerprints stay in tables.
@@ -350,8 +352,8 @@ def _open(lists: DataFrame, scratch: Scratch, num: int, den: int) -> DataFrame:
     room, size = F.col("room"), F.col("size")
     want = lambda n: f"{num} * {n}"
     spare = (num + den) * room - num * size  # a partner's size must not exceed spare / num
-    bounds = lists.groupBy("key").agg(F.max(spare).alias("most"), F.min("size").alias("small"))
-    fit = lists.join(bounds, "key").where(f"most >= {want('size')} and {num + den} * room >= {num} * (size + small)").drop("most", "small")
+    bounds = lists.groupBy("key").agg(F.max(spare).alias("most"), F.min("size").alias("small"), F.count("*").alias("length"))
+    fit = lists.drop("length").join(bounds, "key").where(f"most >= {want('size')} and {num + den} * room >= {num} * (size + small)").drop("most", "small")
     per = fit.groupBy("key").agg(F.count("*").alias("n"), F.sum(F.xxhash64("node", "room").cast("decimal(20,0)")).alias("s"), F.bit_xor(F.xxhash64("room", "node")).alias("x"), F.min("root").alias("low"), F.max("root").alias("high"))
     one = per.where("low < high").groupBy("n", "s", "x").agg(F.min("key").alias("key")).select("key")
     return scratch.keep(fit.join(one, "key", "left_semi"))
@@ -375,17 +377,21 @@ def join_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     most = " + ".join([f"bit_count({c} & hub_{c})" for c in BITS[:-1]] + ["least(beyond, hub_beyond)"])  # an overlap's upper bound
     fits = f"node <> hub and root <> hub_root and {num + den} * least(room, hub_room, {most}) >= {num} * (size + hub_size)"
     while not active.isEmpty():
+        first = roots is None
+        sought = active.groupBy("node").agg(F.max_by(F.struct(*[c for c in active.columns if c != "node"]), F.struct("length", "key")).alias("m")).select("node", "m.*") if first else active
         part = F.pmod(F.xxhash64("node"), F.lit(hubs))
         centre = F.min(F.struct((F.col("size") - F.col("room")).alias("own"), "size", "node", "root", "room", *BITS))  # the fewest tokens of its own
-        picked = active.groupBy("key", part.alias("part")).agg(centre.alias("hub")).select("key", *[F.col(f"hub.{c}").alias("hub" if c == "node" else f"hub_{c}") for c in ("node", "root", "size", "room", *BITS)])
-        pairs = active.join(picked, "key").where(fits).select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
+        picked = sought.groupBy("key", part.alias("part")).agg(centre.alias("hub")).select("key", *[F.col(f"hub.{c}").alias("hub" if c == "node" else f"hub_{c}") for c in ("node", "root", "size", "room", *BITS)])
+        pairs = sought.join(picked, "key").where(fits).select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
         candidates = scratch.keep(_plausible(pairs, nodes, num, den))
         found = scratch.keep(_verify(candidates, docs, id_col, text_col, num, den))
         roots = _joined_roots(roots, found, scratch)
-        rest = active.drop("root").join(picked.select("key", F.col("hub").alias("node")), ["key", "node"], "left_anti")
+        rest = active.drop("root")
+        if not first:  # the first hubs met only those that chose their list, so they stay
+            rest = rest.join(picked.select("key", F.col("hub").alias("node")), ["key", "node"], "left_anti")
         old, active = active, _open(rest.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), scratch, num, den)
         scratch.drop(old, candidates, found)
-        hubs *= 32
+        hubs *= 1 if first else 32
     roots = roots or scratch.keep(nodes.select("node", F.col("node").alias("root")).limit(0))
     homes = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = homes.groupBy("root").agg(F.min("rep").alias("component_id"))
