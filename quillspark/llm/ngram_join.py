@@ -24,12 +24,15 @@ Two members are worth comparing only if the lesser room reaches the overlap that
 demand, and so does a bound from bitmaps of the 256 hash cells that hold one, two or three of a
 text's shingles; a member that no other room in its list can satisfy leaves the list. A list is
 compared with one hub, the member with fewest tokens of its own, not pairwise: lists whose
-members are then not all in one component go on without the nodes compared, with 32, 1024, ... hubs
+members are then not all in one component go on without the nodes compared, with 8, 64, ... hubs
 each round, until every pair of a list was compared, ruled out or is connected; of lists with the
-same members one goes on. So all links between different texts count, copies are never paired,
+same members one goes on. Each member knows its top list, the longest that it is in with the same
+room. Two members with one top list are compared there and in no other list: their rooms are the
+same in it, and both stay in it until they have been compared or are connected. A hub leaves a list
+when all others of it have been compared or share the hub's top, so no pair is lost; a list whose
+members all have one other top goes at once. So all links between different texts count, copies are never paired,
 and no list is gathered. Before all that each member is compared in one list only, its longest, with
-the hub among those that chose the same: this connects most groups of copies with a row a member,
-where the lists would bring the same two together under every key they share. Candidates pass an exact filter first: the sums over 512 hash cells of
+the hub among those that chose the same: this connects most groups of copies with a row a member. Candidates pass an exact filter first: the sums over 512 hash cells of
 the lesser cell count bound the overlap from above. The rest are verified on whole texts, fetched
 past a bitmap of the ids asked for (2 MB at any size); shingles are compared by their bytes there.
 Links, components and fingerprints stay in tables.
@@ -347,16 +350,24 @@ def _buckets(survey: DataFrame, each: int = 1 << 21) -> int:
 
 
 def _open(lists: DataFrame, scratch: Scratch, num: int, den: int) -> DataFrame:
-    """The postings (key, node, size, room, root) that still call for comparisons: of members that some room in the list
-    can satisfy, in lists of several components, one list of those with the same members."""
+    """The postings (key, node, size, room, root, length, top) that still call for comparisons: of members that some room in
+    the list can satisfy, in lists of several components, one list of those with the same members. `top` is the longest list
+    that the member is in with the same room; a list whose members all have one other list as top has no pair of its own."""
     room, size = F.col("room"), F.col("size")
     want = lambda n: f"{num} * {n}"
     spare = (num + den) * room - num * size  # a partner's size must not exceed spare / num
-    bounds = lists.groupBy("key").agg(F.max(spare).alias("most"), F.min("size").alias("small"), F.count("*").alias("length"))
-    fit = lists.drop("length").join(bounds, "key").where(f"most >= {want('size')} and {num + den} * room >= {num} * (size + small)").drop("most", "small")
+    bounds = lists.groupBy("key").agg(F.max(spare).alias("most"), F.min("size").alias("small"))
+    fit = lists.drop("length", "top").join(bounds, "key").where(f"most >= {want('size')} and {num + den} * room >= {num} * (size + small)").drop("most", "small")
     per = fit.groupBy("key").agg(F.count("*").alias("n"), F.sum(F.xxhash64("node", "room").cast("decimal(20,0)")).alias("s"), F.bit_xor(F.xxhash64("room", "node")).alias("x"), F.min("root").alias("low"), F.max("root").alias("high"))
-    one = per.where("low < high").groupBy("n", "s", "x").agg(F.min("key").alias("key")).select("key")
-    return scratch.keep(fit.join(one, "key", "left_semi"))
+    one = per.where("low < high").groupBy("n", "s", "x").agg(F.min("key").alias("key")).select("key", F.col("n").alias("length"))
+    left = scratch.keep(fit.join(one, "key"))
+    place = left.select("key", "node", "room", "length")
+    top = place.groupBy("node", "room").agg(F.max(F.struct("length", "key")).getField("key").alias("top"))
+    placed = scratch.keep(place.drop("length").join(top, ["node", "room"]))
+    own = placed.groupBy("key").agg(F.min("top").alias("low"), F.max("top").alias("high")).where("low < high or low = key").select("key")
+    out = scratch.keep(left.join(placed.join(own, "key", "left_semi").select("key", "node", "top"), ["key", "node"]))
+    scratch.drop(left, placed)
+    return out
 
 
 def join_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", num: int = NUM, den: int = DEN, most_frequent: int = 1 << 20, least_count: int = 16, buckets: int | None = None) -> DataFrame:
@@ -375,13 +386,13 @@ def join_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     active, roots, hubs = scratch.keep(lists.join(nodes.select("node", *BITS), "node")), None, 1
     scratch.drop(lists)
     most = " + ".join([f"bit_count({c} & hub_{c})" for c in BITS[:-1]] + ["least(beyond, hub_beyond)"])  # an overlap's upper bound
-    fits = f"node <> hub and root <> hub_root and {num + den} * least(room, hub_room, {most}) >= {num} * (size + hub_size)"
+    fits = f"node <> hub and root <> hub_root and (top <> hub_top or top = key) and {num + den} * least(room, hub_room, {most}) >= {num} * (size + hub_size)"
     while not active.isEmpty():
         first = roots is None
         sought = active.groupBy("node").agg(F.max_by(F.struct(*[c for c in active.columns if c != "node"]), F.struct("length", "key")).alias("m")).select("node", "m.*") if first else active
         part = F.pmod(F.xxhash64("node"), F.lit(hubs))
-        centre = F.min(F.struct((F.col("size") - F.col("room")).alias("own"), "size", "node", "root", "room", *BITS))  # the fewest tokens of its own
-        picked = sought.groupBy("key", part.alias("part")).agg(centre.alias("hub")).select("key", *[F.col(f"hub.{c}").alias("hub" if c == "node" else f"hub_{c}") for c in ("node", "root", "size", "room", *BITS)])
+        centre = F.min(F.struct((F.col("size") - F.col("room")).alias("own"), "size", "node", "root", "room", "top", *BITS))  # the fewest tokens of its own
+        picked = sought.groupBy("key", part.alias("part")).agg(centre.alias("hub")).select("key", *[F.col(f"hub.{c}").alias("hub" if c == "node" else f"hub_{c}") for c in ("node", "root", "size", "room", "top", *BITS)])
         pairs = sought.join(picked, "key").where(fits).select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
         candidates = scratch.keep(_plausible(pairs, nodes, num, den))
         found = scratch.keep(_verify(candidates, docs, id_col, text_col, num, den))
@@ -391,7 +402,7 @@ def join_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             rest = rest.join(picked.select("key", F.col("hub").alias("node")), ["key", "node"], "left_anti")
         old, active = active, _open(rest.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), scratch, num, den)
         scratch.drop(old, candidates, found)
-        hubs *= 1 if first else 32
+        hubs *= 1 if first else 8
     roots = roots or scratch.keep(nodes.select("node", F.col("node").alias("root")).limit(0))
     homes = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = homes.groupBy("root").agg(F.min("rep").alias("component_id"))
