@@ -15,6 +15,9 @@ MODULES = {
     "op8_ngram_join": "ngram_join",
     "op9_telephony": "telephony",
     "op10_toxicity": "toxicity",
+    "op11_quality_classifier": "quality_classifier",
+    "op12_source_divergence": "divergence",
+    "op13_whitening": "whitening",
 }
 
 
