@@ -3,9 +3,9 @@
 One pass over the texts. A task counts terms in a block of postings (lang, source, term: occurrences
 and documents) until the block has filled its share of memory; it is then sorted by term, cut by
 hash shard and spilled as one run per shard, into Spark's shuffle, where a lost run is made again.
-A task that has all runs of its shards merges them by a heap over (lang, term); runs are merged
-ahead as soon as they fill the memory share, so that what is held follows the shard's distinct
-postings. A language keeps the terms with `least` of its documents or more; their frequencies are
+A task that has all runs of its shards merges them in the order of (lang, term), by a heap over the
+keys that end each run's next stretch; runs are merged ahead as soon as they fill the memory share,
+so that what is held follows the shard's distinct postings. A language keeps the terms with `least` of its documents or more; their frequencies are
 written once. The empty term stands for the group itself, so groups without terms are known too.
 
 With p = 1 + floor(10**9 (count + 5) / (N + 5 V)) of a group or language, a pair of sources differs
@@ -23,6 +23,7 @@ repeated rows count again; an empty table gives no rows. `id` columns are not re
 
 from __future__ import annotations
 
+import bisect
 import heapq
 from collections.abc import Iterator
 
@@ -80,9 +81,28 @@ def postings(batch, lang: str, source: str, text: str) -> pa.Table:
     return pa.Table.from_arrays(columns, schema=_POSTINGS)
 
 
+def _ranked(column) -> tuple[np.ndarray, pa.Array]:
+    """Codes in the order of the values, and the distinct values in that order."""
+    codes, values = _coded(column)
+    order = pc.sort_indices(values).to_numpy()
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    return rank[codes], values.take(pa.array(order))
+
+
 def _summed(tables: list[pa.Table]) -> pa.Table:
-    out = pa.concat_tables(tables).group_by(_KEYS, use_threads=False).aggregate([("count", "sum"), ("docs", "sum")])
-    return out.select([*_KEYS, "count_sum", "docs_sum"]).rename_columns(_POSTINGS.names).cast(_POSTINGS)
+    """All postings together, one row each, sorted by (lang, term, source)."""
+    table = pa.concat_tables(tables)
+    if not table.num_rows:
+        return table
+    (l, langs), (t, terms), (s, sources) = (_ranked(table.column(k)) for k in _KEYS)
+    key = (l * len(terms) + t) * len(sources) + s
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    count, docs = (np.add.reduceat(table.column(c).to_numpy()[order], first) for c in ("count", "docs"))
+    own = order[first]
+    return pa.Table.from_arrays([langs.take(pa.array(l[own])), terms.take(pa.array(t[own])), sources.take(pa.array(s[own])), pa.array(count), pa.array(docs)], schema=_POSTINGS)
 
 
 def blocks(batches, lang: str, source: str, text: str, memory: int) -> Iterator[pa.Table]:
@@ -95,10 +115,10 @@ def blocks(batches, lang: str, source: str, text: str, memory: int) -> Iterator[
             parts = [_summed(parts)]
             size = least = parts[0].nbytes
             if size > memory // 2:
-                yield parts[0].sort_by([(k, "ascending") for k in _KEYS])
+                yield parts[0]
                 parts, size, least = [], 0, 0
     if parts:
-        yield _summed(parts).sort_by([(k, "ascending") for k in _KEYS])
+        yield _summed(parts)
 
 
 def _shards(table: pa.Table, shards: int) -> np.ndarray:
@@ -126,48 +146,36 @@ def _unpack(run: bytes) -> pa.Table:
 # -- merging runs -----------------------------------------------------------------------------
 
 
-class _Run:
-    """A sorted run, read term by term."""
+def _key(table: pa.Table, i: int) -> tuple[bytes, bytes]:
+    return table.column("lang")[i].as_py(), table.column("term")[i].as_py()
 
-    def __init__(self, table: pa.Table):
-        self.sources, self.counts, self.docs = table.column("source").to_pylist(), table.column("count").to_pylist(), table.column("docs").to_pylist()
-        (l, langs), (t, terms) = _coded(table.column("lang")), _coded(table.column("term"))
-        self.firsts = [0, *(np.flatnonzero((l[1:] != l[:-1]) | (t[1:] != t[:-1])) + 1).tolist(), len(l)] if len(l) else [0]
-        at = np.array(self.firsts[:-1], np.int64)
-        self.keys = list(zip(langs.take(pa.array(l[at])).to_pylist(), terms.take(pa.array(t[at])).to_pylist()))
 
+def _after(table: pa.Table, at: int, key: tuple[bytes, bytes]) -> int:
+    """The first row from `at` on whose (lang, term) is beyond `key`."""
+    return bisect.bisect_right(range(table.num_rows), key, lo=at, key=lambda i: _key(table, i))
 
-def merge(tables: list[pa.Table]) -> Iterator[tuple[bytes, bytes, dict[bytes, list[int]]]]:
-    """(lang, term, {source: [count, docs]}) of sorted runs in the order of (lang, term), by a heap over the runs' next terms."""
-    runs = [_Run(t) for t in tables]
-    heap = [(run.keys[0], k, 0) for k, run in enumerate(runs) if run.keys]
+
+def merge(runs: list[pa.Table], rows: int = 1 << 16) -> Iterator[pa.Table]:
+    """Sorted runs as one, in tables of whole terms: a heap has the key that ends the next `rows` rows of each run; up to the
+    least of these all runs are read together."""
+    at = [0] * len(runs)
+    heap = [(_key(run, rows - 1), k) for k, run in enumerate(runs) if run.num_rows > rows]
     heapq.heapify(heap)
-    while heap:
-        key, found = heap[0][0], {}
-        while heap and heap[0][0] == key:
-            _, k, at = heap[0]
-            run = runs[k]
-            for i in range(run.firsts[at], run.firsts[at + 1]):
-                if (own := found.get(run.sources[i])) is None:
-                    found[run.sources[i]] = [run.counts[i], run.docs[i]]
-                else:
-                    own[0] += run.counts[i]
-                    own[1] += run.docs[i]
-            if at + 1 < len(run.keys):
-                heapq.heapreplace(heap, (run.keys[at + 1], k, at + 1))
-            else:
-                heapq.heappop(heap)
-        yield *key, found
-
-
-def _merged(tables: list[pa.Table]) -> pa.Table:
-    """Several runs as one."""
-    columns = [[], [], [], [], []]
-    for lang, term, found in merge(tables):
-        for source in sorted(found):
-            for column, v in zip(columns, (lang, term, source, *found[source])):
-                column.append(v)
-    return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _POSTINGS)], schema=_POSTINGS)
+    while True:
+        parts, bound = [], heap[0][0] if heap else None
+        for k, run in enumerate(runs):
+            end = run.num_rows if bound is None else _after(run, at[k], bound)
+            if end > at[k]:
+                parts.append(run.slice(at[k], end - at[k]))
+                at[k] = end
+        if parts:
+            yield _summed(parts)
+        if bound is None:
+            return
+        while heap and heap[0][0] <= bound:
+            _, k = heapq.heappop(heap)
+            if runs[k].num_rows - at[k] > rows:
+                heapq.heappush(heap, (_key(runs[k], at[k] + rows - 1), k))
 
 
 def frequencies(docs: DataFrame, lang: str = "lang", source: str = "source", text: str = "text", least: int = LEAST, memory: int = 48 << 20) -> DataFrame:
@@ -193,23 +201,19 @@ def frequencies(docs: DataFrame, lang: str = "lang", source: str = "source", tex
                 held.append(_unpack(run))
                 size += held[-1].nbytes
                 if size > limit:
-                    held = [_merged(held)]
+                    held = [pa.concat_tables(merge(held))]
                     size = held[0].nbytes
                     limit = max(memory // 4, 2 * size)  # grows with the distinct postings only
-        rows = []
-        for key, term, found in merge(held):
-            if not term or sum(d for _, d in found.values()) >= least:
-                total = sum(c for c, _ in found.values())
-                rows += [(key, term, s, c, total) for s, (c, _) in found.items()]
-                if len(rows) > 20_000:
-                    yield _batch(rows)
-                    rows = []
-        if rows:
-            yield _batch(rows)
-
-    def _batch(rows):
-        strings = [pa.array(c, pa.binary()).view(pa.string()) for c in list(zip(*rows))[:3]]
-        return pa.RecordBatch.from_arrays([*strings, *(pa.array(c, pa.int64()) for c in list(zip(*rows))[3:])], names=["lang", "term", "source", "count", "total"])
+        for table in merge(held):
+            (l, _), (t, terms) = _coded(table.column("lang")), _coded(table.column("term"))
+            first = np.flatnonzero(np.concatenate([[True], (l[1:] != l[:-1]) | (t[1:] != t[:-1])]))
+            times = np.diff(np.append(first, len(l)))
+            enough = np.add.reduceat(table.column("docs").to_numpy(), first) >= least
+            enough |= pc.equal(terms, b"").to_numpy(zero_copy_only=False)[t[first]]
+            total = np.repeat(np.add.reduceat(table.column("count").to_numpy(), first), times)
+            table = table.append_column("total", pa.array(total)).filter(pa.array(np.repeat(enough, times)))
+            strings = [table.column(c).combine_chunks().cast(pa.binary()).view(pa.string()) for c in ("lang", "term", "source")]
+            yield pa.RecordBatch.from_arrays([*strings, *(table.column(c).combine_chunks() for c in ("count", "total"))], names=["lang", "term", "source", "count", "total"])
 
     runs = docs.mapInArrow(index, "shard int, run binary").repartition("shard")
     return runs.mapInArrow(join, "lang string, term string, source string, count long, total long")
