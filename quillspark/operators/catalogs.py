@@ -59,7 +59,7 @@ def cooling(log: DataFrame, key: str = "domain", seconds: int = 300, own: Column
     w = Window.partitionBy(key).orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, -1)
     last = F.max(F.when(F.col("result") == "failed", F.col("ts"))).over(w)
     age = F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(last.cast("timestamp"))
-    return log.withColumn("cooling", F.coalesce(age < F.coalesce(own, F.lit(seconds)) * 1_000_000, F.lit(False)))
+    return log.withColumn("cooling", F.coalesce(age < (F.lit(seconds) if own is None else F.coalesce(own, F.lit(seconds))).cast("long") * 1_000_000, F.lit(False)))
 
 
 def damped_parents(blocks: DataFrame, page: str = "page_id", share: float = 0.9, factor: float = 0.6) -> DataFrame:

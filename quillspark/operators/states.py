@@ -33,6 +33,23 @@ def first_tasks(log: DataFrame, key: str, order: list[str]) -> DataFrame:
     return log.groupBy(key).agg(F.min_by(F.struct(*[c for c in log.columns if c != key]), F.struct(*order)).alias("__row")).select(key, "__row.*")
 
 
+def task_ids(log: DataFrame, key: str, order: list[str], name: str, status: str, terminal: tuple[str, ...] = TERMINAL) -> DataFrame:
+    """Adds `task`: a row of a key whose task has not ended belongs to that task, any other begins one, named by its column `name`."""
+    last = F.lag(F.struct(F.col(status).isin(*terminal).alias("ended"))).over(Window.partitionBy(key).orderBy(*order))
+    begins = last.isNull() | F.coalesce(last["ended"], F.lit(False))
+    began = F.last(F.when(F.col("__begins"), F.col(name)), ignorenulls=True).over(Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    return log.withColumn("__begins", begins).withColumn("task", began).drop("__begins")
+
+
+def notices(log: DataFrame, key: str, order: list[str], same: list[str], size: int = 5) -> DataFrame:
+    """The last `size` notices of each key: of rows running that agree in the columns `same` the last one counts. `cursor` numbers a
+    key's notices from its first."""
+    w = Window.partitionBy(key).orderBy(*order)
+    after = F.lead(F.struct(*same)).over(w)
+    kept = log.withColumn("__after", after).where(~F.col("__after").eqNullSafe(F.struct(*same))).drop("__after")
+    return ring(kept, key, order, size)
+
+
 def fast_skips(log: DataFrame, key: str, order: list[str], failed: Column, streak: int = 3) -> DataFrame:
     """Rows whose `streak` rows just before failed, all of them."""
     window = Window.partitionBy(key).orderBy(*order).rowsBetween(-streak, -1)

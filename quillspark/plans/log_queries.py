@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from ..operators import history as h
 from ..sources.tables import shared_folder, table
 from ..streaming import monitors
-from .views import CRAWL_LOG, crawl_log
+from .views import CRAWL_LOG, as_crawl_log, crawl_log
 
 NOW = "2024-01-20 00:00:00"
 
@@ -147,37 +147,30 @@ def session_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crawl_log(spark, sf_dir).groupBy("domain", F.session_window("ts", "3 hours").alias("w")).agg(F.count("*").alias("n")).select("domain", F.col("w.start").alias("started"), "n")
 
 
-def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The events table read as a stream of files, as a crawl log."""
+def events_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events table read as a stream of files, as a crawl log; a trigger takes 16 files at most."""
     schema = table(spark, sf_dir, "events").schema
-    events = spark.readStream.schema(schema).option("pathGlobFilter", "events*.parquet").parquet(sf_dir)
-    return events.select(F.col("ts").cast("timestamp").alias("ts"), F.concat(F.lit("d"), (F.col("user_id") % 20).cast("string")).alias("domain"), F.when(F.col("event_type") == "error", "failed").otherwise("ok").alias("result"))
+    events = spark.readStream.schema(schema).option("maxFilesPerTrigger", 16)
+    log = as_crawl_log(events.parquet(f"{sf_dir}/[e]vents.parquet"))  # a pattern may be a file or a folder, a plain path only the latter
+    return log.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def _run(spark: SparkSession, stream: DataFrame, mode: str) -> DataFrame:
+def run_stream(spark: SparkSession, stream: DataFrame, mode: str) -> DataFrame:
     out = monitors.run_once(stream, f"{shared_folder(spark)}/q{uuid.uuid4().hex}", mode)
     return out.select(*[F.col(c).cast("timestamp_ntz").alias(c) if t == "timestamp" else F.col(c) for c, t in out.dtypes])
 
 
 def stream_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _run(spark, monitors.alerts(_stream(spark, sf_dir)), "complete")
+    return run_stream(spark, monitors.alerts(events_stream(spark, sf_dir)), "complete")
 
 
 def stream_throttle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _run(spark, monitors.throttle(_stream(spark, sf_dir), most=6, span="1 day"), "complete")
-
-
-def stream_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _run(spark, monitors.speed_tiers(_stream(spark, sf_dir), oks=6, cool_s=3600), "append")
-
-
-def stream_breaker(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _run(spark, monitors.circuit_breaker(_stream(spark, sf_dir), fails=3), "append")
+    return run_stream(spark, monitors.throttle(events_stream(spark, sf_dir), most=6, span="1 day"), "complete")
 
 
 QUERIES = {f.__name__: f for f in (
     change_detection, change_counts, history_filter, incremental_skip, failure_runs, recovery, recent_urls, retention_cap, engine_hits, site_statistics, daily_alerts, failure_ema, rate_surges, throttled,
-    adjacent_duplicates, task_history, verdicts, retry_queue, version_guard, replay_agreement, probe_summary, latest_suggestions, log_filter, session_windows, stream_alerts, stream_throttle, stream_tiers, stream_breaker,
+    adjacent_duplicates, task_history, verdicts, retry_queue, version_guard, replay_agreement, probe_summary, latest_suggestions, log_filter, session_windows, stream_alerts, stream_throttle,
 )}
 
 _CHANGE = f"""SELECT event_id, url, CASE WHEN result = 'failed' THEN 'failed' WHEN last IS NULL THEN 'new' WHEN last = hash THEN 'unchanged' ELSE 'updated' END AS change

@@ -21,7 +21,11 @@ CJK_DOCUMENTS = f"(SELECT * REPLACE (translate(lower(text), '{LETTERS}', '{IDEOG
 
 
 def crawl_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").select(
+    return as_crawl_log(table(spark, sf_dir, "events"))
+
+
+def as_crawl_log(events: DataFrame) -> DataFrame:
+    return events.select(
         "event_id", F.concat(F.lit("https://d"), (F.col("user_id") % 20).cast("string"), F.lit(".example.com/"), F.col("user_id").cast("string")).alias("url"), F.concat(F.lit("d"), (F.col("user_id") % 20).cast("string")).alias("domain"),
         "ts", F.floor(F.col("value") / 10).cast("long").alias("hash"), F.when(F.col("event_type") == "error", "failed").otherwise("ok").alias("result"), "event_type",
     )

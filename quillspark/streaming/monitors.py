@@ -1,17 +1,11 @@
-"""Streaming monitors over crawl logs: alert windows, throttles, de-duplication, and two state machines.
+"""Streaming monitors over crawl logs: alert windows, throttles, de-duplication, and how a stream is driven into a table.
 
-Logs have domain, ts, result. Watermarks bound the state of windows; a machine's state is four
-numbers a domain, and goes when the watermark is `idle_ms` beyond the domain's last row. Rows of
-one trigger are taken in order of time; those that come in a later trigger count as they come.
+Logs have domain, ts, result. Watermarks bound the state of windows. State machines are in `machines`.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
 def alerts(log: DataFrame, span: str = "24 hours", late: str = "1 hour") -> DataFrame:
@@ -30,77 +24,12 @@ def once(log: DataFrame, key: str = "url", within: str = "20 seconds") -> DataFr
     return log.withWatermark("ts", within).dropDuplicatesWithinWatermark([key])
 
 
-_TIERS = "domain string, ts timestamp, tier int, moved string"
-_TIER_STATE = "tier int, fails int, oks int, risk_ts timestamp"
-
-
-def speed_tiers(log: DataFrame, start: int = 3, fails: int = 3, oks: int = 30, cool_s: int = 180, late: str = "1 hour", idle_ms: int = 7 * 86_400_000) -> DataFrame:
-    """Each change of a domain's speed tier: down after `fails` failures running, up (to `start` at most) after
-    `oks` successes running and `cool_s` seconds since the last failure."""
-
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        tier, bad, good, risk = state.get if state.exists else (start, 0, 0, pd.Timestamp(0))
-        out = []
-        rows = pd.concat(list(frames)).sort_values("ts")
-        for row in rows.itertuples():
-            moved = None
-            if row.result == "failed":
-                bad, good, risk = bad + 1, 0, row.ts
-                if bad >= fails and tier > 0:
-                    tier, bad, moved = tier - 1, 0, "down"
-            else:
-                bad, good = 0, good + 1
-                if good >= oks and tier < start and (row.ts - risk).total_seconds() >= cool_s:
-                    tier, good, moved = tier + 1, 0, "up"
-            if moved:
-                out.append((key[0], row.ts, tier, moved))
-        state.update((tier, bad, good, risk))
-        state.setTimeoutTimestamp(max(int(rows["ts"].iloc[-1].timestamp() * 1000), state.getCurrentWatermarkMs()) + idle_ms)
-        yield pd.DataFrame(out, columns=["domain", "ts", "tier", "moved"])
-
-    return log.withWatermark("ts", late).select("domain", "ts", "result").groupBy("domain").applyInPandasWithState(step, _TIERS, _TIER_STATE, "append", GroupStateTimeout.EventTimeTimeout)
-
-
-_BREAKS = "domain string, opened timestamp, closes timestamp"
-
-
-def circuit_breaker(log: DataFrame, fails: int = 5, open_s: int = 600, late: str = "1 hour", idle_ms: int = 7 * 86_400_000) -> DataFrame:
-    """When a domain's breaker opens or is extended: after `fails` failures running, for `open_s` seconds from the
-    last request inside the open window. A success outside the window resets the count."""
-
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        bad, closes = state.get if state.exists else (0, pd.Timestamp(0))
-        out = []
-        rows = pd.concat(list(frames)).sort_values("ts")
-        for row in rows.itertuples():
-            if row.ts < closes:
-                closes = row.ts + pd.Timedelta(seconds=open_s)
-                out.append((key[0], row.ts, closes))
-            elif row.result == "failed":
-                bad += 1
-                if bad >= fails:
-                    bad, closes = 0, row.ts + pd.Timedelta(seconds=open_s)
-                    out.append((key[0], row.ts, closes))
-            else:
-                bad = 0
-        state.update((bad, closes))
-        state.setTimeoutTimestamp(max(int(rows["ts"].iloc[-1].timestamp() * 1000), state.getCurrentWatermarkMs()) + idle_ms)
-        yield pd.DataFrame(out, columns=["domain", "opened", "closes"])
-
-    return log.withWatermark("ts", late).select("domain", "ts", "result").groupBy("domain").applyInPandasWithState(step, _BREAKS, "bad int, closes timestamp", "append", GroupStateTimeout.EventTimeTimeout)
-
-
 def run_once(stream: DataFrame, folder: str, mode: str = "append") -> DataFrame:
     """Drives a stream over what is there now into a table below `folder` (shared by all executors): a micro-batch writes its
-    own part, or the whole table anew in complete mode, so a repeated batch replaces what it wrote before."""
+    own part, or the whole table anew in complete mode, so a repeated batch replaces what it wrote before. Called again with
+    the same folder, also after a failure, it goes on from the checkpoint there."""
     spark = stream.sparkSession
-    spark.createDataFrame([], stream.schema).write.parquet(f"{folder}/rows/none")
+    spark.createDataFrame([], stream.schema).write.mode("ignore").parquet(f"{folder}/rows/none")
 
     def put(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{folder}/rows/{'all' if mode == 'complete' else number}")
