@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from . import markup
+
 #: Mechanism, strong marker, weak word, confidence, advice; the first that holds decides. A weak word needs a real input box or image.
 MECHANISMS = (
     ("edge_challenge", "cf-chl-|challenge-platform", "checking your browser", 0.95, "wait"),
@@ -27,7 +29,8 @@ def mechanisms(html: Column) -> Column:
     real = html.rlike(CORROBORATES)
 
     def one(name, strong, weak, confidence, advice):
-        s, w = F.regexp_extract(html, f"(?is){strong}", 0), F.regexp_extract(html, f"(?i){weak}", 0)
+        within = markup.before_last(html, strong.split(".*")[-1]) if ".*" in strong else html  # so no start runs to the page's end in vain
+        s, w = F.regexp_extract(within, f"(?is){strong}", 0), F.regexp_extract(html, f"(?i){weak}", 0)
         hit = F.when(s != "", F.struct(F.lit(name).alias("mechanism"), F.lit(confidence).alias("confidence"), F.lower(s).alias("evidence"), F.lit(advice).alias("advice")))
         return hit.when((w != "") & real, F.struct(F.lit(name).alias("mechanism"), F.lit(round(confidence - 0.3, 2)).alias("confidence"), F.lower(w).alias("evidence"), F.lit(advice).alias("advice")))
 

@@ -4,14 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from . import chars
+from . import chars, markup
 from .quality import once, trim
 
 SPACES = "[ \\t\\r\\f\\x0b]+"
 TERMINAL = "[。！？!?….”\"』」]$"
-BLOCK_TAGS = "(?is)</?(p|div|br|li|ul|ol|h[1-6]|tr|table|article|section|nav|header|footer|title)\\b[^>]*>"
 ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&"))
+#: In RE2's notation.
 URL_LIKE = "(?i)(https?://[^\\s]+|www\\.[^\\s]+|[a-z0-9._%+-]+@[a-z0-9.-]+\\.[a-z]{2,})"
+#: The same for Java, in linear time: a mail address is tried where its first run of characters begins, or a match has ended.
+URL_LIKE_JAVA = URL_LIKE.replace("|[a-z0-9._%+-]+@", "|(?:\\G|(?<![a-z0-9._%+-]))[a-z0-9._%+-]++@")
 
 
 # -- cleaning ---------------------------------------------------------------------------------
@@ -73,9 +75,9 @@ def drop_ad_lines(text: Column, keywords: list[str], patterns: list[str] = ()) -
 
 def drop_promo_lines(text: Column, script=chars.CJK, least: int = 10) -> Column:
     """A line with a URL or an email stays, without it, if `least` characters of the script remain; else it goes."""
-    strip = lambda x: F.regexp_replace(x, URL_LIKE, "")
-    kept = F.filter(F.split(text, "\n", -1), lambda x: ~x.rlike(URL_LIKE) | (F.regexp_count(strip(x), F.lit(chars.java(script))) >= least))
-    return F.array_join(F.transform(kept, lambda x: F.when(x.rlike(URL_LIKE), strip(x)).otherwise(x)), "\n")
+    strip = lambda x: F.regexp_replace(x, URL_LIKE_JAVA, "")
+    kept = F.filter(F.split(text, "\n", -1), lambda x: ~x.rlike(URL_LIKE_JAVA) | (F.regexp_count(strip(x), F.lit(chars.java(script))) >= least))
+    return F.array_join(F.transform(kept, lambda x: F.when(x.rlike(URL_LIKE_JAVA), strip(x)).otherwise(x)), "\n")
 
 
 def replace_table(text: Column, pairs: dict[str, str]) -> Column:
@@ -116,28 +118,27 @@ def safe_cast(value: Column, kind: str, default) -> Column:
 
 def html_text(html: Column) -> Column:
     """Scripts, styles and comments go, block tags end lines, other tags go, entities are decoded, blank lines go."""
-    t = F.regexp_replace(html, "(?is)<(script|style)\\b[^>]*>.*?</(script|style)>", "")
-    t = F.regexp_replace(t, "(?s)<!--.*?-->", "")
-    t = F.regexp_replace(t, BLOCK_TAGS, "\n")
-    t = F.regexp_replace(t, "(?s)<[^>]*>", "")
+    t = F.regexp_replace(markup.bare(html), markup.java(markup.BLOCKS), "\n")
+    t = F.regexp_replace(t, markup.java(markup.TAG), "")
     for a, b in ENTITIES:
         t = F.replace(t, F.lit(a), F.lit(b))
     return F.array_join(F.filter(F.transform(F.split(t, "\n", -1), trim), lambda x: x != ""), "\n")
 
 
 def html_title(html: Column) -> Column:
-    return trim(F.regexp_extract(html, "(?is)<title[^>]*>(.*?)</title>", 1))
+    return trim(F.regexp_extract(markup.before_last(html, "</title>"), markup.java(markup.TITLE), 1))
 
 
 def anchors(html: Column) -> Column:
     """array of (href, text) in page order."""
-    found = F.regexp_extract_all(html, F.lit("(?is)<a\\b[^>]*href=\"[^\"]*\"[^>]*>.*?</a>"), 0)
-    return F.transform(found, lambda a: F.struct(F.regexp_extract(a, "(?is)href=\"([^\"]*)\"", 1).alias("href"), trim(F.regexp_replace(a, "(?s)<[^>]*>", "")).alias("text")))
+    closed = markup.java(markup.ANCHOR).replace("<a\\b", "<a\\b(?=[^<>]*+>)").replace("[^\"<>]*)", "[^\"<>]*+)")
+    found = F.regexp_extract_all(markup.before_last(html, "</a>"), F.lit(closed), 0)
+    return F.transform(found, lambda a: F.struct(F.regexp_extract(a, "(?i)href=\"([^\"<>]*+)\"", 1).alias("href"), trim(F.regexp_replace(a, markup.java(markup.TAG), "")).alias("text")))
 
 
 def longest_block(html: Column) -> Column:
     """The text of the longest article, section or div without inner blocks of those kinds."""
-    blocks = F.regexp_extract_all(html, F.lit("(?is)<(?:article|section|div)\\b[^>]*>(?:(?!<(?:article|section|div)\\b).)*?</(?:article|section|div)>"), 0)
+    blocks = F.regexp_extract_all(html, F.lit("(?is)<(?:article|section|div)\\b[^<>]*+>(?:(?!<(?:article|section|div)\\b).)*?</(?:article|section|div)>"), 0)
     sized = F.transform(blocks, lambda b, i: F.struct(F.length(html_text(b)).alias("n"), (-i).alias("i"), html_text(b).alias("t")))
     return F.coalesce(F.array_max(sized)["t"], F.lit(""))
 

@@ -2,29 +2,32 @@
 
 from __future__ import annotations
 
+import functools
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from ..functions import chars, pages as pg, quality as q, text as tx
-from ..operators import catalogs as ct
+from ..functions import chars, markup, pages as pg, quality as q, text as tx
+from ..operators import catalogs as ct, tags
 from ..sources.tables import shared_folder, table
 from .log_queries import CRAWL_LOG, crawl_log
 from .text_queries import _report_sql
 from .views import CHAPTERS, chapters
-from .web_queries import _HOST, _HTML, _LINKS, _TITLE
+from .web_queries import _BARE, _HOST, _HTML, _LINKS, _TITLE
 
 TAILS = ("", "cf-chl-x", "captcha", "<input> verification", "Too many requests", "Access Denied", "please TRY again later", "firewall<img>")
 
 
 def _marked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages with a status and, on some, a marker at the end."""
+    """Whole pages with a status and, on some, a marker at the end, and for each a further one that is the marker alone."""
     tail = F.element_at(F.array(*map(F.lit, TAILS)), (F.col("page_id") % 8 + 1).cast("int"))
-    html = F.concat(F.when(F.col("page_id") % 16 < 8, F.substring("html", 1, 60)).otherwise(F.col("html")), tail)
-    return table(spark, sf_dir, "pages").select("page_id", html.alias("html"), F.when(F.col("page_id") % 5 == 0, 403).otherwise(200).alias("status"))
+    p = table(spark, sf_dir, "pages").select("page_id", F.concat("html", tail).alias("html"), tail.alias("alone"))
+    both = p.select("page_id", F.explode(F.array("html", "alone")).alias("html"))
+    return both.withColumn("status", F.when(F.col("page_id") % 5 == 0, 403).otherwise(200))
 
 
-_MARKED = "(SELECT page_id, (CASE WHEN page_id % 16 < 8 THEN substring(html, 1, 60) ELSE html END) || list_extract([" + ", ".join(f"'{t}'" for t in TAILS) + "], CAST(page_id % 8 + 1 AS INT)) AS html, CASE WHEN page_id % 5 = 0 THEN 403 ELSE 200 END AS status FROM pages)"
+_TAIL = "list_extract([" + ", ".join(f"'{t}'" for t in TAILS) + "], CAST(page_id % 8 + 1 AS INT))"
+_MARKED = f"(SELECT page_id, unnest([html || {_TAIL}, {_TAIL}]) AS html, CASE WHEN page_id % 5 = 0 THEN 403 ELSE 200 END AS status FROM pages)"
 
 
 def page_mechanisms(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -108,47 +111,48 @@ def report_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
 _F = "doc_id, round(score, 6) AS score, valid, array_to_string(reasons, '; ') AS reasons, net, lines, round(cjk, 6) AS cjk, round(garble, 6) AS garble, round(dup, 6) AS dup, round(punct, 6) AS punct, round(blank, 6) AS blank"
 _DRIFT = "UNION ALL ".join(f"SELECT '{c}' AS field, count(*) AS docs FROM a JOIN b USING (doc_id) WHERE a.{c} IS DISTINCT FROM b.{c} HAVING count(*) > 0 " for c in ("score", "valid", "reasons", "net", "lines", "cjk", "garble", "dup", "punct", "blank"))
 
-SELECTORS = (("content", '(?is)<div id="content"[^>]*>(.*?)</div>'), ("article", "(?is)<article\\b[^>]*>(.*?)</article>"), ("main", "(?is)<main\\b[^>]*>(.*?)</main>"), ("body", "(?is)<body\\b[^>]*>(.*)</body>"))
-SITE_SELECTORS = {"example.net": (("heading", "(?is)<h1\\b[^>]*>(.*?)</h1>"), ("article", "(?is)<article\\b[^>]*>(.*?)</article>"))}
+SELECTORS = (("content", "div", "id", "content"), ("article", "article"), ("main", "main"), ("body", "body"))
+SITE_SELECTORS = {"example.net": (("heading", "h1"), ("article", "article"))}
 
 
-def _chain(site: str | None) -> list[tuple[str, str]]:
+def _chain(site: str | None) -> list[tuple]:
     """A site's selectors first, then the usual ones, without repeats."""
     return list(dict.fromkeys([*SITE_SELECTORS.get(site, ()), *SELECTORS]))
 
 
-def selector_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The content of the first selector that hits: a site's own first, then the usual chain."""
-    p = table(spark, sf_dir, "pages").withColumn("host", tx.host(F.col("url")))
+def _nested_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages of which every third wraps its article in nested divisions, a note before it and another behind it."""
+    before, behind = '<div class="wrap"><div id="content"><div>note</div><div><div>', "</div></div><div>end</div></div></div>"
+    wrapped = F.replace(F.replace("html", F.lit("<article>"), F.lit(before + "<article>")), F.lit("</article>"), F.lit("</article>" + behind))
+    return table(spark, sf_dir, "pages").withColumn("html", F.when(F.col("page_id") % 3 == 0, wrapped).otherwise(F.col("html")))
 
-    def found(site):
-        name = text = F.lit(None).cast("string")
-        for n, pattern in reversed(_chain(site)):
-            got = F.regexp_extract("html", pattern, 1)
-            name, text = F.when(got != "", n).otherwise(name), F.when(got != "", got).otherwise(text)
-        return F.struct(name.alias("selector"), text.alias("html"))
 
-    own = found(None)
-    for site in SITE_SELECTORS:
-        own = F.when(F.col("host").endswith(f".{site}"), found(site)).otherwise(own)
-    return q.once(p, {"hit": own}).select("page_id", "hit.selector", F.sha2(tx.html_text(F.col("hit.html")), 256).alias("sha256"))
+_NESTED = """(SELECT page_id, url, CASE WHEN page_id % 3 = 0 THEN replace(replace(html, '<article>', '<div class="wrap"><div id="content"><div>note</div><div><div><article>'), '</article>', '</article></div></div><div>end</div></div></div>') ELSE html END AS html FROM pages)"""
 
 
-def _chain_sql(site: str | None, what: str) -> str:
-    return "CASE " + " ".join(f"WHEN regexp_extract(html, '{p}', 1) <> '' THEN " + (f"'{n}'" if what == "name" else f"regexp_extract(html, '{p}', 1)") for n, p in _chain(site)) + " END"
+def selector_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The content of the first selector that hits, elements nested in it included: a site's own first, then the usual chain."""
+    p = _nested_pages(spark, sf_dir).withColumn("host", tx.host(F.col("url")))
+    parts, rest = [], F.lit(True)
+    for site in SITE_SELECTORS:
+        own = F.col("host").endswith(f".{site}")
+        parts.append(tags.first_selected(p.where(rest & own), _chain(site)))
+        rest = rest & ~own
+    parts.append(tags.first_selected(p.where(rest), _chain(None)))
+    found = functools.reduce(DataFrame.unionByName, parts)
+    return found.select("page_id", "selector", F.sha2(tx.html_text(F.col("inner")), 256).alias("sha256"))
 
 
 def scored_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Articles and their paragraphs as candidates, scored by letters, paragraphs and links; an article that is nearly one paragraph is damped."""
-    p = table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("html", "(?is)<article\\b[^>]*>(.*?)</article>", 1).alias("body"))
-    parts = F.regexp_extract_all("body", F.lit("(?is)<p>(.*?)</p>"), 1)
-    each = p.select("page_id", F.posexplode(F.concat(F.array("body"), parts)).alias("block", "html"))
-    letters = F.length(F.regexp_replace(F.regexp_replace("html", "(?s)<[^>]*>", ""), "[^A-Za-z\\x{c0}-\\x{24f}]", ""))
-    links = F.regexp_count("html", F.lit("(?i)<a\\b"))
-    scored = each.select("page_id", F.col("block").cast("long").alias("block"), F.when(F.col("block") > 0, 0).cast("long").alias("parent"), letters.cast("long").alias("letters"), (F.least(letters / 1000, F.lit(1.0)) - 0.1 * F.least(links, F.lit(5)) - F.when(F.col("block") > 0, 0.1).otherwise(0.0)).alias("score"))
-    damped = ct.damped_parents(scored.where("letters > 0"))
-    best = damped.groupBy("page_id").agg(F.max_by(F.struct("block", "score"), F.struct("score", -F.col("block"))).alias("b"))
-    return best.where("b.score >= 0.55").select("page_id", "b.block", F.round("b.score", 6).alias("score"))
+    """The block of each page that is most like its content, among blocks nested at any depth."""
+    rules = tags.BlockRules(script=chars.LATIN)
+    return tags.best_blocks(_nested_pages(spark, sf_dir), rules=rules).select("page_id", "block", "name", F.col("depth").cast("long").alias("depth"), F.round("score", 6).alias("score"))
+
+
+def page_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every container of every page with its extent, depth, parent and measures."""
+    found = tags.elements(tags.tag_events(_nested_pages(spark, sf_dir), script=chars.LATIN))
+    return found.select(F.col("page").alias("page_id"), "start", F.col("end").alias("stop"), "name", "depth", "parent", "letters", "linked", "paragraphs")
 
 
 def encoded_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -159,7 +163,7 @@ def encoded_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     plain = F.regexp_replace(F.base64(t.cast("binary")), "[\\r\\n]", "")
     hidden = F.when(way == 0, F.translate(plain, tx.STANDARD, own)).when(way == 1, F.hex(t.cast("binary"))).otherwise(pg.char_map(t, upper, lower))
     back = F.when(way == 0, tx.base64_custom(F.col("body"), own)).when(way == 1, tx.xor_text(F.hex(tx.xor_text(F.col("body"), 7).cast("binary")), 7)).otherwise(pg.char_map(F.col("body"), lower, upper))
-    docs = table(spark, sf_dir, "documents").where("text <> ''").select("doc_id", hidden.alias("body"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", hidden.alias("body"))
     return docs.select("doc_id", F.sha2(back, 256).alias("sha256"))
 
 
@@ -292,7 +296,7 @@ def emptiness_causes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     page_mechanisms, chapter_links, failure_causes, folded_catalogs, pages_until_repeat, pages_until_short, pages_with_news, output_guard, carried_over, backup_sources, report_drift, selector_chain,
-    scored_blocks, encoded_bodies, decoder_clues, data_file_tidy, page_fingerprints, url_rules, catalog_entries, listings, first_sufficient, history_upsert, cooling_domains, site_config, qc_report,
+    scored_blocks, page_elements, encoded_bodies, decoder_clues, data_file_tidy, page_fingerprints, url_rules, catalog_entries, listings, first_sufficient, history_upsert, cooling_domains, site_config, qc_report,
     risk_events, duplicate_ledger, site_list, source_letters, emptiness_causes,
 )}
 
@@ -301,7 +305,27 @@ _NORM_OF = lambda u: f"lower(regexp_extract(regexp_replace(regexp_replace({u}, '
 _BLACK = ", ".join(f"'{n}'" for n in pg.NOT_CHAPTERS)
 _PATH = "regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^?#]*)', 1)"
 _ANCHORS = f"""(SELECT l.page_id, l.ord, l.link, regexp_replace(regexp_replace(t.title, '(?s)<[^>]*>', '', 'g'), '{chars.TRIM}', '', 'g') AS title FROM ({_LINKS}) l JOIN
- (SELECT page_id, unnest(a) AS title, (generate_subscripts(a, 1) - 1)::BIGINT AS ord FROM (SELECT page_id, regexp_extract_all(html, '(?is)<a\\b[^>]*href="[^"]*"[^>]*>(.*?)</a>', 1) AS a FROM pages)) t USING (page_id, ord))"""
+ (SELECT page_id, unnest(a) AS title, (generate_subscripts(a, 1) - 1)::BIGINT AS ord FROM (SELECT page_id, regexp_extract_all(html, '{markup.ANCHOR_TEXT}', 1) AS a FROM pages)) t USING (page_id, ord))"""
+
+
+def _elements_sql(names: tuple[str, ...]) -> str:
+    """Common tables: tokens k, elements b, and g with their depths and innermost containers."""
+    named = ", ".join(f"'{n}'" for n in names)
+    void = ", ".join(f"'{n}'" for n in markup.VOID)
+    return f"""WITH k AS (SELECT page_id, unnest(a) AS token, generate_subscripts(a, 1) - 1 AS pos FROM (SELECT page_id, regexp_extract_all({_BARE}, '{markup.TOKEN}') AS a FROM {_NESTED})),
+n AS (SELECT *, lower(regexp_extract(token, '{markup.NAME}', 1)) AS name FROM k),
+o AS (SELECT *, CASE WHEN regexp_matches(token, '^</[a-zA-Z]') THEN -1 WHEN regexp_matches(token, '^<[a-zA-Z]') AND NOT regexp_matches(token, '/>$') AND name NOT IN ({void}) THEN 1 ELSE 0 END AS opens,
+ CASE WHEN starts_with(token, '<') THEN 0 ELSE length(regexp_replace(token, '{chars.re2(chars.LATIN, negate=True)}', '', 'g')) END AS own FROM n),
+i AS (SELECT *, sum(CASE WHEN name = 'a' THEN opens ELSE 0 END) OVER (PARTITION BY page_id ORDER BY pos) AS in_link FROM o),
+e AS (SELECT page_id, pos, name, token, opens, sum(own) OVER w AS letters, sum(CASE WHEN in_link > 0 THEN own ELSE 0 END) OVER w AS linked, sum(CASE WHEN name = 'p' AND opens = 1 THEN 1 ELSE 0 END) OVER w AS paragraphs FROM i WINDOW w AS (PARTITION BY page_id ORDER BY pos)),
+z AS (SELECT *, max(pos) OVER w + 1 AS fin, max(letters) OVER w AS zl, max(linked) OVER w AS zk, max(paragraphs) OVER w AS zp FROM e WINDOW w AS (PARTITION BY page_id)),
+l AS (SELECT *, sum(opens) OVER (PARTITION BY page_id, name ORDER BY pos) + CASE WHEN opens < 0 THEN 1 ELSE 0 END AS level FROM z WHERE name IN ({named}) AND opens <> 0),
+f AS (SELECT *, lead(opens) OVER w < 0 AS shut, lead(pos) OVER w AS np, lead(letters) OVER w AS nl, lead(linked) OVER w AS nk, lead(paragraphs) OVER w AS nq FROM l WINDOW w AS (PARTITION BY page_id, name, level ORDER BY pos)),
+b AS (SELECT page_id, pos AS start, CASE WHEN shut THEN np ELSE fin END AS stop, name, token, (CASE WHEN shut THEN nl ELSE zl END - letters)::BIGINT AS letters, (CASE WHEN shut THEN nk ELSE zk END - linked)::BIGINT AS linked, (CASE WHEN shut THEN nq ELSE zp END - paragraphs)::BIGINT AS paragraphs FROM f WHERE opens > 0),
+g AS (SELECT b.*, count(a.start) + 1 AS depth, max(a.start) AS parent FROM b LEFT JOIN b a ON a.page_id = b.page_id AND a.start < b.start AND a.stop > b.start GROUP BY ALL)"""
+
+
+_RANKS = ", ".join(f"({own}, {k}, '{c[0]}', '{c[1]}', '{c[3] if len(c) > 2 else ''}')" for own, site in (("true", "example.net"), ("false", None)) for k, c in enumerate(_chain(site)))
 
 SQL = {
     "page_mechanisms": f"""SELECT page_id, f[1].m AS mechanism, f[1].c AS confidence, f[1].e AS evidence, f[1].a AS advice, len(f) AS hits, status IN (401, 403) AND strlen(html) < 4096 AND len(f) = 0 AS bare,
@@ -317,13 +341,15 @@ SQL = {
     "carried_over": "SELECT conv_id, turn, sha256(CASE WHEN (conv_id + turn) % 3 = 0 THEN CASE WHEN turn < 4 THEN text END ELSE nullif(text, '') END) AS sha256 FROM conversations",
     "backup_sources": f"WITH p AS (SELECT page_id, {_NORM_OF('url')} AS k, {_NORM_OF(chr(40) + 'url || ' + chr(39) + '/?from=backup' + chr(39) + chr(41))} AS b FROM pages), m AS (SELECT b AS k, min(page_id) AS backup FROM p WHERE page_id % 2 = 0 GROUP BY b) SELECT page_id, backup FROM p LEFT JOIN m USING (k)",
     "report_drift": f"WITH a AS (SELECT {_F} FROM ({_report_sql('documents', chars.LATIN)})), b AS (SELECT {_F} FROM ({_report_sql('(SELECT * REPLACE (text || chr(10) || ' + chr(39) + 'end!' + chr(39) + ' AS text) FROM documents)', chars.LATIN)})) {_DRIFT}",
-    "selector_chain": f"SELECT page_id, selector, sha256({_HTML}) AS sha256 FROM (SELECT page_id, CASE WHEN ends_with({_HOST}, '.example.net') THEN {_chain_sql('example.net', 'name')} ELSE {_chain_sql(None, 'name')} END AS selector, CASE WHEN ends_with({_HOST}, '.example.net') THEN {_chain_sql('example.net', 'html')} ELSE {_chain_sql(None, 'html')} END AS html FROM pages)",
-    "scored_blocks": """WITH b AS (SELECT page_id, regexp_extract(html, '(?is)<article\\b[^>]*>(.*?)</article>', 1) AS body FROM pages), e AS (SELECT page_id, unnest(l) AS html, generate_subscripts(l, 1) - 1 AS block FROM (SELECT page_id, list_concat([body], regexp_extract_all(body, '(?is)<p>(.*?)</p>', 1)) AS l FROM b)),
-s AS (SELECT page_id, block, length(regexp_replace(regexp_replace(html, '(?s)<[^>]*>', '', 'g'), '[^A-Za-z\\x{c0}-\\x{24f}]', '', 'g')) AS letters, len(regexp_extract_all(html, '(?i)<a\\b')) AS links FROM e),
-c AS (SELECT *, least(letters / 1000.0::DOUBLE, 1) - 0.1::DOUBLE * least(links, 5) - CASE WHEN block > 0 THEN 0.1::DOUBLE ELSE 0 END AS score FROM s WHERE letters > 0),
-d AS (SELECT page_id, block, CASE WHEN block = 0 AND (SELECT max(letters) FROM c k WHERE k.page_id = c.page_id AND k.block > 0) >= 0.9::DOUBLE * letters THEN score * 0.6::DOUBLE ELSE score END AS score FROM c)
-SELECT page_id, block, round(score, 6) AS score FROM d WHERE TRUE QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY score DESC, block) = 1 AND score >= 0.55""",
-    "encoded_bodies": "SELECT doc_id, sha256(text) AS sha256 FROM documents WHERE text <> ''",
+    "selector_chain": f"""{_elements_sql(("div", "article", "main", "body", "h1"))}, c AS (SELECT b.page_id, r.rank, r.name AS selector, b.start, b.stop FROM b JOIN pages USING (page_id) JOIN (VALUES {_RANKS}) r(site, rank, name, tag, id)
+ ON r.tag = b.name AND (r.id = '' OR regexp_extract(b.token, '(?i)\\sid="([^"<>]*)"', 1) = r.id) AND r.site = ends_with({_HOST}, '.example.net') QUALIFY row_number() OVER (PARTITION BY b.page_id, r.rank ORDER BY b.start) = 1),
+h AS (SELECT c.page_id, c.rank, c.selector, string_agg(k.token, '' ORDER BY k.pos) AS html FROM c JOIN k ON k.page_id = c.page_id AND k.pos > c.start AND k.pos < c.stop GROUP BY ALL),
+u AS (SELECT * FROM h QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY rank) = 1) SELECT page_id, selector, sha256({_HTML}) AS sha256 FROM (SELECT p.page_id, u.selector, u.html FROM pages p LEFT JOIN u USING (page_id))""",
+    "page_elements": f"{_elements_sql(tags.CONTAINERS)} SELECT page_id, start, stop, name, depth, parent, letters, linked, paragraphs FROM g",
+    "scored_blocks": f"""{_elements_sql(tags.CONTAINERS)}, s AS (SELECT *, 0.6::DOUBLE * least(letters / 1000.0::DOUBLE, 1) + 0.4::DOUBLE * least(paragraphs / 5.0::DOUBLE, 1) - 0.5::DOUBLE * (linked / letters::DOUBLE) - 0.02::DOUBLE * depth AS score FROM g WHERE letters > 0),
+d AS (SELECT page_id, start, name, depth, CASE WHEN (SELECT max(c.letters) FROM s c WHERE c.page_id = s.page_id AND c.parent = s.start) >= 0.9::DOUBLE * letters THEN score * 0.6::DOUBLE ELSE score END AS score FROM s)
+SELECT page_id, start AS block, name, depth, round(score, 6) AS score FROM d QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY score DESC, start) = 1 AND score >= 0.55""",
+    "encoded_bodies": "SELECT doc_id, sha256(text) AS sha256 FROM documents",
     "decoder_clues": "SELECT doc_id, CASE WHEN text IS NULL THEN NULL WHEN doc_id % 3 = 1 AND length(base64(encode(text))) >= 40 THEN 'unpack' ELSE '' END AS functions FROM documents",
     "data_file_tidy": "SELECT doc_id, sha256(array_to_string(list_filter(string_split(text, chr(10)), lambda x: NOT regexp_matches(x, '^(?:chars|lines|sha256)\\s*[:=]')), chr(10)) || chr(10) || 'end') AS sha256 FROM documents",
     "page_fingerprints": f"SELECT page_id, sha256(concat_ws('|', {_HOST}, title, length(t), t)) AS fingerprint FROM (SELECT page_id, url, {_TITLE} AS title, {_HTML} AS t FROM pages)",

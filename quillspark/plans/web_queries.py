@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from ..functions import chars, text as tx
+from ..functions import chars, markup, text as tx
 from ..operators import books, history as h
 from ..sources.tables import table
 from .views import CHAPTERS, chapters
@@ -152,15 +152,15 @@ QUERIES = {f.__name__: f for f in (
 )}
 
 _ENT = lambda t: "".join(["replace(" for _ in tx.ENTITIES]) + t + "".join(f", '{a}', chr({ord(b)}))" for a, b in tx.ENTITIES)
-_T1 = "regexp_replace(regexp_replace(html, '(?is)<(script|style)\\b[^>]*>.*?</(script|style)>', '', 'g'), '(?s)<!--.*?-->', '', 'g')"
-_T2 = f"regexp_replace(regexp_replace({_T1}, '{tx.BLOCK_TAGS}', chr(10), 'g'), '(?s)<[^>]*>', '', 'g')"
+_BARE = f"regexp_replace(regexp_replace(html, '{markup.SCRIPTS}', '', 'g'), '{markup.COMMENTS}', '', 'g')"
+_T2 = f"regexp_replace(regexp_replace({_BARE}, '{markup.BLOCKS}', chr(10), 'g'), '{markup.TAG}', '', 'g')"
 _HTML = f"array_to_string(list_filter(list_transform(string_split({_ENT(_T2)}, chr(10)), lambda x: regexp_replace(x, '{TRIM}', '', 'g')), lambda x: x <> ''), chr(10))"
-_TITLE = f"regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '{TRIM}', '', 'g')"
+_TITLE = f"regexp_replace(regexp_extract(html, '{markup.TITLE}', 1), '{TRIM}', '', 'g')"
 _HOST = "lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/:?#]+)', 1))"
 _NORM = "(CASE WHEN TRUE THEN lower(regexp_extract(regexp_replace(regexp_replace(url, '[?#].*$', ''), '/+$', ''), '^([a-zA-Z][a-zA-Z0-9+.-]*://[^/]*)', 1)) || regexp_replace(regexp_replace(regexp_replace(url, '[?#].*$', ''), '/+$', ''), '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/]*', '') END)"
 _LINKS = f"""SELECT page_id, ord, CASE WHEN regexp_matches(href, '^[a-zA-Z][a-zA-Z0-9+.-]*:') THEN href WHEN starts_with(href, '//') THEN sch || ':' || href WHEN starts_with(href, '/') THEN sch || '://' || host || href ELSE folder || href END AS link FROM (
  SELECT page_id, regexp_extract(url, '^([a-zA-Z][a-zA-Z0-9+.-]*):', 1) AS sch, {_HOST} AS host, regexp_extract(url, '^([a-zA-Z][a-zA-Z0-9+.-]*://[^?#]*/)', 1) AS folder, unnest(a) AS href, (generate_subscripts(a, 1) - 1)::BIGINT AS ord
- FROM (SELECT page_id, url, regexp_extract_all(html, '(?is)<a\\b[^>]*href="([^"]*)"[^>]*>.*?</a>', 1) AS a FROM pages))"""
+ FROM (SELECT page_id, url, regexp_extract_all(html, '{markup.ANCHOR}', 1) AS a FROM pages))"""
 
 SQL = {
     "html_texts": f"SELECT page_id, sha256(t) AS sha256, length(t)::BIGINT AS chars FROM (SELECT page_id, {_HTML} AS t FROM pages)",
