@@ -14,15 +14,17 @@ def gaps(chapters: DataFrame, book: str = "book", no: str = "no") -> DataFrame:
 
 
 def consistency(chapters: DataFrame, book: str = "book", no: str = "no") -> DataFrame:
-    """Per book: chapters, missing numbers (as text, from its gaps: no array of a book's numbers is built), repeated
-    numbers, and whether it starts late."""
+    """Per book: chapters, missing ranges of numbers (as text, such as "2,5-9") and how many numbers these are, repeated
+    numbers, and whether it starts late. No number that is missing is made."""
     numbers = chapters.groupBy(book, no).agg(F.count("*").alias("times")).groupBy(book).agg(F.sum("times").alias("chapters"), F.min(no).alias("first_no"), F.count(no).alias("distinct"))
-    part = F.array_join(F.transform(F.sequence("low", "high"), lambda x: x.cast("string")), ",")
-    missing = gaps(chapters, book, no).select(F.col(book).alias("__book"), "low", part.alias("part")).groupBy("__book").agg(F.expr("listagg(part, ',') within group (order by low)").alias("missing"))
+    part = F.concat(F.col("low").cast("string"), F.when(F.col("high") > F.col("low"), F.concat(F.lit("-"), F.col("high").cast("string"))).otherwise(""))
+    missing = gaps(chapters, book, no).select(F.col(book).alias("__book"), "low", part.alias("part"), (F.col("high") - F.col("low") + 1).alias("size"))
+    missing = missing.groupBy("__book").agg(F.expr("listagg(part, ',') within group (order by low)").alias("missing"), F.sum("size").alias("missing_numbers"))
     return numbers.join(missing, F.col(book).eqNullSafe(F.col("__book")), "left").select(
         book,
         "chapters",
         F.when(F.col("first_no").isNotNull(), F.coalesce("missing", F.lit(""))).alias("missing"),
+        F.coalesce("missing_numbers", F.lit(0)).cast("long").alias("missing_numbers"),
         (F.col("chapters") - F.col("distinct")).alias("repeated"),
         (F.col("first_no") > 1).alias("starts_late"),
     )
@@ -51,28 +53,39 @@ def sentence_sets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(id_col, F.explode(F.array_distinct(sentences(F.coalesce(F.col(text_col), F.lit("")))))).withColumnRenamed("col", "sentence")
 
 
-def duplicate_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 3) -> DataFrame:
-    """(a, b, shared, jaccard, containment) of texts that share `least` sentences or more.
+def duplicate_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 3, grey: float = 0.3, subset: float = 0.95) -> DataFrame:
+    """(a, b, shared, jaccard, containment) of texts that share `least` sentences or more and are alike: a Jaccard similarity of
+    `grey` or a containment of `subset` at least. What boilerplate alone brings together is no duplicate.
 
     Sentences are compared by hash after one shuffle. Texts with the same set of sentences are one
-    class: pairs are formed between classes, and the members of a class hang on its least id, so a
-    group of copies gives a row per member. A text is not indexed by its `least` - 1 most frequent
-    sentences: who shares `least` with it shares another one, so a sentence that many texts have
-    brings none of them together by itself. Candidates are counted on their whole sets.
+    class: pairs are formed between the classes' least ids, and the members of a class hang on its least id, so a
+    group of copies gives a row per member. Candidates meet in rare sentences only: a pair with that Jaccard similarity shares
+    one outside the n * grey - 1 most frequent sentences of each, and a text that is held to `subset` shares one of its
+    n * (1 - subset) + 1 rarest. They are counted on their whole sets.
     """
     each = sentence_sets(docs, id_col, text_col).select(id_col, F.xxhash64("sentence").alias("h"))
-    classes = each.groupBy(id_col).agg(F.count("*").alias("n"), F.sum(F.xxhash64("h").cast("decimal(20,0)")).alias("s"), F.bit_xor("h").alias("x"))
-    rep = classes.groupBy("n", "s", "x").agg(F.min(id_col).alias("rep"))
-    member = classes.join(rep, ["n", "s", "x"]).select(id_col, "rep", "n")
+    member = classes(each, id_col).where(F.col("n") >= least)
     reps = each.join(member.where(F.col(id_col) == F.col("rep")), id_col).select(F.col("rep").alias("id"), "h", "n")
     times = reps.groupBy("h").agg(F.count("*").alias("times"))
-    place = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("times"), "h"))
-    index = reps.join(times, "h").withColumn("place", place).where((F.col("place") >= least) & (F.col("times") > 1))
+    rare = F.row_number().over(Window.partitionBy("id").orderBy("times", "h"))
+    index = reps.join(times, "h").withColumn("place", rare).where("times > 1")
     side = lambda df, name, n: df.select(F.col("id").alias(name), "h", F.col("n").alias(n))
-    found = side(index, "a", "na").drop("na").join(side(index, "b", "nb").drop("nb"), "h").where("a < b").select("a", "b").distinct()
+    small = index.where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * grey - 1e-9) + 1)
+    alike = side(small, "a", "na").join(side(small, "b", "nb"), "h").where((F.col("a") < F.col("b")) & (F.least("na", "nb") >= grey * F.greatest("na", "nb") - 1e-9))
+    within = side(index.where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * subset - 1e-9) + 1), "x", "nx")
+    held = within.join(side(index, "y", "ny"), "h").where((F.col("x") != F.col("y")) & (F.col("nx") <= F.col("ny")))
+    found = alike.select("a", "b").unionByName(held.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))).distinct()
     pairs = found.join(side(reps, "a", "na"), "a").join(side(reps, "b", "nb"), ["b", "h"]).groupBy("a", "b", "na", "nb").agg(F.count("*").alias("shared"))
-    copies = member.where((F.col(id_col) != F.col("rep")) & (F.col("n") >= least)).select(F.col("rep").alias("a"), F.col(id_col).alias("b"), F.col("n").alias("na"), F.col("n").alias("nb"), F.col("n").alias("shared"))
-    return pairs.where(F.col("shared") >= least).unionByName(copies).select("a", "b", "shared", (F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared"))).alias("jaccard"), (F.col("shared") / F.least("na", "nb")).alias("containment"))
+    copies = member.where(F.col(id_col) != F.col("rep")).select(F.col("rep").alias("a"), F.col(id_col).alias("b"), F.col("n").alias("na"), F.col("n").alias("nb"), F.col("n").alias("shared"))
+    both = pairs.where(F.col("shared") >= least).unionByName(copies).select("a", "b", "shared", (F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared"))).alias("jaccard"), (F.col("shared") / F.least("na", "nb")).alias("containment"))
+    return both.where((F.col("jaccard") >= grey) | (F.col("containment") >= subset))
+
+
+def classes(each: DataFrame, id_col: str) -> DataFrame:
+    """(id, rep, n) of texts given by their sentences' hashes (id, h): texts with the same set have the same least id."""
+    sums = each.groupBy(id_col).agg(F.count("*").alias("n"), F.sum(F.xxhash64("h").cast("decimal(20,0)")).alias("s"), F.bit_xor("h").alias("x"))
+    rep = sums.groupBy("n", "s", "x").agg(F.min(id_col).alias("rep"))
+    return sums.join(rep, ["n", "s", "x"]).select(id_col, "rep", "n")
 
 
 def decide(pairs: DataFrame, sizes: DataFrame, same: float = 0.8, subset: float = 0.95, grey: float = 0.3, least_chars: int = 500) -> DataFrame:

@@ -183,7 +183,7 @@ r AS (SELECT doc_id, n, min(doc_id) OVER (PARTITION BY k) AS rep FROM sets),
 er AS (SELECT e.doc_id AS id, s FROM e JOIN r ON e.doc_id = r.doc_id WHERE r.doc_id = r.rep),
 p AS (SELECT x.id AS a, y.id AS b, count(*) AS shared FROM er x JOIN er y ON x.s = y.s AND x.id < y.id GROUP BY 1, 2 HAVING count(*) >= 3),
 u AS (SELECT a, b, shared, na.n AS na, nb.n AS nb FROM p JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b UNION ALL SELECT rep, doc_id, n, n, n FROM r WHERE doc_id <> rep AND n >= 3)
-SELECT a, b, shared, shared::DOUBLE / (na + nb - shared) AS jaccard, shared::DOUBLE / least(na, nb) AS containment FROM u"""
+SELECT a, b, shared, shared::DOUBLE / (na + nb - shared) AS jaccard, shared::DOUBLE / least(na, nb) AS containment FROM u WHERE shared::DOUBLE / (na + nb - shared) >= 0.3::DOUBLE OR shared::DOUBLE / least(na, nb) >= 0.95::DOUBLE"""
 
 QUERIES = {
     "quality_report": quality_report, "quality_report_latin": quality_report_latin, "quality_by_lang": quality_by_lang, "quality_against_labels": quality_against_labels, "valid_texts": valid_texts,

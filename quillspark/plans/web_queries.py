@@ -175,7 +175,9 @@ SELECT c.url, coalesce(a.site, c.site) AS site, coalesce(b.book, c.book) AS book
     "ledger_lookup": f"WITH p AS (SELECT page_id, {_HOST} AS host FROM pages), n AS (SELECT host, 'site ' || min(page_id) AS name FROM p WHERE page_id % 4 = 0 GROUP BY host) SELECT page_id, coalesce(name, p.host) AS site FROM p LEFT JOIN n USING (host)",
     "same_title": f"SELECT title, count(DISTINCT host) AS hosts, count(*) AS pages FROM (SELECT {_HOST} AS host, regexp_replace(lower({_TITLE}), '[^\\p{{L}}\\p{{N}}]+', '', 'g') AS title FROM pages) GROUP BY title HAVING count(DISTINCT host) > 1",
     "safe_casts": "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN -1 ELSE event_id END AS n, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events",
-    "chapter_gaps": f"SELECT book, chapters, array_to_string(list_filter(range(f, l + 1), lambda x: NOT list_contains(seen, x)), ',') AS missing, chapters - len(seen) AS repeated, f > 1 AS starts_late FROM (SELECT book, count(*) AS chapters, min(no) AS f, max(no) AS l, list(DISTINCT no) AS seen FROM {CHAPTERS} GROUP BY book)",
+    "chapter_gaps": f"""WITH c AS (SELECT * FROM {CHAPTERS}), d AS (SELECT DISTINCT book, no FROM c), g AS (SELECT book, no + 1 AS low, lead(no) OVER (PARTITION BY book ORDER BY no) - 1 AS high FROM d),
+m AS (SELECT book, string_agg(CASE WHEN high > low THEN low || '-' || high ELSE low::VARCHAR END, ',' ORDER BY low) AS missing, sum(high - low + 1)::BIGINT AS missing_numbers FROM g WHERE high >= low GROUP BY book)
+SELECT c.book, count(*) AS chapters, coalesce(any_value(missing), '') AS missing, coalesce(any_value(missing_numbers), 0) AS missing_numbers, count(*) - count(DISTINCT no) AS repeated, min(no) > 1 AS starts_late FROM c LEFT JOIN m USING (book) GROUP BY c.book""",
     "chapter_outliers": f"WITH c AS (SELECT * FROM {CHAPTERS}), m AS (SELECT book, median(no) AS m FROM c GROUP BY book), k AS (SELECT c.book, c.no, c.no < 10 * m.m AS ok FROM c JOIN m USING (book)) SELECT book, no FROM (SELECT *, bool_or(ok) OVER (PARTITION BY book) AS has_ok FROM k) WHERE NOT has_ok OR ok",
     "chapter_order": "SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY CASE WHEN turn % 4 = 3 THEN NULL ELSE 20 - turn END NULLS LAST, turn) AS place FROM conversations",
     "resume": f"WITH c AS (SELECT * FROM {CHAPTERS}), p AS (SELECT book, floor(avg(no))::BIGINT AS done FROM c WHERE book % 2 = 0 GROUP BY book) SELECT c.book, count(*) AS left_over FROM c LEFT JOIN p USING (book) WHERE done IS NULL OR no > done GROUP BY c.book",

@@ -17,17 +17,23 @@ def brute(rows):
     own = {}
     for book, no in rows:
         own.setdefault(book, []).append(no)
-    return {b: (len(n), ",".join(str(x) for x in range(min(n), max(n)) if x not in set(n)), len(n) - len(set(n)), min(n) > 1) for b, n in own.items()}
+    out = {}
+    for b, n in own.items():
+        there = sorted(set(n))
+        gaps = [(x + 1, y - 1) for x, y in zip(there, there[1:]) if y > x + 1]
+        text = ",".join(f"{x}-{y}" if y > x else str(x) for x, y in gaps)
+        out[b] = (len(n), text, sum(y - x + 1 for x, y in gaps), len(n) - len(there), there[0] > 1)
+    return out
 
 
 def test_chapter_gaps_of_every_book(spark):
-    got = {r.book: tuple(r)[1:] for r in catalog.queries()["chapter_gaps"](spark, SF).select("book", "chapters", "missing", "repeated", "starts_late").collect()}
+    got = {r.book: tuple(r)[1:] for r in catalog.queries()["chapter_gaps"](spark, SF).select("book", "chapters", "missing", "missing_numbers", "repeated", "starts_late").collect()}
     assert got == brute((r.book, r.no) for r in chapters(spark, SF).collect())
-    assert any(m.count(",") >= 800 for _, m, _, _ in got.values())
+    assert any(m > 800 for _, _, m, _, _ in got.values())
 
 
 def test_gaps(spark):
-    rows = [("a", n) for n in range(1, 1001)] + [("b", 5), ("b", 5), ("b", 2000), ("c", 3), (None, 1), (None, 3)]
+    rows = [("a", n) for n in range(1, 1001)] + [("b", 5), ("b", 5), ("b", 2000), ("c", 3), (None, 1), (None, 3), ("far", 1), ("far", 3), ("far", 10**11)]
     df = spark.createDataFrame(rows, "book string, no long")
     assert {r.book: tuple(r)[1:] for r in books.consistency(df).collect()} == brute(rows)
     far = spark.createDataFrame([("a", 1), ("a", 3), ("a", 10**12)], "book string, no long")
