@@ -20,6 +20,7 @@ equal ids are packed as separate documents; other columns are not read.
 
 from __future__ import annotations
 
+import os
 import zlib
 from itertools import chain
 from pathlib import Path
@@ -30,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from .pretokens import Memo
-from .words import chunks, small_batches
+from .words import chunks, give_back, small_batches
 
 TIERS = (256, 512, 1024)
 STEP_TOKENS = 8192
@@ -42,6 +43,7 @@ def _encoder(vocabulary: str):
     """The memo of this worker for a tokenizer file's contents."""
     key = zlib.crc32(vocabulary.encode())
     if key not in _MEMOS:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; threads would only hold memory of their own
         from tokenizers import Tokenizer
 
         t = Tokenizer.from_str(vocabulary)
@@ -214,6 +216,8 @@ def pack(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str
                 yield rows(windows)
         if id_type is not None:
             yield rows(packer.take(last=True))
+        encode.clear()
+        give_back()
 
     return docs.select(id_col, text_col).mapInArrow(run, schema + ", ids array<int>" * with_ids)
 

@@ -49,9 +49,10 @@ class Memo:
 
     def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], most: int = 800_000):
         self.encode, self.most = encode, most
-        self._clear()
+        self.clear()
 
-    def _clear(self) -> None:
+    def clear(self) -> None:
+        """Forgets all units."""
         self.hashes, self.numbers = np.zeros(0, np.uint64), np.zeros(0, np.int64)  # ascending by hash
         self.ids, self.size, self.at = np.zeros(1 << 16, np.uint32), np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
         self.bytes, self.first, self.length = np.zeros(1 << 16, np.uint8), np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
@@ -81,7 +82,7 @@ class Memo:
     def __call__(self, column) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts of an Arrow column end to end, and the n + 1 offsets of the texts in them."""
         if self.known > self.most:
-            self._clear()
+            self.clear()
         data, texts = utf8(column)
         begin = units(data, texts)
         end = np.append(begin[1:], len(data)) if len(begin) else begin

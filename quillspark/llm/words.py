@@ -8,6 +8,8 @@ beyond `_LONG` bytes are hashed by keyed BLAKE2b. A null text reads as empty.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import hashlib
 from collections.abc import Iterator
 
@@ -65,6 +67,13 @@ def small_batches(spark, rows: int = 1000) -> None:
         spark.conf.set(name, rows)
 
 
+def give_back() -> None:
+    """Returns memory that this worker holds but does not use to the system, where its allocator can; workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def chunks(batches, text: str, size: int = 1 << 20, other: str | None = None) -> Iterator[pa.RecordBatch]:
     """The rows in record batches of at most about `size` bytes of text (and of a second text column), at least one row each."""
     for batch in batches:
@@ -80,6 +89,7 @@ def chunks(batches, text: str, size: int = 1 << 20, other: str | None = None) ->
             begin = end
         del batch
         pa.default_memory_pool().release_unused()
+    give_back()
 
 
 def eights(data: np.ndarray) -> np.ndarray:
