@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, SparkSession, functions as F
 
+from ..sources.config import legal
 from . import markup
 
 #: Mechanism, strong marker, weak word, confidence, advice; the first that holds decides. A weak word needs a real input box or image.
@@ -61,15 +62,9 @@ def page_name(url: Column) -> Column:
 
 def chapter_link(url: Column, title: Column, shape: str | None = None, path: Column | None = None) -> Column:
     """Neither a page name nor a title of the black lists, of the configured shape (an illegal one passes all), below the book's path (an empty one passes all)."""
-    import re
-
     good = ~page_name(url).isin(*NOT_CHAPTERS) & ~F.lower(title).rlike(NAVIGATION)
-    if shape:
-        try:
-            re.compile(shape)
-            good = good & url.rlike(shape)
-        except re.error:
-            pass
+    if shape and legal(SparkSession.active(), [shape]):
+        good = good & url.rlike(shape)
     return good if path is None else good & ((F.coalesce(path, F.lit("")) == "") | url.contains(path))
 
 

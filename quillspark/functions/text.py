@@ -61,7 +61,8 @@ def unique_lines(text: Column) -> Column:
 
 
 def drop_ad_lines(text: Column, keywords: list[str], patterns: list[str] = ()) -> Column:
-    """Without lines that contain a keyword or match a pattern; both lists only ever add to each other."""
+    """Without lines that contain a keyword or match a pattern; both lists only ever add to each other. Patterns must be legal
+    (`sources.config.legal`)."""
     def is_ad(x):
         hit = F.lit(False)
         for k in keywords:

@@ -236,14 +236,6 @@ def cooling_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ct.cooling(crawl_log(spark, sf_dir), own=own).where("cooling").select("event_id", "domain")
 
 
-def site_config(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rules of a domain from three sources, the first source wins."""
-    d = table(spark, sf_dir, "pages").select(tx.host(F.col("url")).alias("domain"), "page_id")
-    each = d.withColumns({"rank": (F.col("page_id") % 3).cast("int"), "cap": F.col("page_id") % 7})
-    place = F.row_number().over(Window.partitionBy("domain").orderBy("rank", "page_id"))
-    return each.withColumn("n", place).where("n = 1").select("domain", "rank", "cap")
-
-
 def qc_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The report that a check of all books leaves as JSON lines, written and read again."""
     r = q.with_report(table(spark, sf_dir, "documents"), rules=q.QualityRules(script=chars.LATIN))
@@ -296,7 +288,7 @@ def emptiness_causes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     page_mechanisms, chapter_links, failure_causes, folded_catalogs, pages_until_repeat, pages_until_short, pages_with_news, output_guard, carried_over, backup_sources, report_drift, selector_chain,
-    scored_blocks, page_elements, encoded_bodies, decoder_clues, data_file_tidy, page_fingerprints, url_rules, catalog_entries, listings, first_sufficient, history_upsert, cooling_domains, site_config, qc_report,
+    scored_blocks, page_elements, encoded_bodies, decoder_clues, data_file_tidy, page_fingerprints, url_rules, catalog_entries, listings, first_sufficient, history_upsert, cooling_domains, qc_report,
     risk_events, duplicate_ledger, site_list, source_letters, emptiness_causes,
 )}
 
@@ -364,7 +356,6 @@ UNION ALL SELECT count(*), max(page_id), 'padded' FROM pages""",
     "first_sufficient": "SELECT doc_id, CASE WHEN length(text) > 200 THEN least(length(text), 250) END::BIGINT AS chars FROM documents",
     "history_upsert": f"SELECT url, event_id, hash FROM {CRAWL_LOG} QUALIFY row_number() OVER (PARTITION BY url ORDER BY ts DESC, event_id DESC) = 1",
     "cooling_domains": f"SELECT event_id, domain FROM (SELECT *, max(CASE WHEN result = 'failed' THEN ts END) OVER (PARTITION BY domain ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS bad FROM {CRAWL_LOG}) WHERE epoch_us(ts) - epoch_us(bad) < CASE WHEN domain IN ('d1', 'd2') THEN 900 ELSE 300 END * 1000000",
-    "site_config": f"SELECT {_HOST} AS domain, CAST(page_id % 3 AS INT) AS rank, page_id % 7 AS cap FROM pages QUALIFY row_number() OVER (PARTITION BY {_HOST} ORDER BY page_id % 3, page_id) = 1",
     "qc_report": f"SELECT source, count(*) FILTER (valid) AS passed, count(*) FILTER (NOT valid) AS failed, round(avg(score), 4) AS mean_score FROM ({_report_sql('documents', chars.LATIN)}) JOIN (SELECT doc_id, source FROM documents) USING (doc_id) GROUP BY source",
     "risk_events": f"SELECT CASE event_id % 3 WHEN 0 THEN 'crawler' WHEN 1 THEN 'probe' ELSE 'check' END AS origin, domain, 'failure' AS kind, count(*) AS n FROM {CRAWL_LOG} WHERE result = 'failed' GROUP BY ALL",
     "site_list": f"SELECT domain, count(*) AS n, last(result ORDER BY ts, event_id) AS status, last(hash ORDER BY ts, event_id) AS latency FROM {CRAWL_LOG} GROUP BY domain",
