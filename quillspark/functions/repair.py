@@ -82,9 +82,9 @@ def paragraphs(pieces: Column, rules: LayoutRules = LayoutRules()) -> Column:
         )
 
     def built(parts):
-        marks = F.split(F.aggregate(parts, start, step, lambda held: held["breaks"]), "")
-        joined = F.transform(parts, lambda x, i: F.concat(F.when(F.get(marks, i) == "1", "\n\n").when(i > 0, rules.glue).otherwise(""), x))
-        return F.array_join(joined, "")
+        breaks = F.split(F.aggregate(parts, start, step, lambda held: held["breaks"]), "")
+        before = lambda marks, i: F.when(F.get(marks, i) == "1", "\n\n").when(i > 0, rules.glue).otherwise("")
+        return let(breaks, lambda marks: F.array_join(F.transform(parts, lambda x, i: F.concat(before(marks, i), x)), ""))
 
     return let(pieces, built)
 
