@@ -7,7 +7,7 @@ all texts. A linear model over the ramps minimises the non-negative risk with th
     prior * mean over positives of l(z)  +  max(0, mean over all texts of l(-z) - prior * mean over positives of l(-z)),
 
 and a ridge. Positives are the texts labelled good; all texts are the unlabelled side, and a label of
-a bad text is never read. Each iteration is one pass over the table: Spark sums risk, gradients and
+a bad text is read only to withdraw trust from a text that is also labelled good. Each iteration is one pass over the table: Spark sums risk, gradients and
 the second derivatives, tables of the model's size; a Newton step with halving follows. If the
 unlabelled part falls below zero, the step raises it instead, as in the published method.
 
