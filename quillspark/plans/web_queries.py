@@ -169,6 +169,7 @@ SQL = {
     "url_parts": f"SELECT page_id, {_HOST} AS host, {_NORM} AS url, CASE WHEN regexp_matches({_NORM}, '_[0-9]{{1,6}}$') THEN NULL ELSE {_NORM} || '_2.html' END AS next FROM pages",
     "page_links": f"SELECT page_id, ord, link FROM ({_LINKS}) WHERE regexp_matches(link, '^https?://')",
     "repeated_links": f"SELECT page_id AS catalog, link AS url, count(*) AS times FROM ({_LINKS}) WHERE regexp_matches(link, '^https?://') GROUP BY ALL HAVING count(*) >= 2",
+    "stable_distinct": f"SELECT page_id, array_to_string(list_filter(a, lambda x, i: list_position(a, x) = i), '|') AS texts FROM (SELECT page_id, list_transform(regexp_extract_all(html, '{markup.ANCHOR_TEXT}', 1), lambda t: regexp_replace(regexp_replace(t, '{markup.TAG}', '', 'g'), '{TRIM}', '', 'g')) AS a FROM pages)",
     "host_rules": f"SELECT page_id, suffix, count(*) OVER (PARTITION BY suffix) AS pages FROM (SELECT page_id, regexp_extract({_HOST}, '([^.]+\\.[^.]+)$', 1) AS suffix FROM pages)",
     "ledger_union": """WITH d AS (SELECT *, 'u' || (doc_id % 300) AS url FROM documents), a AS (SELECT url, min(lang) AS site FROM d WHERE doc_id % 3 = 0 GROUP BY url), b AS (SELECT url, min(source) AS book FROM d WHERE doc_id % 2 = 0 GROUP BY url), c AS (SELECT url, max(lang) AS site, max(source) AS book FROM d GROUP BY url)
 SELECT c.url, coalesce(a.site, c.site) AS site, coalesce(b.book, c.book) AS book, array_to_string(list_filter(['history', CASE WHEN a.url IS NOT NULL THEN 'programs' END, CASE WHEN b.url IS NOT NULL THEN 'shelf' END], lambda x: x IS NOT NULL), ',') AS provenance FROM c LEFT JOIN a USING (url) LEFT JOIN b USING (url)""",
