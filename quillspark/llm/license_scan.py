@@ -9,10 +9,11 @@ has as many hash functions ("bands") as make 1 - (1 - s) ** bands reach `recall`
 verified by exact containment of the template's shingles (five words, compared as strings).
 
 A window can agree with a template in a band only if it holds the template's minimal shingle of
-that band. So the minima are worked out just for windows around such shingles, with the same
-outcome as for all windows; every text is scanned whole for them. All of it is a narrow pass;
-only the matches are grouped, by text and template. Templates are a dictionary or a table (license,
-notice) of up to `MOST` rows, notices or whole license texts: they are broadcast.
+that band. So the minimum of a band is worked out just for windows around its shingle, with the
+same outcome as for all windows; every text is scanned whole for them. A window is as wide as its
+own template asks for, and a long text is worked through in overlapping blocks of words. All of it is a narrow pass; only the windows that agree are grouped. Templates are a dictionary or a table (license, notice) of up to `MOST` rows and
+`MOST_CHARS` characters in all, notices or whole license texts: minimal shingles are broadcast, and
+the templates' shingles once more for verification.
 
 Defined results: null and empty texts match nothing; a template shorter than a shingle raises; a
 row without an id keeps a null id; rows of one id are reported together; other columns are not read.
@@ -24,7 +25,8 @@ import math
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-SHINGLE, MOST = 5, 5000
+SHINGLE, MOST, MOST_CHARS = 5, 5000, 20_000_000
+BLOCK = 8192  # words
 #: Notices of public licenses, and the whole texts of short ones.
 TEMPLATES = {
     "apache-2.0": "Licensed under the Apache License, Version 2.0",
@@ -69,7 +71,7 @@ def shingles(w: Column) -> Column:
 
 def minima(strings: Column, bands: Column) -> Column:
     """The least value of each band's hash function over the shingles."""
-    return F.transform(F.sequence(F.lit(1), bands), lambda band: F.array_min(F.transform(strings, lambda s: F.xxhash64(s, band))))
+    return F.transform(F.sequence(F.lit(1), bands), lambda band: F.array_min(F.transform(strings, lambda s: F.xxhash64(F.xxhash64(s), band))))
 
 
 def bands_for(n: int, recall: float, containment: float) -> int:
@@ -87,39 +89,55 @@ def scan(docs: DataFrame, templates: dict[str, str] | DataFrame = TEMPLATES, id_
         templates = {r.license: r.notice for r in templates.select("license", "notice").limit(MOST + 1).collect()}
     if len(templates) > MOST:
         raise ValueError(f"more than {MOST} templates")
+    if sum(map(len, templates.values())) > MOST_CHARS:
+        raise ValueError(f"templates of more than {MOST_CHARS} characters")
     lengths = {name: len("".join(c if c.isalnum() else " " for c in t).split()) for name, t in templates.items()}
     if short := [name for name, n in lengths.items() if n < SHINGLE]:
         raise ValueError(f"templates of fewer than {SHINGLE} words: {short}")
     rows = [(name, t, bands_for(lengths[name], recall, containment)) for name, t in sorted(templates.items())]
     given = spark.createDataFrame(rows, "license string, notice string, bands int").withColumn("w", words(F.col("notice")))
-    bands = F.col("bands")
     # A generator between two steps keeps the optimizer from repeating a step's work inside the next one's lambdas.
     once = lambda column: F.explode(F.array(column))
-    known = given.select("license", "bands", F.size("w").alias("n"), once(F.array_distinct(shingles(F.col("w")))).alias("t")).withColumn("mins", once(minima(F.col("t"), bands)))
-    known = known.withColumn("anchors", F.filter("t", lambda s: F.exists(F.sequence(F.lit(1), bands), lambda b: F.xxhash64(s, b) == F.get(F.col("mins"), b - 1))))
-    rows = known.collect()  # as many rows as there are templates
-    anchors = sorted({a for r in rows for a in r.anchors})
-    widest = max(r.n for r in rows)
-    w = F.col("w")
+    known = given.select("license", "bands", F.size("w").alias("n"), once(F.array_distinct(shingles(F.col("w")))).alias("t")).withColumn("mins", once(minima(F.col("t"), F.col("bands"))))
+    #: of each minimal shingle the bands it is minimal in
+    own = lambda s: F.filter(F.transform("mins", lambda m, i: F.struct((i + 1).alias("band"), m.alias("least"))), lambda x: F.xxhash64(F.xxhash64(s), x["band"]) == x["least"])
+    known = known.withColumn("anchors", once(F.filter(F.transform("t", lambda s: F.struct(s.alias("anchor"), own(s).alias("own"))), lambda a: F.size(a["own"]) > 0)))
+    by_anchor = known.select("license", "n", F.inline("anchors"))
+    rows = known.select("anchors.anchor").collect()  # as many rows as there are templates
+    anchors = sorted({a for r in rows for a in r.anchor})
     first_words = sorted({a.split(" ")[0] for a in anchors})
-    at = F.filter(F.sequence(F.lit(0), F.size(w) - SHINGLE), lambda i: F.get(w, i).isin(first_words) & _shingle(w, i).isin(anchors))
-    near = F.transform(at, lambda p: F.struct(p.alias("p"), F.greatest(p - 2 * widest, F.lit(0)).alias("base"), F.transform(F.sequence(F.greatest(p - 2 * widest, F.lit(0)), F.least(p + 2 * widest, F.size(w) - 1)), lambda i: F.get(w, i)).alias("around")))
-    hits = docs.select(id_col, words(F.col(text_col)).alias("w")).where(F.size("w") >= SHINGLE).select(id_col, F.explode(near).alias("h")).select(id_col, "h.*")
-    by_anchor = known.select(F.explode("anchors").alias("anchor"), "license", "bands", "n", "t", "mins")
-    stride = F.floor(F.col("p") / F.col("n")).cast("int") * F.col("n")
+    texts = docs.select(id_col, once(words(F.col(text_col))).alias("w")).where(F.size("w") >= SHINGLE)
+    # Blocks bound what a task holds of a long text: each owns the hits in its first `core` words and has the widest window around them.
+    widest = max(len("".join(c if c.isalnum() else " " for c in t).split()) for t in templates.values())
+    core, b = max(BLOCK, 4 * widest), F.col("b")
+    from_word = F.greatest(b - 2 * widest, F.lit(0))
+    cut = texts.select(id_col, "w", F.explode(F.sequence(F.lit(0), F.size("w") - SHINGLE, F.lit(core))).alias("b"))
+    blocks = cut.select(id_col, from_word.alias("base"), (b - from_word).alias("own_from"), F.slice("w", from_word + 1, b - from_word + core + 2 * widest).alias("w"))
+    w, own_from = F.col("w"), F.col("own_from")
+    at = F.filter(F.sequence(own_from, F.least(own_from + core - 1, F.size(w) - SHINGLE)), lambda i: F.get(w, i).isin(first_words) & _shingle(w, i).isin(anchors))
+    found = blocks.select(id_col, "base", "w", once(F.transform(at, lambda p: F.struct(p.alias("p"), _shingle(w, p).alias("anchor")))).alias("hits")).where(F.size("hits") > 0)
+    hashed = F.transform(F.sequence(F.lit(0), F.size(w) - SHINGLE), lambda i: F.xxhash64(_shingle(w, i)))  # once a block, for all of its windows
+    hits = found.select(id_col, "base", "w", "hits", once(hashed).alias("x")).select(id_col, "base", "w", "x", F.explode("hits").alias("h"))
+    # No step from the hits to the windows has a lambda, so they compile into one loop that copies windows only.
+    place = F.col("base") + F.col("p")
+    stride = F.floor(place / F.col("n")).cast("int") * F.col("n")
+    first = F.col("start") - F.col("base") + 1
     windows = (
-        hits.withColumn("anchor", _shingle(F.col("around"), F.col("p") - F.col("base")))
+        hits.select(id_col, "base", "w", "x", "h.p", "h.anchor")
         .join(F.broadcast(by_anchor), "anchor")
         .withColumn("start", F.explode(F.array(stride, stride - F.col("n"))))
-        .where((F.col("start") >= 0) & (F.col("p") + SHINGLE <= F.col("start") + 2 * F.col("n")))
-        .withColumn("inside", once(F.expr("slice(around, start - base + 1, 2 * n)")))
-        .withColumn("s", once(shingles(F.col("inside"))))
+        .where((F.col("start") >= 0) & (place + SHINGLE <= F.col("start") + 2 * F.col("n")))
+        .select(id_col, "license", "start", "own", F.slice("w", first, 2 * F.col("n")).alias("inside"), F.slice("x", first, 2 * F.col("n") - SHINGLE + 1).alias("x"))
     )
-    agrees = F.exists(F.sequence(F.lit(1), bands), lambda b: F.array_min(F.transform("s", lambda s: F.xxhash64(s, b))) == F.get(F.col("mins"), b - 1))
-    share = F.size(F.array_intersect("s", "t")) / F.size("t")
+    agrees = F.exists("own", lambda b: F.array_min(F.transform("x", lambda x: F.xxhash64(x, b["band"]))) == b["least"])
+    # A window that agrees in several bands is verified once; the words are part of what is compared, as ids may repeat.
     return (
         windows.where(agrees)
-        .withColumn("containment", share)
+        .select(id_col, "license", "start", "inside")
+        .distinct()
+        .select(id_col, "license", "start", once(shingles(F.col("inside"))).alias("s"))
+        .join(F.broadcast(known.select("license", "t")), "license")
+        .withColumn("containment", F.size(F.array_intersect("s", "t")) / F.size("t"))
         .where(F.col("containment") >= containment)
         .groupBy(id_col, "license")
         .agg(F.max("containment").alias("containment"), F.min("start").cast("long").alias("first_word"), F.count_distinct("start").alias("n_windows"))

@@ -329,6 +329,16 @@ def test_licenses_by_brute_force(spark):
     assert license_scan.scan(frame(spark, texts).limit(0)).count() == 0
 
 
+def test_licenses_of_long_texts(spark):
+    r = random.Random(60)
+    long = " ".join(f"clause{r.randrange(10**6)}" for _ in range(5600))
+    one = license_scan.TEMPLATES["mit-text"]
+    text = (one + " and ") * (1_500_000 // len(one)) + long  # megabytes of one license, then one of 5,600 words
+    got = {x.license: (x.containment, x.first_word, x.n_windows) for x in license_scan.scan(frame(spark, [text]), {"mit-text": one, "long": long}).collect()}
+    assert got == windows_with(text, {"mit-text": one, "long": long}, 0.8)
+    assert set(got) == {"mit-text", "long"}
+
+
 def test_licenses(spark):
     filler = "lorem ipsum dolor sit amet " * 7
     texts = [None, "", "Released under"] + [filler[: k * 5] + " " + t + "\n" + filler for k, t in enumerate(license_scan.TEMPLATES.values())] + [filler * 30]
