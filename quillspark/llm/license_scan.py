@@ -127,7 +127,8 @@ def scan(docs: DataFrame, templates: dict[str, str] | DataFrame = TEMPLATES, id_
         .join(F.broadcast(by_anchor), "anchor")
         .withColumn("start", F.explode(F.array(stride, stride - F.col("n"))))
         .where((F.col("start") >= 0) & (place + SHINGLE <= F.col("start") + 2 * F.col("n")))
-        .select(id_col, "license", "start", "own", F.slice("w", first, 2 * F.col("n")).alias("inside"), F.slice("x", first, 2 * F.col("n") - SHINGLE + 1).alias("x"))
+        .select(id_col, "base", "license", "start", "own", "n", "x", once(F.slice("w", first, 2 * F.col("n"))).alias("inside"))
+        .select(id_col, "license", "start", "own", "inside", once(F.slice("x", first, 2 * F.col("n") - SHINGLE + 1)).alias("x"))
     )
     agrees = F.exists("own", lambda b: F.array_min(F.transform("x", lambda x: F.xxhash64(x, b["band"]))) == b["least"])
     # A window that agrees in several bands is verified once; the words are part of what is compared, as ids may repeat.
