@@ -77,8 +77,11 @@ def catalog_of(url: Column) -> Column:
     return F.coalesce(F.nullif(F.regexp_extract(url, "^([a-zA-Z][a-zA-Z0-9+.-]*://[^/]+/(?:[^?#]*/)?)[^/?#]+", 1), F.lit("")), url)
 
 
-#: Ordered patterns of a book's path.
-BOOK_PATHS = ("(/(?:book|novel|txt)/[0-9]+/?)", "(/[0-9]+/[0-9]+/)", "(/[0-9]+_[0-9]+/)", "(/[a-z]{2}/[0-9]+)", "(/[^/]+/)")
+#: Ordered patterns of a book's path; numbered pages, indexes, and last segments without an extension stand before the first folder of any kind.
+BOOK_PATHS = (
+    "(/(?:book|novel|txt)/[0-9]+/?)", "(/[0-9]+/[0-9]+/)", "(/[0-9]+_[0-9]+/)", "(/[a-z]{2}/[0-9]+)", "(/[A-Za-z0-9]{2,12}/)index(?:list)?(?:_[0-9]+)?[.]html?$",
+    "(/[A-Za-z0-9]+/)[0-9]+[.]html?$", "(/[^/.]+)$", "(/[^/]+/)",
+)
 
 
 def book_path(path: Column) -> Column:

@@ -81,6 +81,10 @@ def drop_promo_lines(text: Column, script=chars.CJK, least: int = 10) -> Column:
     return F.array_join(F.transform(kept, lambda x: F.when(x.rlike(URL_LIKE_JAVA), strip(x)).otherwise(x)), "\n")
 
 
+#: Wrong characters for right ones, where no right text holds the wrong form.
+TYPOS = {"巳经": "已经", "按排": "安排", "复盖": "覆盖", "宏扬": "弘扬", "渡假": "度假", "歪曲事非": "歪曲是非"}
+
+
 def replace_table(text: Column, pairs: dict[str, str]) -> Column:
     """Literal replacements, in the order given."""
     for a, b in pairs.items():

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import book_queries, extra_queries, log_queries, repair_queries, state_queries, text_queries, web_queries
+from . import book_queries, extra_queries, log_queries, repair_queries, shelf_queries, state_queries, text_queries, web_queries
 
-MODULES = (text_queries, log_queries, web_queries, extra_queries, state_queries, book_queries, repair_queries)
+MODULES = (text_queries, log_queries, web_queries, extra_queries, state_queries, book_queries, repair_queries, shelf_queries)
 
 
 def queries() -> dict:

@@ -51,7 +51,7 @@ def write_replacement_csv(df: DataFrame, path: str) -> None:
 
 def ledger(spark: SparkSession, path: str) -> DataFrame:
     """Tab-separated (url, site, book), `#` comments skipped, http and https only, one row per url."""
-    rows = spark.read.schema(LEDGER).option("sep", "\t").option("comment", "#").csv(path)
+    rows = spark.read.schema(LEDGER).option("sep", "\t").option("comment", "#").option("quote", "").csv(path)
     return rows.where(F.col("url").rlike("^https?://")).dropDuplicates(["url"])
 
 
