@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.text import normal_title
+from ..sources.tables import written
 from .books import sentence_sets
 from .groups import connected
 
@@ -38,7 +39,7 @@ def actions(verdicts: DataFrame, sizes: DataFrame, running: DataFrame | None = N
         for side in ("a", "b"):
             told = told.join(running.select(F.col("id").alias(side)), side, "left_anti")
     size = lambda side: sizes.select(F.col("id").alias(side), F.col("chars").alias(f"{side}_chars"))
-    told = told.join(size("a"), "a").join(size("b"), "b")
+    told = written(told.join(size("a"), "a").join(size("b"), "b").select("a", "b", "verdict", "a_chars", "b_chars"))
     wins = (F.col("a_chars") > F.col("b_chars")) | ((F.col("a_chars") == F.col("b_chars")) & (F.col("a") < F.col("b")))
     auto = F.col("verdict").isin("same", "subset")
     losers = told.where(auto).select(F.when(wins, F.col("b")).otherwise(F.col("a")).alias("id")).distinct().withColumn("__auto", F.lit(True))
