@@ -3,8 +3,9 @@
 A machine sees the rows of its key one after another: those of one trigger in the order of its
 columns `order`, those of a later trigger after them. What it knows of a key is a few numbers, a
 bounded list or a map, kept in the state store, so a stream that is stopped and started again goes
-on where its checkpoint stands. Rows of a key and trigger are sorted in memory: bound triggers by
-the source's maxFilesPerTrigger or maxBytesPerTrigger.
+on where its checkpoint stands. Rows of a key and trigger are sorted in memory, as columns of those values
+only that the machine reads: numbers packed, equal texts once. Bound triggers by the source's
+maxFilesPerTrigger or maxBytesPerTrigger.
 
 Where `late` is given it is the watermark's delay: rows later than that are dropped, and the state of
 a key goes by a timer once the watermark has passed its last row by the machine's own span. Without
@@ -14,6 +15,7 @@ it states stay. Times are microseconds (column `at`, see `timed`). Each machine
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, Row, SparkSession, functions as F
@@ -34,19 +36,45 @@ def timed(log: DataFrame, ts: str = "ts") -> DataFrame:
     return log.withColumn("at", F.unix_micros(F.col(ts).cast("timestamp")))
 
 
-def _places(order: list[str]):
-    """A sort key; nulls come first."""
-    return lambda row: [(row[c] is not None, row[c]) for c in order]
+def _added(column, value, known: dict):
+    """`column` with the value: an array as long as all are 64-bit integers, else a list in which equal values are one object."""
+    if isinstance(column, array):
+        if type(value) is int and -(1 << 63) <= value < 1 << 63:
+            column.append(value)
+            return column
+        column = list(column)
+    column.append(known.setdefault(value, value) if isinstance(value, str) else value)
+    return column
+
+
+def in_order(rows: Iterator[Row], order: list[str], reads: tuple[str, ...] | None) -> Iterator[dict]:
+    """The rows by the columns `order`, nulls first, with the values named in `reads` (all if None)."""
+    columns, known, n = {}, {}, 0
+    for row in rows:
+        if not n:
+            names = list(dict.fromkeys([*order, *(row.__fields__ if reads is None else reads)]))
+            columns = {c: array("q") for c in names}
+        for c in names:
+            columns[c] = _added(columns[c], row[c], known)
+        n += 1
+    index = array("q", range(n))
+    for c in reversed(order if n else []):
+        held = columns[c]
+        index = array("q", sorted(index, key=held.__getitem__ if isinstance(held, array) else lambda i: (held[i] is not None, held[i])))  # noqa: B023
+    for i in index:
+        yield {c: held[i] for c, held in columns.items()}
 
 
 class Machine(StatefulProcessor):
     """One tuple of state a key. A subclass gives `held`, `start`, `out` and `step(state, row) -> (state, values or None)`;
-    `span_us`, the time after which a key's state means nothing any more, may be None."""
+    `span_us`, the time after which a key's state means nothing any more, may be None. `reads` names the columns that it uses; None
+    stands for all."""
 
     held = "seen boolean"
     start: tuple = (False,)
     out = ""
     span_us: int | None = None
+    reads: tuple[str, ...] | None = None
 
     def __init__(self, order: list[str]):
         self.order = order
@@ -60,7 +88,7 @@ class Machine(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         state, last = self.state.get() if self.state.exists() else self.start, 0
-        for row in sorted(rows, key=_places(self.order)):
+        for row in in_order(rows, self.order, self.reads):
             state, values = self.step(state, row)
             last = max(last, row["at"] or 0)
             if values is not None:
@@ -92,6 +120,7 @@ class Machine(StatefulProcessor):
 class Terminals(Machine):
     """Rows that bring a task to another terminal status than its last one; other statuses are passed over."""
 
+    reads = ("at", "url", "event_id", "status")
     held, start, out = "status string", (None,), "url string, event_id long, status string"
 
     def __init__(self, order: list[str], terminal: tuple[str, ...] = TERMINAL):
@@ -107,6 +136,7 @@ class Terminals(Machine):
 class Writes(Machine):
     """Rows whose version is above all that came before; older and equal ones are turned away."""
 
+    reads = ("at", "url", "event_id", "version")
     held, start, out = "version long", (None,), "url string, event_id long, version long"
 
     def step(self, state, row):
@@ -119,6 +149,7 @@ class Writes(Machine):
 class Skips(Machine):
     """Rows whose `streak` rows just before failed, all of them."""
 
+    reads = ("at", "url", "event_id", "status")
     held, start, out = "streak int", (0,), "url string, event_id long"
 
     def __init__(self, order: list[str], streak: int = 3, good: str = "ok"):
@@ -133,6 +164,7 @@ class Skips(Machine):
 class Fresh(Machine):
     """Each row with whether its key's entry before is at most `ttl_us` old; the entry goes after that time."""
 
+    reads = ("at", "url", "event_id")
     held, start, out = "at long", (None,), "url string, event_id long, fresh boolean"
 
     def __init__(self, order: list[str], ttl_us: int = 20_000_000):
@@ -146,6 +178,7 @@ class Fresh(Machine):
 class Cooling(Machine):
     """Each row with whether its domain's last failure is less than `cool_us` old."""
 
+    reads = ("at", "domain", "event_id", "result")
     held, start, out = "failed_at long", (None,), "domain string, event_id long, cooling boolean"
 
     def __init__(self, order: list[str], cool_us: int = 300_000_000):
@@ -161,6 +194,7 @@ class Tiers(Machine):
     """Each change of a domain's speed tier: down after `fails` failures running, up (to `top` at most) after `oks`
     successes running and `cool_us` since the last failure."""
 
+    reads = ("at", "domain", "event_id", "result")
     held, out = "tier int, bad int, good int, failed_at long", "domain string, event_id long, at long, tier int, moved string"
     span_us = 7 * 86_400_000_000
 
@@ -187,6 +221,7 @@ class Breaker(Machine):
     """When a domain's breaker opens or is extended: after `fails` failures running, for `open_us` from the last
     request inside the open window; a success outside the window resets the count."""
 
+    reads = ("at", "domain", "event_id", "result")
     held, start, out = "bad int, closes long", (0, 0), "domain string, event_id long, opened long, closes long"
     span_us = 7 * 86_400_000_000
 
@@ -214,6 +249,7 @@ class Ring(Machine):
     """After each trigger the last `size` rows of a key, with `cursor`, a row's number since the start, and `upto`, the key's
     number of rows: the ring as it stands has the greatest `upto` (see `latest`)."""
 
+    reads = ("at", "event_id")
     held, start, out = "total long", (0,), "url string, event_id long, cursor long, upto long"
 
     def __init__(self, order: list[str], size: int = 500):
@@ -230,7 +266,7 @@ class Ring(Machine):
     def handleInputRows(self, key, rows, timerValues):
         total, last = (self.state.get() if self.state.exists() else self.start)[0], 0
         ring = list(self.rows.get()) if self.rows.exists() else []
-        for row in sorted(rows, key=_places(self.order)):
+        for row in in_order(rows, self.order, self.reads):
             before, ring = len(ring), self.kept(ring, row)
             total += len(ring) - before
             ring, last = ring[-self.size :], max(last, row["at"] or 0)
@@ -248,6 +284,7 @@ class Ring(Machine):
 class Notices(Ring):
     """A bounded queue of notices: the oldest goes when it is full, and a notice that repeats the one before takes its place."""
 
+    reads = ("at", "event_id", "url", "status")
     out = "domain string, event_id long, url string, status string, cursor long, upto long"
 
     def __init__(self, order: list[str], size: int = 5):
@@ -266,6 +303,7 @@ class Tasks(Machine):
     """The task of each row: a request for a URL of the domain whose task has not ended gets that task, any other begins one,
     named by its row."""
 
+    reads = ("at", "url", "event_id", "status")
     out = "url string, event_id long, task long"
 
     def __init__(self, order: list[str], terminal: tuple[str, ...] = TERMINAL):
@@ -278,7 +316,7 @@ class Tasks(Machine):
 
     def handleInputRows(self, key, rows, timerValues):
         last = 0
-        for row in sorted(rows, key=_places(self.order)):
+        for row in in_order(rows, self.order, self.reads):
             url, last = (row["url"],), max(last, row["at"] or 0)
             task = self.tasks.getValue(url)[0] if self.tasks.containsKey(url) else row["event_id"]
             if row["status"] not in self.terminal:
@@ -298,6 +336,8 @@ def run(log: DataFrame, key: str, machine: Machine, late: str | None = None, ts:
     log = timed(log.withColumn(ts, F.col(ts).cast("timestamp")), ts)
     if late is not None:
         log = log.withWatermark(ts, late)
+    if machine.reads is not None:
+        log = log.select(*dict.fromkeys([key, *machine.order, *machine.reads, *([ts] if late is not None else [])]))
     return log.groupBy(key).transformWithState(machine, machine.out, "Append", "EventTime" if late is not None else "None")
 
 
