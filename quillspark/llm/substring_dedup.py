@@ -13,9 +13,10 @@ a hash common to a third of all texts is therefore one entry per batch, never a
 A bucket answers each batch with one bit per entry. The windows around anchors take the same
 way with the smallest id of the batch. Nothing is collected and no pair of texts is formed.
 
-Ids are integers, as "smaller" means it; others raise. Batches hold some 5 MB of text, more where
-the table is so large that pieces (batches times buckets) would be smaller than 4 kB, and buckets
-three times a batch's entries and up, so what a task holds follows the bytes of the input.
+Ids are integers, as "smaller" means it; others raise. Batches hold some 3 MB of text, more where
+the table is so large that pieces (batches times buckets) would be smaller than 1 kB, and buckets
+three times a batch's entries and up, so what a task holds follows the bytes of the input. A worker
+gives memory back after each batch or bucket, as it lives on beside the next stage's.
 
 Defined results: a null or empty text has no words; a row with a null id is neither compared
 nor changed; rows with equal ids never remove each other's words; other columns pass through.
@@ -31,12 +32,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import IntegralType
 
-from .words import U64, Words, covered, per_doc, small_batches
+from .words import U64, Words, covered, give_back, per_doc, small_batches
 
 _PIECES = "batch int, bucket int, body binary"
 _KEY = 30
 #: Bytes of text in a batch: as a rule, and at most.
-BATCH, MOST = 5 << 20, 256 << 20
+BATCH, MOST = 3 << 20, 256 << 20
 
 
 def _pieces(batch: int, buckets: np.ndarray, body: np.ndarray) -> pa.Table:
@@ -118,6 +119,12 @@ def _answer(table: pa.Table, verdict) -> pa.Table:
     return pa.table({"batch": table.column("batch"), "bucket": table.column("bucket"), "body": pa.array(packed, pa.binary())})
 
 
+def _given(out: pa.Table) -> pa.Table:
+    """The result of a step whose own arrays are gone by now."""
+    give_back()
+    return out
+
+
 def _repeated_blocks(bodies: list[bytes]) -> dict:
     parts = [np.frombuffer(b, np.uint32) for b in bodies]
     entries = np.concatenate(parts)
@@ -158,7 +165,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     small_batches(docs.sparkSession)
     if batches is None or buckets is None:
         size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
-        each = min(max(BATCH, math.isqrt(4096 * size)), MOST)
+        each = min(max(BATCH, math.isqrt(1024 * size)), MOST)
         batches, buckets = batches or size // each + 1, buckets or size // (4 * each) + 1
     salt = F.when(F.col(id_col).isNull(), F.xxhash64(F.col(text_col), F.spark_partition_id()))  # rows without an id have no partners
     dealt = docs.withColumn("__batch", F.pmod(F.xxhash64(F.col(id_col), salt, F.lit(7)), F.lit(batches)).cast("int")).repartition(batches, "__batch")
@@ -197,13 +204,13 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         out["n_removed"] = pa.array(lost)
         return pa.table(out)
 
-    asked = dealt.groupBy("__batch").applyInArrow(probe, _PIECES)
-    hits = asked.groupBy("bucket").applyInArrow(lambda t: _answer(t, _repeated_blocks), _PIECES)
-    again = dealt.groupBy("__batch").cogroup(hits.groupBy("batch")).applyInArrow(extend, _PIECES)
-    earlier = again.groupBy("bucket").applyInArrow(lambda t: _answer(t, _earlier_windows), _PIECES)
+    asked = dealt.groupBy("__batch").applyInArrow(lambda t: _given(probe(t)), _PIECES)
+    hits = asked.groupBy("bucket").applyInArrow(lambda t: _given(_answer(t, _repeated_blocks)), _PIECES)
+    again = dealt.groupBy("__batch").cogroup(hits.groupBy("batch")).applyInArrow(lambda left, right: _given(extend(left, right)), _PIECES)
+    earlier = again.groupBy("bucket").applyInArrow(lambda t: _given(_answer(t, _earlier_windows)), _PIECES)
     told = hits.withColumn("stage", F.lit(1)).unionByName(earlier.withColumn("stage", F.lit(2)))
     schema = docs.withColumn(text_col, F.lit(None).cast("string")).withColumn("n_words", F.lit(0).cast("long")).withColumn("n_removed", F.lit(0).cast("long")).schema
-    return dealt.groupBy("__batch").cogroup(told.groupBy("batch")).applyInArrow(cut, schema)
+    return dealt.groupBy("__batch").cogroup(told.groupBy("batch")).applyInArrow(lambda left, right: _given(cut(left, right)), schema)
 
 
 def _joined(words: Words, keep: np.ndarray) -> list[str]:
