@@ -34,11 +34,14 @@ def packed_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts packed as scripts in base 62, and opened again."""
     digits = F.lit(rp._DIGITS)
     digit = lambda n: F.substr(digits, (n % 62 + 1).cast("int"), F.lit(1))
-    coded = lambda n: F.concat(F.when(n >= 62 * 62, digit(F.floor(n / 3844))).otherwise(""), F.when(n >= 62, digit(F.floor(n / 62))).otherwise(""), digit(n))
+    coded = lambda n: F.concat(*[F.when(n >= 62**k, digit(F.floor(n / 62**k))).otherwise("") for k in (5, 4, 3, 2, 1)], digit(n))
     parts = F.regexp_extract_all("text", F.lit(r"[A-Za-z0-9_]++|[^A-Za-z0-9_]++"), 0)
-    words = F.array_distinct(F.filter(parts, lambda w: w.rlike("^[A-Za-z0-9]")))
-    docs = table(spark, sf_dir, "documents").withColumn("words", words)
-    payload = F.array_join(F.transform(parts, lambda w: F.when(w.rlike("^[A-Za-z0-9]"), coded(F.array_position("words", w) - 1)).otherwise(w)), "")
+    is_word = lambda w: w.rlike("^[A-Za-z0-9]")
+    # every other part is a word: its number is its place among them, so none is looked up
+    docs = table(spark, sf_dir, "documents").select("doc_id", parts.alias("parts"))
+    first = F.when(F.get("parts", F.lit(0)).rlike("^[A-Za-z0-9_]"), 0).otherwise(1)
+    docs = docs.withColumn("words", F.transform(F.filter("parts", lambda w, i: i % 2 == first), lambda w: F.when(is_word(w), w).otherwise("")))
+    payload = F.array_join(F.transform("parts", lambda w, i: F.when(is_word(w), coded(F.floor(i / 2))).otherwise(w)), "")
     escaped = F.regexp_replace(payload, r"(['\\])", r"\\$1")
     body = F.concat(F.lit("eval(function(p,a,c,k,e,d){return p}('"), escaped, F.lit("',62,"), F.size("words").cast("string"), F.lit(",'"), F.array_join("words", "|"), F.lit("'.split('|'),0,{}))"))
     return docs.select("doc_id", body.alias("body")).select("doc_id", F.sha2(rp.unpacked(F.col("body")), 256).alias("sha256"))
