@@ -402,6 +402,7 @@ def join_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             rest = rest.join(picked.select("key", F.col("hub").alias("node")), ["key", "node"], "left_anti")
         old, active = active, _open(rest.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), scratch, num, den)
         scratch.drop(old, candidates, found)
+        scratch.settle()
         hubs *= 1 if first else 8
     roots = roots or scratch.keep(nodes.select("node", F.col("node").alias("root")).limit(0))
     homes = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))

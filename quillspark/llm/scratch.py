@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -45,3 +46,9 @@ class Scratch:
             else:
                 kept.append((df, path))
         self.paths = kept
+
+    def settle(self) -> None:
+        """Plans, broadcasts and shuffle files of steps that are over go at once, and the driver's heap shrinks to what is still in
+        use; else they stay until it happens to be full. For loops of many jobs."""
+        gc.collect()  # what Python holds of them first
+        self.spark._jvm.System.gc()
