@@ -5,11 +5,16 @@ Pairs come from `books.duplicate_pairs`, between representatives of texts with t
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.text import normal_title
+from ..functions.text import normal_title, sentences
 from ..sources.tables import written
-from .books import sentence_sets
+from . import books
 from .groups import connected
 
 ACTIONS = ("keep", "move", "review")
@@ -104,12 +109,68 @@ def title_parts(titles: DataFrame) -> DataFrame:
     """
     sized = titles.select("title", F.length("title").alias("n"))
     pieces = lambda size: sized.where(F.col("n") >= size).select("title", F.lit(size).alias("size"), F.explode(_grams(F.col("title"), size)).alias("piece"))
-    index = pieces(1).unionByName(pieces(2)).unionByName(pieces(6))
-    often = index.groupBy("size", "piece").agg(F.count("*").alias("times"))
-    own = F.when(F.col("n") >= 6, 6).when(F.col("n") >= 2, 2).otherwise(1)
-    asks = index.join(sized, "title").where(F.col("size") == own).join(often, ["size", "piece"])
-    asks = asks.groupBy("title").agg(F.min_by(F.struct("size", "piece"), F.struct("times", "piece")).alias("p")).select(F.col("title").alias("small"), "p.size", "p.piece")
-    return asks.join(index.withColumnRenamed("title", "big"), ["size", "piece"]).where((F.col("small") != F.col("big")) & F.col("big").contains(F.col("small"))).select("small", "big")
+    index = pieces(1).unionByName(pieces(2)).unionByName(pieces(6)).select("title", "size", F.xxhash64("size", "piece").alias("piece"))
+    often = index.groupBy("piece").agg(F.count("*").alias("times"))
+    own = F.when(F.length("title") >= 6, 6).when(F.length("title") >= 2, 2).otherwise(1)
+    asks = index.where(F.col("size") == own).join(often, "piece")
+    asks = asks.groupBy(F.col("title").alias("small")).agg(F.min_by("piece", "times").alias("piece"))  # of several as rare, any will do
+    return asks.join(index.select("piece", F.col("title").alias("big")), "piece").where((F.col("small") != F.col("big")) & F.col("big").contains(F.col("small"))).select("small", "big")
+
+
+def _alike(sized: DataFrame, related: DataFrame, ratio: int, most: float) -> DataFrame:
+    """(id, alike): with how many others of related titles (title, other) a text (id, title, chars, n, set) has a Jaccard
+    similarity of `most`, where neither is more than `ratio` times as large.
+
+    A title's texts and those of its related titles are dealt into blocks of some half a million sentences; two blocks are a
+    unit, whose number goes into the hashes, so a task counts many small units, or a large one, at once and forms no rows of pairs.
+    """
+    block = books.WORDS << 17
+    own = sized.groupBy("title").agg(F.sum("n").alias("mine"), F.count("*").alias("texts"))
+    per = related.join(own.withColumnRenamed("title", "other"), "other").groupBy("title").agg(F.sum("mine").alias("theirs"), F.sum("texts").alias("met"))
+    cut = lambda c: F.greatest(F.ceil(F.col(c) / block), F.lit(1))
+    per = written(own.join(per, "title").where("met > 1").select("title", "mine", "theirs", cut("mine").alias("rows"), cut("theirs").alias("columns")))
+    total = per.agg(F.sum(F.col("mine") * F.col("columns") + F.col("theirs") * F.col("rows"))).first()[0] or 0
+    at = lambda c: F.pmod(F.xxhash64("id"), F.col(c))
+    each = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
+    columns = ["id", "chars", "n", "set", "title", "row", "column"]
+    asks = sized.join(per, "title").withColumn("row", at("rows")).withColumn("column", each("columns")).select(*columns, F.lit(False).alias("second"))
+    asked = related.join(per, "title").join(sized.withColumnRenamed("title", "other"), "other").withColumn("column", at("columns")).withColumn("row", each("rows")).select(*columns, F.lit(True).alias("second"))
+    dealt = asks.unionByName(asked).withColumn("unit", F.xxhash64("title", "row", "column"))
+    dealt = dealt.select("id", "chars", "n", F.transform("set", lambda h: F.xxhash64("unit", h)).alias("set"), "second", "unit")
+    dealt = dealt.repartition(1 + total // block, "unit").sortWithinPartitions("unit")
+
+    def of_units(rows: pa.Table) -> pa.RecordBatch:
+        second = rows.column("second")
+        x, y = (books.Block(rows.filter(f)) for f in (pc.invert(second), second))
+        y.sort()
+        n, chars = ([b.texts.column(c).to_numpy() for b in (x, y)] for c in ("n", "chars"))
+        alike = np.zeros(len(x.count), np.int64)
+        for i, j, both in books.counted(x, y, 1, False):
+            small, large = np.minimum(chars[0][i], chars[1][j]), np.maximum(chars[0][i], chars[1][j])
+            good = np.flatnonzero((large <= ratio * small) & (both / (n[0][i] + n[1][j] - both) >= most))
+            i, j = i[good], j[good]
+            other = pc.not_equal(x.texts.column("id").take(i), y.texts.column("id").take(j)).to_numpy()
+            alike += np.bincount(i[other], minlength=len(alike))
+        some = alike > 0
+        return pa.RecordBatch.from_arrays([x.texts.column("id").filter(pa.array(some)).combine_chunks(), pa.array(alike[some])], names=["id", "alike"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size, now = [], 0, None
+        for batch in batches:
+            unit, n = batch.column("unit").to_numpy(), batch.column("n").to_numpy()
+            cuts = [0, *(np.flatnonzero(unit[1:] != unit[:-1]) + 1).tolist(), len(unit)]
+            begin = 0
+            for low, high in zip(cuts, cuts[1:]):
+                if high > low and size >= block and unit[low] != now:
+                    yield of_units(pa.Table.from_batches([*held, batch.slice(begin, low - begin)]))
+                    held, size, begin = [], 0, low
+                size += int(n[low:high].sum())
+                now = unit[low] if high > low else now
+            held.append(batch.slice(begin))
+        if held:
+            yield of_units(pa.Table.from_batches(held))
+
+    return dealt.mapInArrow(run, f"id {sized.schema['id'].dataType.simpleString()}, alike long").groupBy("id").agg(F.sum("alike").alias("alike"))
 
 
 def same_title_other_text(docs: DataFrame, id_col: str, title_col: str, text_col: str, least_chars: int = 500, ratio: int = 3, most: float = 0.05) -> DataFrame:
@@ -117,15 +178,17 @@ def same_title_other_text(docs: DataFrame, id_col: str, title_col: str, text_col
     below `most`), are at most `ratio` times as large, and have `least_chars` letters and digits like itself. Such texts are
     versions to be kept, both; nothing here is ever moved.
 
-    No pair of texts is formed but of those that share a sentence: partners are counted by size within related titles, and
-    those with much in common are subtracted. A pair that shares nothing counts as 0.
+    No pair of texts makes a row: partners are counted by size within related titles, and those with much in common, which
+    tasks count by blocks of texts, are subtracted. A pair that shares nothing counts as 0.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     sized = docs.select(F.col(id_col).alias("id"), normal_title(F.col(title_col)).alias("title"), F.length(F.regexp_replace(text, "[^\\p{L}\\p{N}]", "")).cast("long").alias("chars"), text.alias("text"))
     sized = sized.where((F.coalesce(F.col("title"), F.lit("")) != "") & (F.col("chars") >= least_chars))
+    sized = sized.withColumn("set", F.transform(F.array_distinct(sentences(F.col("text"))), lambda x: F.xxhash64(x))).withColumn("n", F.size("set").cast("long"))
+    sized = written(sized.drop("text"))
     titles = sized.select("title").distinct()
-    parts = title_parts(titles)
-    related = titles.select("title", F.col("title").alias("other")).unionByName(parts.select(F.col("small").alias("title"), F.col("big").alias("other"))).unionByName(parts.select(F.col("big").alias("title"), F.col("small").alias("other")))
+    parts = written(title_parts(titles))
+    related = written(titles.select("title", F.col("title").alias("other")).unionByName(parts.select(F.col("small").alias("title"), F.col("big").alias("other"))).unionByName(parts.select(F.col("big").alias("title"), F.col("small").alias("other"))))
     # how many texts of related titles are within the range of sizes: running sums at its two ends
     sizes = sized.groupBy(F.col("title").alias("other"), "chars").agg(F.count("*").alias("times"))
     near = related.join(sizes, "other").groupBy("title", "chars").agg(F.sum("times").alias("times"))
@@ -136,14 +199,7 @@ def same_title_other_text(docs: DataFrame, id_col: str, title_col: str, text_col
     below = F.sum("times").over(Window.partitionBy("title").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, 0))
     counted = points.unionByName(low).unionByName(high).withColumn("below", below).where("kind <> 1")
     within = counted.groupBy("title", F.col("asked").alias("chars")).agg((F.max(F.when(F.col("kind") == 2, F.col("below"))) - F.max(F.when(F.col("kind") == 0, F.col("below")))).alias("within"))
-    # of these, the ones with a sentence in common
-    each = sentence_sets(sized, "id", "text").select("id", F.xxhash64("sentence").alias("h"))
-    counts = each.groupBy("id").agg(F.count("*").alias("n"))
-    known = each.join(sized.join(counts, "id").select("id", "title", "chars", "n"), "id")
-    left = known.select(F.col("id").alias("a"), "title", "h", F.col("chars").alias("ca"), F.col("n").alias("na"))
-    right = known.join(related.withColumnsRenamed({"title": "asks", "other": "title"}), "title").select(F.col("id").alias("b"), F.col("asks").alias("title"), "h", F.col("chars").alias("cb"), F.col("n").alias("nb"))
-    common = left.join(right, ["title", "h"]).where((F.col("a") != F.col("b")) & (F.greatest("ca", "cb") <= ratio * F.least("ca", "cb"))).groupBy("a", "b", "na", "nb").agg(F.count("*").alias("shared"))
-    alike = common.where(F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared")) >= most).groupBy(F.col("a").alias("id")).agg(F.count("*").alias("alike"))
+    alike = _alike(sized, related, ratio, most)
     out = sized.select("id", "title", "chars").join(within, ["title", "chars"]).join(alike, "id", "left")
     partners = F.col("within") - 1 - F.coalesce("alike", F.lit(0))
     return out.select(F.col("id").alias(id_col), partners.alias("partners")).where("partners > 0")
