@@ -112,9 +112,9 @@ def title_parts(titles: DataFrame) -> DataFrame:
     index = pieces(1).unionByName(pieces(2)).unionByName(pieces(6)).select("title", "size", F.xxhash64("size", "piece").alias("piece"))
     often = index.groupBy("piece").agg(F.count("*").alias("times"))
     own = F.when(F.length("title") >= 6, 6).when(F.length("title") >= 2, 2).otherwise(1)
-    asks = index.where(F.col("size") == own).join(often, "piece")
+    asks = index.where(F.col("size") == own).join(often.hint("merge"), "piece")  # an index is larger than its titles, which Spark goes by
     asks = asks.groupBy(F.col("title").alias("small")).agg(F.min_by("piece", "times").alias("piece"))  # of several as rare, any will do
-    return asks.join(index.select("piece", F.col("title").alias("big")), "piece").where((F.col("small") != F.col("big")) & F.col("big").contains(F.col("small"))).select("small", "big")
+    return asks.join(index.select("piece", F.col("title").alias("big")).hint("merge"), "piece").where((F.col("small") != F.col("big")) & F.col("big").contains(F.col("small"))).select("small", "big")
 
 
 def _alike(sized: DataFrame, related: DataFrame, ratio: int, most: float) -> DataFrame:
