@@ -101,76 +101,170 @@ def _grams(c: Column, n: int) -> Column:
     return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - n + 1, F.lit(1))), lambda i: F.substr(c, i, F.lit(n))))
 
 
+#: Words of 64 bits that tell which title pieces are asked for.
+MARKS = 1 << 18
+
+
 def title_parts(titles: DataFrame) -> DataFrame:
     """(small, big) of different titles (column `title`, unique and not empty) of which one holds the other.
 
     An inverted index over pieces of 1, 2 and 6 characters: a title looks for its rarest piece of the longest size it has, which
-    each title that holds it has too; what is found is checked.
+    each title that holds it has too; what is found is checked. How rare a piece is, and whether any title looks for it, is told
+    by summaries of a fixed size (others may fall on the same place, which costs a look only), so few pieces are shuffled.
     """
     sized = titles.select("title", F.length("title").alias("n"))
     pieces = lambda size: sized.where(F.col("n") >= size).select("title", F.lit(size).alias("size"), F.explode(_grams(F.col("title"), size)).alias("piece"))
     index = pieces(1).unionByName(pieces(2)).unionByName(pieces(6)).select("title", "size", F.xxhash64("size", "piece").alias("piece"))
-    often = index.groupBy("piece").agg(F.count("*").alias("times"))
+    index = index.withColumn("spot", F.shiftrightunsigned("piece", 48))
+    often = index.groupBy("spot").agg(F.count("*").alias("times"))
     own = F.when(F.length("title") >= 6, 6).when(F.length("title") >= 2, 2).otherwise(1)
-    asks = index.where(F.col("size") == own).join(often.hint("merge"), "piece")  # an index is larger than its titles, which Spark goes by
-    asks = asks.groupBy(F.col("title").alias("small")).agg(F.min_by("piece", "times").alias("piece"))  # of several as rare, any will do
-    return asks.join(index.select("piece", F.col("title").alias("big")).hint("merge"), "piece").where((F.col("small") != F.col("big")) & F.col("big").contains(F.col("small"))).select("small", "big")
-
-
-def _alike(sized: DataFrame, related: DataFrame, ratio: int, most: float) -> DataFrame:
-    """(id, alike): with how many others of related titles (title, other) a text (id, title, chars, n, set) has a Jaccard
-    similarity of `most`, where neither is more than `ratio` times as large.
-
-    A title's texts and those of its related titles are dealt into blocks of some half a million sentences; two blocks are a
-    unit, whose number goes into the hashes, so a task counts many small units, or a large one, at once and forms no rows of pairs.
+    asks = index.where(F.col("size") == own).join(F.broadcast(often), "spot")
+    asks = written(asks.groupBy(F.col("title").alias("small")).agg(F.min_by("piece", "times").alias("piece")))  # of several as rare, any will do
+    mark, bit = F.shiftrightunsigned("piece", 6) % MARKS, "cast(piece & 63 as int)"
+    asked = asks.groupBy(mark.alias("mark")).agg(F.bit_or(F.expr(f"shiftleft(1L, {bit})")).alias("marks"))
+    index = index.withColumn("mark", mark).join(F.broadcast(asked), "mark").where(f"shiftright(marks, {bit}) & 1 = 1")
+    found = asks.hint("merge").join(index.select("piece", F.col("title").alias("big")), "piece")  # an index is larger than its titles, which Spark goes by
+    return found.where((F.col("small") != F.col("big")) & F.col("big").contains(F.col("small"))).select("small", "big")
+
+
+#: Sentences of a block of titles; how many are looked up at once.
+BLOCK, LOOKS = 1 << 19, 1 << 20
+
+
+class _Home(books.Block):
+    """The texts (id, title, chars, n, set) of a block of titles, and how many partners each has. Hashes are told apart by title."""
+
+    def __init__(self, texts: pa.Table, ratio: int, most: float):
+        super().__init__(texts)
+        self.ratio, self.most = ratio, most
+        title, self.chars, self.n = (self.texts.column(c).to_numpy() for c in ("title", "chars", "n"))
+        self.h = self.h ^ np.repeat(title, self.count)
+        self.sort()
+        # texts by title and size, as numbers of one line: those of a title within a range of sizes are a stretch of it
+        self.titles, self.of = np.unique(title, return_inverse=True)
+        self.width = int(self.chars.max(initial=0)) + 1
+        place = self.of * self.width + self.chars
+        self.order = np.argsort(place, kind="stable")
+        self.line = place[self.order]
+        self.steps = np.zeros(len(place) + 1, np.int64)  # where stretches begin and end
+        self.partners = np.zeros(len(place), np.int64)
+        low, high = self._stretch(self.of, self.chars)
+        self.partners += high - low - 1
+        for i, j, both in books.counted(self, self, 1, True):
+            good = self._alike(self.chars[i], self.n[i], j, both)
+            for side in (i, j):
+                self.partners -= np.bincount(side[good], minlength=len(place))
+
+    def _stretch(self, of: np.ndarray, chars: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        least, greatest = np.ceil(chars / self.ratio).astype(np.int64), np.floor(chars * self.ratio).astype(np.int64)
+        low = np.searchsorted(self.line, of * self.width + np.minimum(least, self.width), "left")
+        return low, np.searchsorted(self.line, of * self.width + np.minimum(greatest, self.width - 1), "right")
+
+    def _alike(self, chars: np.ndarray, n: np.ndarray, j: np.ndarray, both: np.ndarray) -> np.ndarray:
+        small, large = np.minimum(chars, self.chars[j]), np.maximum(chars, self.chars[j])
+        return (large <= self.ratio * small) & (both / (n + self.n[j] - both) >= self.most)
+
+    def meet(self, rows: pa.Table) -> pa.RecordBatch:
+        """Texts from elsewhere and the titles of this block that they are for: the row of kind 1 before texts of kind 2, the
+        text's own for kind 3. Texts here are counted with them; returned are their ids and partners."""
+        rows = rows.combine_chunks()
+        kind, title, chars, n = (pc.fill_null(rows.column(c), 0).to_numpy() for c in ("kind", "title", "chars", "n"))
+        sets = rows.column("set").combine_chunks()
+        flat = np.concatenate([sets.flatten().to_numpy(zero_copy_only=False), title])
+        size = sets.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        start = np.cumsum(size) - size
+        text = np.flatnonzero(kind > 1)
+        list_at = np.maximum.accumulate(np.where(kind == 1, np.arange(len(kind)), 0))[text]
+        alone = kind[text] == 3
+        first = np.where(alone, len(flat) - len(title) + text, start[list_at])
+        times = np.where(alone, 1, size[list_at])
+        looks = np.maximum(size[text], 1)
+        to, work = np.cumsum(times), np.cumsum(times * looks)
+        got = np.zeros(len(text), np.int64)
+        ends = np.arange(0, work[-1] + 1 if len(work) else 0, LOOKS)
+        row = np.searchsorted(work, ends, "right")
+        row = np.minimum(row, len(text) - 1)
+        cut = to[row] - times[row] + (ends - work[row] + times[row] * looks[row]) // looks[row] if len(text) else ends
+        for begin, end in zip(cut, [*cut[1:], to[-1] if len(to) else 0]):
+            v = np.arange(begin, end)
+            k = np.searchsorted(to, v, "right")
+            big = flat[first[k] + v - (to[k] - times[k])]
+            of = np.searchsorted(self.titles, big)
+            here = np.flatnonzero(self.titles[np.minimum(of, len(self.titles) - 1)] == big) if len(self.titles) else np.zeros(0, np.int64)
+            k, big, of = k[here], big[here], of[here]
+            low, high = self._stretch(of, chars[text[k]])
+            some = np.flatnonzero(high > low)
+            k, big, low, high = k[some], big[some], low[some], high[some]
+            got += np.bincount(k, high - low, minlength=len(got)).astype(np.int64)
+            np.add.at(self.steps, low, 1)
+            np.add.at(self.steps, high, -1)
+            guest = text[k]
+            asked = books.Looks(flat, start[guest], size[guest], big)
+            for i, j, both in books.counted(asked, self, 1, False):
+                good = self._alike(chars[guest[i]], n[guest[i]], j, both)
+                got -= np.bincount(k[i[good]], minlength=len(got))
+                self.partners -= np.bincount(j[good], minlength=len(self.partners))
+        return _sums(rows.column("id").take(text), got)
+
+    def all(self) -> pa.RecordBatch:
+        self.partners[self.order] += np.cumsum(self.steps)[:-1]
+        return _sums(self.texts.column("id"), self.partners)
+
+
+def _sums(ids: pa.ChunkedArray, partners: np.ndarray) -> pa.RecordBatch:
+    some = partners != 0
+    return pa.RecordBatch.from_arrays([pa.concat_arrays(ids.filter(pa.array(some)).chunks or [pa.array([], ids.type)]), pa.array(partners[some])], names=["id", "partners"])
+
+
+def _partners(sized: DataFrame, parts: DataFrame, ratio: int, most: float) -> DataFrame:
+    """(id, partners): with how many others of its title, or of one that holds it or that it holds (title, big), a text (id,
+    title, chars, n, set; titles as hashes) has a Jaccard similarity below `most`, where neither is more than `ratio` times as large.
+
+    Titles are dealt into blocks of some half a million sentences, a larger one into several, and a text stands in one. The
+    texts of a title also go to each block that has titles which hold it, once and with the list of those, however many they are;
+    the pairs are counted there for both sides. So no pair of texts makes a row, and a task holds one block and a batch of guests.
     """
-    block = books.WORDS << 17
-    own = sized.groupBy("title").agg(F.sum("n").alias("mine"), F.count("*").alias("texts"))
-    per = related.join(own.withColumnRenamed("title", "other"), "other").groupBy("title").agg(F.sum("mine").alias("theirs"), F.sum("texts").alias("met"))
-    cut = lambda c: F.greatest(F.ceil(F.col(c) / block), F.lit(1))
-    per = written(own.join(per, "title").where("met > 1").select("title", "mine", "theirs", cut("mine").alias("rows"), cut("theirs").alias("columns")))
-    total = per.agg(F.sum(F.col("mine") * F.col("columns") + F.col("theirs") * F.col("rows"))).first()[0] or 0
-    at = lambda c: F.pmod(F.xxhash64("id"), F.col(c))
-    each = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
-    columns = ["id", "chars", "n", "set", "title", "row", "column"]
-    asks = sized.join(per, "title").withColumn("row", at("rows")).withColumn("column", each("columns")).select(*columns, F.lit(False).alias("second"))
-    asked = related.join(per, "title").join(sized.withColumnRenamed("title", "other"), "other").withColumn("column", at("columns")).withColumn("row", each("rows")).select(*columns, F.lit(True).alias("second"))
-    dealt = asks.unionByName(asked).withColumn("unit", F.xxhash64("title", "row", "column"))
-    dealt = dealt.select("id", "chars", "n", F.transform("set", lambda h: F.xxhash64("unit", h)).alias("set"), "second", "unit")
-    dealt = dealt.repartition(1 + total // block, "unit").sortWithinPartitions("unit")
-
-    def of_units(rows: pa.Table) -> pa.RecordBatch:
-        second = rows.column("second")
-        x, y = (books.Block(rows.filter(f)) for f in (pc.invert(second), second))
-        y.sort()
-        n, chars = ([b.texts.column(c).to_numpy() for b in (x, y)] for c in ("n", "chars"))
-        alike = np.zeros(len(x.count), np.int64)
-        for i, j, both in books.counted(x, y, 1, False):
-            small, large = np.minimum(chars[0][i], chars[1][j]), np.maximum(chars[0][i], chars[1][j])
-            good = np.flatnonzero((large <= ratio * small) & (both / (n[0][i] + n[1][j] - both) >= most))
-            i, j = i[good], j[good]
-            other = pc.not_equal(x.texts.column("id").take(i), y.texts.column("id").take(j)).to_numpy()
-            alike += np.bincount(i[other], minlength=len(alike))
-        some = alike > 0
-        return pa.RecordBatch.from_arrays([x.texts.column("id").filter(pa.array(some)).combine_chunks(), pa.array(alike[some])], names=["id", "alike"])
+    blocks = max(books.BLOCKS, -(-(sized.agg(F.sum("n")).first()[0] or 0) // BLOCK))
+    large = sized.groupBy("title").agg(F.ceil(F.sum("n") / BLOCK).alias("pieces")).where("pieces > 1")  # no more than there are blocks
+    large = F.broadcast(written(large))
+    pieces = lambda c: F.coalesce(c, F.lit(1))
+    block = lambda title, k: F.pmod(F.pmod(title, F.lit(blocks)) + k, F.lit(blocks))
+    columns = ["block", "kind", "title", "id", "chars", "n", "set"]
+    placed = sized.join(large, "title", "left").withColumn("piece", F.pmod(F.xxhash64("id"), pieces(F.col("pieces"))))
+    home = placed.select(block(F.col("title"), F.col("piece")).alias("block"), F.lit(0).alias("kind"), *columns[2:])
+    later = placed.where("pieces > piece + 1").withColumn("k", F.explode(F.sequence(F.col("piece") + 1, F.col("pieces") - 1)))
+    later = later.select(block(F.col("title"), F.col("k")).alias("block"), F.lit(3).alias("kind"), *columns[2:])
+    bigs = parts.join(large.withColumnRenamed("title", "big"), "big", "left").withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), pieces(F.col("pieces")) - 1)))
+    bigs = written(bigs.groupBy("title", block(F.col("big"), F.col("k")).alias("block")).agg(F.collect_list("big").alias("set")))
+    lists = bigs.select("block", F.lit(1).alias("kind"), "title", *(F.lit(None).cast(sized.schema[c].dataType).alias(c) for c in ("id", "chars", "n")), "set")
+    guests = bigs.select("title", "block").join(sized, "title").select("block", F.lit(2).alias("kind"), *columns[2:])
+    dealt = home.unionByName(later).unionByName(lists).unionByName(guests)
+    dealt = dealt.repartition(blocks, "block").sortWithinPartitions("block", F.col("kind") > 0, "title", "kind")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size, now = [], 0, None
+        held, found, now, last = [], None, None, None
         for batch in batches:
-            unit, n = batch.column("unit").to_numpy(), batch.column("n").to_numpy()
-            cuts = [0, *(np.flatnonzero(unit[1:] != unit[:-1]) + 1).tolist(), len(unit)]
-            begin = 0
+            block, kind = batch.column("block").to_numpy(), batch.column("kind").to_numpy()
+            cuts = [0, *(np.flatnonzero((block[1:] != block[:-1]) | ((kind[1:] > 0) != (kind[:-1] > 0))) + 1).tolist(), len(block)]
             for low, high in zip(cuts, cuts[1:]):
-                if high > low and size >= block and unit[low] != now:
-                    yield of_units(pa.Table.from_batches([*held, batch.slice(begin, low - begin)]))
-                    held, size, begin = [], 0, low
-                size += int(n[low:high].sum())
-                now = unit[low] if high > low else now
-            held.append(batch.slice(begin))
-        if held:
-            yield of_units(pa.Table.from_batches(held))
-
-    return dealt.mapInArrow(run, f"id {sized.schema['id'].dataType.simpleString()}, alike long").groupBy("id").agg(F.sum("alike").alias("alike"))
+                if high == low:
+                    continue
+                if now is not None and block[low] != now:
+                    yield (found or _Home(pa.Table.from_batches(held, batch.schema), ratio, most)).all()
+                    held, found, last = [], None, None
+                now, part = block[low], batch.slice(low, high - low)
+                if kind[low] == 0:
+                    held.append(part)
+                    continue
+                found = found or _Home(pa.Table.from_batches(held, batch.schema), ratio, most)
+                held = []
+                yield found.meet(pa.Table.from_batches([*([last] if last else []), part]))
+                if len(lists := np.flatnonzero(kind[low:high] == 1)):
+                    last = part.slice(int(lists[-1]), 1)
+        if now is not None:
+            yield (found or _Home(pa.Table.from_batches(held, batch.schema), ratio, most)).all()
+
+    return dealt.mapInArrow(run, f"id {sized.schema['id'].dataType.simpleString()}, partners long").groupBy("id").agg(F.sum("partners").alias("partners"))
 
 
 def same_title_other_text(docs: DataFrame, id_col: str, title_col: str, text_col: str, least_chars: int = 500, ratio: int = 3, most: float = 0.05) -> DataFrame:
@@ -179,30 +273,19 @@ def same_title_other_text(docs: DataFrame, id_col: str, title_col: str, text_col
     versions to be kept, both; nothing here is ever moved.
 
     No pair of texts makes a row: partners are counted by size within related titles, and those with much in common, which
-    tasks count by blocks of texts, are subtracted. A pair that shares nothing counts as 0.
+    tasks count by blocks of titles, are subtracted. A pair that shares nothing counts as 0. Titles and sentences are compared by
+    hashes of 64 bits, whether a title holds another by their characters.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    sized = docs.select(F.col(id_col).alias("id"), normal_title(F.col(title_col)).alias("title"), F.length(F.regexp_replace(text, "[^\\p{L}\\p{N}]", "")).cast("long").alias("chars"), text.alias("text"))
-    sized = sized.where((F.coalesce(F.col("title"), F.lit("")) != "") & (F.col("chars") >= least_chars))
+    sized = docs.select(F.col(id_col).alias("id"), normal_title(F.col(title_col)).alias("known"), F.length(F.regexp_replace(text, "[^\\p{L}\\p{N}]", "")).cast("long").alias("chars"), text.alias("text"))
+    sized = sized.where((F.coalesce(F.col("known"), F.lit("")) != "") & (F.col("chars") >= least_chars))
     sized = sized.withColumn("set", F.transform(F.array_distinct(sentences(F.col("text"))), lambda x: F.xxhash64(x))).withColumn("n", F.size("set").cast("long"))
-    sized = written(sized.drop("text"))
-    titles = sized.select("title").distinct()
-    parts = written(title_parts(titles))
-    related = written(titles.select("title", F.col("title").alias("other")).unionByName(parts.select(F.col("small").alias("title"), F.col("big").alias("other"))).unionByName(parts.select(F.col("big").alias("title"), F.col("small").alias("other"))))
-    # how many texts of related titles are within the range of sizes: running sums at its two ends
-    sizes = sized.groupBy(F.col("title").alias("other"), "chars").agg(F.count("*").alias("times"))
-    near = related.join(sizes, "other").groupBy("title", "chars").agg(F.sum("times").alias("times"))
-    points = near.select("title", F.col("chars").alias("at"), F.lit(1).alias("kind"), "times", F.lit(None).cast("long").alias("asked"))
-    asks = sized.select("title", F.col("chars").alias("asked")).distinct()
-    low = asks.select("title", F.ceil(F.col("asked") / ratio).alias("at"), F.lit(0).alias("kind"), F.lit(0).cast("long").alias("times"), "asked")
-    high = asks.select("title", (F.col("asked") * ratio).alias("at"), F.lit(2).alias("kind"), F.lit(0).cast("long").alias("times"), "asked")
-    below = F.sum("times").over(Window.partitionBy("title").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, 0))
-    counted = points.unionByName(low).unionByName(high).withColumn("below", below).where("kind <> 1")
-    within = counted.groupBy("title", F.col("asked").alias("chars")).agg((F.max(F.when(F.col("kind") == 2, F.col("below"))) - F.max(F.when(F.col("kind") == 0, F.col("below")))).alias("within"))
-    alike = _alike(sized, related, ratio, most)
-    out = sized.select("id", "title", "chars").join(within, ["title", "chars"]).join(alike, "id", "left")
-    partners = F.col("within") - 1 - F.coalesce("alike", F.lit(0))
-    return out.select(F.col("id").alias(id_col), partners.alias("partners")).where("partners > 0")
+    named = lambda c: F.xxhash64(F.lit("title"), c)  # noqa: E731  never a sentence's hash
+    sized = written(sized.drop("text").withColumn("title", named(F.col("known"))))
+    parts = title_parts(written(sized.select(F.col("known").alias("title")).distinct()))
+    parts = parts.select(named(F.col("small")).alias("title"), named(F.col("big")).alias("big"))
+    found = _partners(sized.drop("known"), parts, ratio, most)
+    return found.where("partners > 0").select(F.col("id").alias(id_col), "partners")
 
 
 def foreign_titles(chapters: DataFrame, books: DataFrame, folder: str = "folder", book: str = "book", title: str = "title", least: int = 2) -> DataFrame:
